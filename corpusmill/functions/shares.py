@@ -11,17 +11,25 @@ def share(part: Column, total: Column) -> Column:
     return F.when(total > 0, part / total).otherwise(F.lit(0.0))
 
 
-def rounded(value: Column, digits: int = 4) -> Column:
-    """Round the exact binary value half to even.
+def _fixed_point(value: Column, digits: int) -> Column:
+    """Decimal text of the exact binary value, rounded half to even.
 
-    ``round`` works on the shortest decimal form instead and turns 3/20000 into
-    0.0002; number formatting keeps the binary value.
+    ``round`` and ``format_string`` work on the shortest decimal form instead
+    and turn 3/20000 into 0.0002.  Number formatting keeps the binary value,
+    but loses the one value that sits half way below the last digit.
     """
-    return F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double")
+    half = 5 / 10 ** (digits + 1)
+    return F.when(value == half, F.lit(f"{half:.{digits}f}")).otherwise(
+        F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+    )
+
+
+def rounded(value: Column, digits: int = 4) -> Column:
+    return _fixed_point(value, digits).cast("double")
 
 
 def percent_text(value: Column, digits: int = 1) -> Column:
-    return F.concat(F.format_number(value * 100, digits), F.lit("%"))
+    return F.concat(_fixed_point(value * 100, digits), F.lit("%"))
 
 
 def floor_percent(part: Column, total: Column) -> Column:

@@ -6,11 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values: white space and line breaks, as regex character classes ----
-STRIP_CLASS = (
-    r"\t-\r\x1c-\x1f \x85\xa0  -     　"
-)
-BREAK_CLASS = r"\n-\r\x1c-\x1e\x85  "
-INLINE_SPACE_CLASS = r"\t\x1f \xa0  -   　"
+STRIP_CLASS = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BREAK_CLASS = r"\n-\r\x1c-\x1e\x85\u2028\u2029"
+INLINE_SPACE_CLASS = r"\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
@@ -21,7 +19,7 @@ def strip(text: Column) -> Column:
 def decode_text(content: Column) -> Column:
     """Bytes to text; bytes that are not valid UTF-8 are dropped, CR and CRLF
     become LF."""
-    valid = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    valid = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
     return F.regexp_replace(valid, r"\r\n?", "\n")
 
 
