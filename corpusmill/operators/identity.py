@@ -13,47 +13,49 @@ EARLY_COMMITS = 10
 
 
 def commit_minhash(commits: DataFrame) -> DataFrame:
-    """Fingerprint per repository: 32 independent minima over all commits.
+    """Fingerprint per repository: 32 independent minima over all commits; ""
+    when no commit id is long enough.
 
     All minima are hash-aggregated before the shuffle; one row per repository
     and map task crosses the network.
     """
+    limbs = F.when(
+        F.length("sha") >= minhash.MIN_SHA_LENGTH, minhash.sha_limbs(F.col("sha"))
+    )
     minima = [
         F.min(minhash.permuted_key(F.col("limbs"), i)).alias(f"m{i}")
         for i in range(minhash.PERMUTATIONS)
     ]
+    # concat_ws skips nulls: without commits every part is null and "" remains.
     signature = F.concat_ws(
         ",", *[minhash.key_text(F.col(f"m{i}")) for i in range(minhash.PERMUTATIONS)]
     )
     return (
-        commits.where(F.length("sha") >= minhash.MIN_SHA_LENGTH)
-        .select("repo_url", minhash.sha_limbs(F.col("sha")).alias("limbs"))
+        commits.select("repo_url", limbs.alias("limbs"))
         .groupBy("repo_url")
         .agg(*minima)
         .select("repo_url", signature.alias("commit_minhash"))
     )
 
 
-def head_commits(commits: DataFrame) -> DataFrame:
-    """Tip of the checked-out history."""
-    return (
-        commits.where("on_head")
-        .groupBy("repo_url")
-        .agg(F.min(F.struct("pos", "sha")).alias("tip"))
-        .select("repo_url", F.col("tip.sha").alias("head_commit_sha"))
-    )
-
-
-def root_commits(commits: DataFrame) -> DataFrame:
-    """Commits without parents on the checked-out history, in listing order.
+def history_ends(commits: DataFrame) -> DataFrame:
+    """Tip and root commits of the checked-out history.
 
-    The list itself is the result; histories have one root, rarely a few.
+    The root list is the result itself: histories have one root, rarely a few.
     """
+    commit = F.struct("pos", "sha")
     return (
-        commits.where("on_head").where(F.size("parents") == 0)
+        commits.where("on_head")
         .groupBy("repo_url")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "sha"))).alias("roots"))
-        .select("repo_url", F.col("roots.sha").alias("root_commits"))
+        .agg(
+            F.min(commit).alias("tip"),
+            F.array_sort(F.collect_list(F.when(F.size("parents") == 0, commit))).alias("roots"),
+        )
+        .select(
+            "repo_url",
+            F.col("tip.sha").alias("head_commit_sha"),
+            F.col("roots.sha").alias("root_commits"),
+        )
     )
 
 
@@ -73,20 +75,17 @@ def early_commits(commits: DataFrame, count: int = EARLY_COMMITS) -> DataFrame:
     )
 
 
-def repository_identity(commits: DataFrame, repos: DataFrame | None = None) -> DataFrame:
-    """Identity record of every repository: seven text columns."""
-    base = commits if repos is None else repos
+def repository_identity(commits: DataFrame) -> DataFrame:
+    """Identity record of every repository that has commits: seven text columns."""
     none = F.array().cast("array<string>")
     return (
-        base.select("repo_url").distinct()
-        .join(root_commits(commits), "repo_url", "left")
+        commit_minhash(commits)
+        .join(history_ends(commits), "repo_url", "left")
         .join(early_commits(commits), "repo_url", "left")
-        .join(commit_minhash(commits), "repo_url", "left")
-        .join(head_commits(commits), "repo_url", "left")
         .select(
             F.array_join(F.coalesce("root_commits", none), ",").alias("first_commit_hash"),
             F.array_join(F.coalesce("early_commits", none), ",").alias("early_commit_hashes"),
-            F.coalesce("commit_minhash", F.lit("")).alias("commit_minhash"),
+            "commit_minhash",
             "repo_url",
             namespace(F.col("repo_url")).alias("repo_org"),
             leaf_name(F.col("repo_url")).alias("repo_name"),

@@ -9,7 +9,13 @@ from corpusmill.functions import languages as lang
 from corpusmill.functions.languages import MIN_FOCUS_SHARE
 from corpusmill.functions.paths import below_any
 from corpusmill.functions.shares import percent_text, rounded, share
-from corpusmill.functions.text import decode_text, is_binary, line_count, physical_lines
+from corpusmill.functions.text import (
+    decode_text,
+    is_binary,
+    line_count,
+    physical_lines,
+    text_lines,
+)
 from corpusmill.params import ScanParams
 
 
@@ -37,19 +43,39 @@ def file_lines(files: DataFrame, params: ScanParams = ScanParams()) -> DataFrame
 
 
 def file_loc(files: DataFrame) -> DataFrame:
-    """Code lines of every file, whatever its language."""
-    text = decode_text(F.col("content"))
+    """All lines and code lines of every file, whatever its language."""
     return files.select(
         "repo_url",
         "path",
         lang.language_of(F.col("path")).alias("language"),
-        text.alias("text"),
+        text_lines(decode_text(F.col("content"))).alias("lines"),
     ).select(
         "repo_url",
         "path",
         "language",
-        line_count(F.col("text")).alias("total_lines"),
-        lang.count_code_lines(F.col("text"), F.col("language")).alias("loc"),
+        line_count(F.col("lines")).alias("total_lines"),
+        lang.count_code_lines(F.col("lines"), F.col("language")).alias("loc"),
+    )
+
+
+def line_masks(files: DataFrame) -> DataFrame:
+    """Per file one character per line, "1" for code.
+
+    A mask is some 30 times smaller than the content.  Write it once
+    (``materialized``); choosing files and line ranges then needs no content.
+    """
+    return files.select(
+        "repo_url",
+        "path",
+        "size",
+        lang.language_of(F.col("path")).alias("language"),
+        text_lines(decode_text(F.col("content"))).alias("lines"),
+    ).select(
+        "repo_url",
+        "path",
+        "size",
+        "language",
+        lang.code_line_mask(F.col("lines"), F.col("language")).alias("mask"),
     )
 
 
