@@ -73,14 +73,19 @@ def _lookup_key(words: Column) -> Column:
     return F.array_join(F.slice(words, 1, LOOKUP_WORDS), " ")
 
 
+def _runs_of(words: Column, n: int) -> Column:
+    """Runs of ``n`` consecutive words; none when there are fewer words."""
+    last_start = F.size(words) - (n - 1)
+    runs = F.transform(
+        F.sequence(F.lit(1), F.greatest(last_start, F.lit(1))),
+        lambda start: F.array_join(F.slice(words, start, n), " "),
+    )
+    return F.when(last_start >= 1, runs).otherwise(F.array().cast("array<string>"))
+
+
 def _ngrams(words: Column) -> Column:
     """Distinct runs of 1 to LOOKUP_WORDS words."""
-    runs = []
-    for n in range(1, LOOKUP_WORDS + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        runs.append(F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(*runs))
+    return F.array_distinct(F.concat(*[_runs_of(words, n + 1) for n in range(LOOKUP_WORDS)]))
 
 
 def names_in_texts(texts: DataFrame, gazetteer: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,7 +99,8 @@ def names_in_texts(texts: DataFrame, gazetteer: DataFrame, keys: list[str]) -> D
     known = gazetteer.select(
         *(["folder"] if scoped else []), "name", "kind", _lookup_key(_words(F.col("name"))).alias("gram")
     ).where(F.col("gram") != "").distinct()
-    grams = texts.select(*keys, F.explode(_ngrams(_words(F.col("text")))).alias("gram"))
+    words = texts.select(*keys, _words(F.col("text")).alias("words"))
+    grams = words.select(*keys, F.explode(_ngrams(F.col("words"))).alias("gram"))
     return grams.join(known, on).select(*keys, "name", "kind").distinct()
 
 

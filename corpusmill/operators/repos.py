@@ -48,7 +48,7 @@ def latest_branch(refs: DataFrame) -> DataFrame:
     """
     newest = F.min(
         F.struct(
-            (-F.unix_micros("committer_ts")).alias("age"),
+            (-F.unix_micros(F.col("committer_ts").cast("timestamp"))).alias("age"),
             "refname",
             "tip_sha",
             "committer_ts",

@@ -34,7 +34,7 @@ from corpusmill.params import BudgetParams
 from corpusmill.schemas import LOGIC_LAYERS
 
 
-def _checked(requests: DataFrame, masks: DataFrame) -> DataFrame:
+def checked_requests(requests: DataFrame, masks: DataFrame) -> DataFrame:
     """Requests with lines of code and every reason that needs no history."""
     start = F.greatest(F.lit(1), F.col("start_line")) - 1
     total = F.length("mask")
@@ -175,7 +175,7 @@ def budget_select(
     match: not_found, duplicate, bad_range, zero_loc, budget_exhausted (total at
     target or above), too_large.
     """
-    checked = _checked(requests, masks)
+    checked = checked_requests(requests, masks)
     per_repo = _accepted(checked, primaries, params)
     accepted = per_repo.select("repo_url", "primary", F.explode("accepted").alias("a")).select(
         "repo_url",
