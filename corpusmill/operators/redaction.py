@@ -6,6 +6,8 @@ second pass changes nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,28 +22,34 @@ PLACEHOLDERS = {
     "secret": "REDACTED",
 }
 
-# Patterns in the common subset of Java and RE2 syntax, applied in this order.
+# Patterns in the common subset of Java and RE2 syntax, applied in this order:
+# (needed, pattern, replacement).  A text without any of the needed pieces, in
+# lower case, cannot match and skips the pattern.
 PATTERN_RULES = (
     # assigned secrets: token = "....", password: ....
     (
+        ("key", "token", "secret", "passw"),
         r"(?i)((?:api_?key|access_?key|token|secret|passwd|password)[\"']?[ \t]*[:=][ \t]*[\"']?)"
         r"[A-Za-z0-9_/+\-]{12,}",
         r"$1REDACTED",
     ),
-    (r"AKIA[0-9A-Z]{16}", "REDACTED"),
+    (("akia",), r"AKIA[0-9A-Z]{16}", "REDACTED"),
     # password inside a URL
-    (r"(://[^/ \t\n:@]+:)[^/ \t\n@]+@", r"$1REDACTED@"),
+    (("://",), r"(://[^/ \t\n:@]+:)[^/ \t\n@]+@", r"$1REDACTED@"),
     (
+        ("@",),
         r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
         "user@example.com",
     ),
     # host of a URL; user part, path and query stay
     (
+        ("://",),
         r"((?:https?|ftp|ssh|git)://(?:[A-Za-z0-9._~%+\-]+(?::[^@/ \t\n]*)?@)?)[A-Za-z0-9.\-]+",
         r"$1example.com",
     ),
-    (r"www\.[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", "example.com"),
+    (("www.",), r"www\.[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", "example.com"),
     (
+        ("+",),
         r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}",
         "+1-555-0100",
     ),
@@ -50,14 +58,24 @@ PATTERN_RULES = (
 WORD_CLASS = r"\p{L}\p{N}_"
 # Names are looked up by their first words; longer names are compared in full
 # when they are replaced.
-LOOKUP_WORDS = 3
+LOOKUP_WORDS = 2
+
 
+def with_patterns_redacted(texts: DataFrame, source: str, target: str) -> DataFrame:
+    """Secrets, e-mail addresses, hosts and phone numbers of ``source``.
 
-def redact_patterns(text: Column) -> Column:
-    """Secrets, e-mail addresses, hosts and phone numbers."""
-    for pattern, replacement in PATTERN_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    One projection per rule: the text of the previous rule is used twice (test
+    and replacement) and must not be computed twice.
+    """
+    out = texts.withColumn(target, F.col(source))
+    for needed, pattern, replacement in PATTERN_RULES:
+        lowered = F.lower(target)
+        possible = reduce(Column.__or__, [F.contains(lowered, F.lit(piece)) for piece in needed])
+        out = out.withColumn(
+            target,
+            F.when(possible, F.regexp_replace(target, pattern, replacement)).otherwise(F.col(target)),
+        )
+    return out
 
 
 def placeholder_of(kind: Column) -> Column:
@@ -107,8 +125,11 @@ def names_in_texts(texts: DataFrame, gazetteer: DataFrame, keys: list[str]) -> D
 def redact_names(text: Column, names: Column) -> Column:
     """Replace whole-word occurrences of ``array<struct<name,kind>>``, in order."""
     def step(current: Column, entity: Column) -> Column:
+        # The literal leads, so the matcher can skip ahead; the look-behind
+        # repeats it to see the character in front.
+        quoted = F.concat(F.lit("\\Q"), entity["name"], F.lit("\\E"))
         pattern = F.concat(
-            F.lit(f"(?<![{WORD_CLASS}])\\Q"), entity["name"], F.lit(f"\\E(?![{WORD_CLASS}])")
+            quoted, F.lit(f"(?<![{WORD_CLASS}]"), quoted, F.lit(f")(?![{WORD_CLASS}])")
         )
         return F.regexp_replace(current, pattern, placeholder_of(entity["kind"]))
 
@@ -123,7 +144,7 @@ def redacted(
     Patterns come first, then gazetteer names (name, kind, optional folder),
     longest first.  A text meets only the names found in it.
     """
-    cleaned = texts.withColumn("redacted", redact_patterns(F.col("text")))
+    cleaned = with_patterns_redacted(texts, "text", "redacted")
     if gazetteer is None:
         return cleaned
     found = (

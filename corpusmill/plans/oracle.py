@@ -279,7 +279,7 @@ TEXTS = DOCS
 
 def _redact_chain() -> str:
     expr = "text"
-    for pattern, replacement in PATTERN_RULES:
+    for _, pattern, replacement in PATTERN_RULES:
         target = replacement.replace("$1", "\\1")
         expr = f"regexp_replace({expr}, {_text(pattern)}, {_text(target)}, 'g')"
     return expr
