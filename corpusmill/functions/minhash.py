@@ -21,18 +21,16 @@ def permutation_constants(index: int) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big") | 1, int.from_bytes(digest[8:], "big")
 
 
-def sha_limbs(sha: Column) -> Column:
-    """The first 16 hex digits as array of four 16-bit numbers, lowest first."""
-    return F.array(
-        *[F.conv(F.substring(sha, start, 4), 16, 10).cast("bigint") for start in (13, 9, 5, 1)]
-    )
+def sha_limbs(sha: Column) -> list[Column]:
+    """The first 16 hex digits as four 16-bit numbers, lowest first."""
+    return [F.conv(F.substring(sha, start, 4), 16, 10).cast("bigint") for start in (13, 9, 5, 1)]
 
 
 def _limbs(number: int) -> list[int]:
     return [(number >> shift) & 0xFFFF for shift in (0, 16, 32, 48)]
 
 
-def permuted_key(limbs: Column, index: int) -> Column:
+def permuted_key(limbs: list[Column], index: int) -> Column:
     """(a * x + b) mod 2**64, mapped to bigint so that order is kept."""
     multiplier, increment = permutation_constants(index)
     a, b = _limbs(multiplier), _limbs(increment)

@@ -19,19 +19,20 @@ def commit_minhash(commits: DataFrame) -> DataFrame:
     All minima are hash-aggregated before the shuffle; one row per repository
     and map task crosses the network.
     """
-    limbs = F.when(
-        F.length("sha") >= minhash.MIN_SHA_LENGTH, minhash.sha_limbs(F.col("sha"))
-    )
+    sha = F.when(F.length("sha") >= minhash.MIN_SHA_LENGTH, F.col("sha"))
+    names = [f"limb{q}" for q in range(4)]
+    limbs = [F.col(name) for name in names]
     minima = [
-        F.min(minhash.permuted_key(F.col("limbs"), i)).alias(f"m{i}")
-        for i in range(minhash.PERMUTATIONS)
+        F.min(minhash.permuted_key(limbs, i)).alias(f"m{i}") for i in range(minhash.PERMUTATIONS)
     ]
     # concat_ws skips nulls: without commits every part is null and "" remains.
     signature = F.concat_ws(
         ",", *[minhash.key_text(F.col(f"m{i}")) for i in range(minhash.PERMUTATIONS)]
     )
     return (
-        commits.select("repo_url", limbs.alias("limbs"))
+        commits.select(
+            "repo_url", *[c.alias(name) for c, name in zip(minhash.sha_limbs(sha), names)]
+        )
         .groupBy("repo_url")
         .agg(*minima)
         .select("repo_url", signature.alias("commit_minhash"))

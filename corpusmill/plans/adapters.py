@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.params import BudgetParams, CandidateParams
 from corpusmill.schemas import LAYERS
+from corpusmill.sources.materialize import spread
 
 DIRECTORIES = ("src/", "lib/core/", "node_modules/dep/", "tests/", "api/build/gen/", "")
 SUFFIXES = (
@@ -73,15 +74,15 @@ def _code_like_text() -> Column:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = _code_like_text().cast("binary")
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return spread(docs).select(
         _document_repo().alias("repo_url"), _document_path().alias("path"), content.alias("content")
     ).withColumn("size", F.octet_length("content").cast("bigint"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        F.col("source").alias("folder"), _document_path().alias("path"), "text"
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return spread(docs).select(F.col("source").alias("folder"), _document_path().alias("path"), "text")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +127,20 @@ def _order_sha(key: Column) -> Column:
     return F.substring(F.sha2(key.cast("string"), 256), 1, 40)
 
 
+def commit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit ids alone; enough for the fingerprint."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return spread(orders).select(
+        _order_repo().alias("repo_url"), _order_sha(F.col("o_orderkey")).alias("sha")
+    )
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest commit has the smallest position; the oldest has no parent."""
     key = F.col("o_orderkey")
     days = F.datediff("o_orderdate", F.lit("1970-01-01").cast("date"))
-    rows = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    rows = spread(orders).select(
         _order_repo().alias("repo_url"),
         _order_sha(key).alias("sha"),
         _order_sha(key - 1).alias("parent"),

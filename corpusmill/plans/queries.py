@@ -122,7 +122,7 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.commit_minhash(a.commits(spark, sf_dir))
+    return identity.commit_minhash(a.commit_ids(spark, sf_dir))
 
 
 def repo_identity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,13 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/corpusmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a small input arrives in fewer pieces than there are.
+
+    A large input has more scan partitions than cores and passes unchanged, so
+    no content is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
