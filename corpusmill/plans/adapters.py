@@ -28,6 +28,7 @@ ERROR_TEXTS = (
     "exit 14030 from tool",
     "disk is full",
 )
+RUN_BUDGET = BudgetParams(target_loc=400, tolerance_loc=50, cap_loc=900)
 # The given texts are short, so is the budget.
 BUDGET = BudgetParams(target_loc=100, tolerance_loc=10, cap_loc=130)
 CANDIDATES = CandidateParams(
@@ -330,3 +331,35 @@ def run_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("run_id") % 4 != 0, _pick(("PHP", "Go", "JavaScript"), F.col("run_id"))).alias("primary"),
         (F.col("run_id") % 3 == 0).alias("hard"),
     )
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log entries of runs: tool calls, saves, and prose now and then."""
+    line, key = F.col("l_linenumber"), F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(
+        (key % 5000).alias("run_id"),
+        (F.col("l_partkey") % 50).alias("turn"),
+        _pick(("bash", "save_sample", "write_summary"), line).alias("tool"),
+        ((line % 3 == 1) & (F.col("l_suppkey") % 5 == 0)).alias("saved"),
+        (F.col("l_partkey") % 90).alias("loc"),
+        F.when(F.col("l_partkey") % 4 == 0, F.concat(F.lit("note "), (F.col("l_partkey") % 50).cast("string"))).alias(
+            "prose"
+        ),
+    )
+
+
+def redaction_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One redaction run per order; the answer carries the cost as JSON."""
+    key, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
+    blob = (
+        F.when(key % 4 == 0, F.concat(F.lit('{"total_cost_usd": '), price, F.lit("}")))
+        .when(key % 4 == 1, F.concat(F.lit('{"cost_usd": '), price, F.lit(', "usage": {"input_tokens": '),
+                                     key.cast("string"), F.lit("}}")))
+        .when(key % 4 == 2, '{"total_cost_usd": "n/a"}')
+        .otherwise("not json")
+    )
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("folder"), key.cast("string")).alias("folder"),
+        F.when(F.col("o_orderstatus") == "F", "error").otherwise("ok").alias("status"),
+        blob.alias("answer"),
+    )

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from corpusmill.functions import languages as lang
 from corpusmill.functions.minhash import PERMUTATIONS, permutation_constants
+from corpusmill.operators.candidates import DENSE_FLOW, FLOW_MARKS, GENERATED_MARKS, PATH_RULES
 from corpusmill.operators.redaction import PATTERN_RULES, PLACEHOLDERS
 from corpusmill.operators.transcripts import _CLOSING, _CONVERSATION, _INTRO
 from corpusmill.plans import adapters as a
@@ -632,3 +633,172 @@ FROM judged""",
 FROM errors GROUP BY ALL""",
     ),
 }
+
+# --- run logs ---------------------------------------------------------------------
+
+_R = a.RUN_BUDGET
+_LANGS = ("PHP", "Go", "JavaScript")
+RUN_TURNS = f"""ev AS (
+  SELECT l_orderkey % 500 AS run_id, (l_partkey + l_linenumber) % 50 AS turn, l_suppkey % 9 = 0 AS saved,
+    CASE WHEN l_suppkey % 9 = 0 THEN l_partkey % 90 + 10 ELSE 0 END AS loc,
+    {_pick(LAYERS, 'l_partkey')} AS layer, {_pick(_LANGS, 'l_suppkey + l_orderkey % 500')} AS language
+  FROM lineitem),
+goals AS (
+  SELECT run_id, CASE WHEN run_id % 4 <> 0 THEN {_pick(_LANGS, 'run_id')} END AS prim, run_id % 3 = 0 AS hard,
+    max(turn) AS last_turn FROM ev GROUP BY run_id),
+turn_sums AS (
+  SELECT g.run_id, t.turn, count(*) FILTER (WHERE saved) AS files,
+    CAST(coalesce(sum(loc) FILTER (WHERE saved), 0) AS BIGINT) AS loc,
+    CAST(coalesce(sum(loc) FILTER (WHERE saved AND layer IN {_in(LOGIC_LAYERS)}), 0) AS BIGINT) AS logic,
+    CAST(coalesce(sum(loc) FILTER (WHERE saved AND language = prim), 0) AS BIGINT) AS ploc
+  FROM goals g JOIN range(0, 50) t(turn) ON t.turn <= g.last_turn
+  LEFT JOIN ev e ON e.run_id = g.run_id AND e.turn = t.turn GROUP BY ALL),
+walk AS (
+  SELECT run_id, CAST(-1 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS l,
+    CAST(0 AS BIGINT) AS q, CAST(0 AS BIGINT) AS p, CAST(-1 AS BIGINT) AS ls, CAST(-10 AS BIGINT) AS lp,
+    CAST(-10 AS BIGINT) AS lg, CAST('' AS VARCHAR) AS flag FROM goals
+  UNION ALL
+  SELECT run_id, turn, n + files, l + loc, q + logic, p + ploc,
+    CASE WHEN files > 0 THEN turn ELSE ls END,
+    CASE flag WHEN 'LANGUAGE' THEN turn WHEN 'SILENCED' THEN 50 ELSE lp END,
+    CASE flag WHEN 'LOGIC_LOW' THEN turn ELSE lg END, flag
+  FROM (
+    SELECT w.run_id, s.turn, w.n, w.l, w.q, w.p, w.ls, w.lp, w.lg, s.files, s.loc, s.logic, s.ploc,
+      CASE
+        WHEN w.n = 0 AND s.turn >= 3 THEN 'URGENT'
+        WHEN prim IS NOT NULL AND w.l >= {_R.target_loc // 2}
+          AND (hard OR w.l < {_R.target_loc + _R.tolerance_loc})
+          AND w.p < CAST(0.2 AS DOUBLE) * w.l AND s.turn - w.lp >= 3 THEN
+          CASE WHEN greatest(1, ceil((CAST(0.2 AS DOUBLE) * w.l - w.p) / CAST(0.8 AS DOUBLE)))
+              > {_R.cap_loc} - w.l THEN CASE WHEN hard THEN 'ABORT' ELSE 'SILENCED' END
+            ELSE 'LANGUAGE' END
+        WHEN w.l >= {_R.target_loc + _R.tolerance_loc}
+          AND NOT (hard AND prim IS NOT NULL AND w.p < CAST(0.2 AS DOUBLE) * w.l) THEN 'STOP'
+        WHEN w.n > 0 AND s.turn - (w.ls + 1) >= 4 AND w.l < {_R.target_loc} THEN 'STALLED'
+        WHEN s.turn >= 45 AND w.l < {_R.target_loc - _R.tolerance_loc} THEN 'LAST_ITERS'
+        WHEN w.l >= {_R.target_loc // 2} AND w.l < {_R.target_loc + _R.tolerance_loc}
+          AND w.q < CAST(0.6 AS DOUBLE) * w.l AND s.turn - w.lg >= 4 THEN 'LOGIC_LOW'
+        ELSE '' END AS flag
+    FROM walk w JOIN turn_sums s ON s.run_id = w.run_id AND s.turn = w.turn + 1
+    JOIN goals g ON g.run_id = w.run_id WHERE w.flag <> 'ABORT'))"""
+
+SQL["progress_flags"] = _with(
+    RUN_TURNS, recursive=True,
+    select="SELECT run_id, turn, flag FROM walk WHERE turn >= 0 AND flag NOT IN ('', 'SILENCED')",
+)
+
+SQL["run_statistics"] = """WITH ev AS (
+  SELECT l_orderkey % 5000 AS run_id, l_partkey % 50 AS turn,
+    ['bash', 'save_sample', 'write_summary'][l_linenumber % 3 + 1] AS tool,
+    l_linenumber % 3 = 1 AND l_suppkey % 5 = 0 AS saved, l_partkey % 90 AS loc,
+    CASE WHEN l_partkey % 4 = 0 THEN 'note ' || (l_partkey % 50) END AS prose
+  FROM lineitem)
+SELECT run_id, count(DISTINCT turn) AS turns, count(*) FILTER (WHERE tool = 'save_sample') AS save_attempts,
+  count(*) FILTER (WHERE tool = 'bash') AS shell_calls, count(*) FILTER (WHERE saved) AS files_saved,
+  CAST(coalesce(sum(loc) FILTER (WHERE saved), 0) AS BIGINT) AS total_loc,
+  CASE WHEN coalesce(sum(loc) FILTER (WHERE saved), 0) = 0 THEN
+    max_by(prose, turn) FILTER (WHERE prose IS NOT NULL) END AS last_prose
+FROM ev GROUP BY run_id"""
+
+SQL["run_totals"] = _with(
+    ERRORS,
+    """res AS (SELECT CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE c_custkey % 6000 + 1 END AS total_loc FROM customer),
+shown AS (SELECT * FROM errors ORDER BY ts, repo_url LIMIT 3)""",
+    select="""SELECT count(*) FILTER (WHERE total_loc > 0) AS processed, count(*) AS repositories,
+  (SELECT count(*) FROM errors) AS errors, CAST(sum(total_loc) AS BIGINT) AS total_loc,
+  (SELECT string_agg(substr(error, 1, 200), ' | ' ORDER BY ts, repo_url) FROM shown) AS first_errors
+FROM res""",
+)
+
+_RUNS = """runs AS (
+  SELECT 'folder' || o_orderkey AS folder, CASE WHEN o_orderstatus = 'F' THEN 'error' ELSE 'ok' END AS status,
+    CASE WHEN o_orderkey % 4 < 2 THEN CAST(floor(o_totalprice) AS DOUBLE) END AS cost,
+    CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey ELSE 0 END AS tokens_in FROM orders)"""
+SQL["usage_costs"] = _with(_RUNS, select="SELECT folder, cost, tokens_in FROM runs")
+SQL["redaction_totals"] = _with(
+    _RUNS,
+    select="""SELECT count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status <> 'ok') AS errors,
+  count(*) AS folders, coalesce(sum(cost) FILTER (WHERE status = 'ok'), 0.0) AS total_cost FROM runs""",
+)
+
+# --- files chosen by rule -----------------------------------------------------------
+
+_FLOW = " + ".join(
+    f"(length(content) - length(replace(content, {_text(mark)}, ''))) / {len(mark)}" for mark in FLOW_MARKS
+)
+_GENERATED = " OR ".join(f"contains(lower(content), {_text(mark)})" for mark in GENERATED_MARKS)
+_RULE_CASES = " ".join(
+    f"WHEN regexp_matches(lower(t.path), {_text(pattern)}) THEN {_text(layer)}"
+    for layer, pattern in PATH_RULES
+)
+FEATURES = f"""features AS (
+  SELECT t.repo_url, t.path, t.language, l.loc, l.total_lines, CAST(round({_FLOW}) AS BIGINT) AS flow_marks,
+    {_GENERATED} AS is_generated, regexp_matches(content, {_text(PATTERN_RULES[0][1])}) AS has_secret,
+    CASE WHEN {_GENERATED} THEN 'autogen' {_RULE_CASES}
+      WHEN t.language IN {_in(lang.NON_CODE_LANGUAGES)} THEN 'boilerplate'
+      WHEN round({_FLOW}) >= CAST({DENSE_FLOW} AS DOUBLE) * greatest(l.loc, 1) THEN 'business'
+      ELSE 'util' END AS layer
+  FROM tagged t JOIN loc l ON l.repo_url = t.repo_url AND l.path = t.path
+  WHERE t.size > 0 AND t.size <= 20971520 AND t.language <> ''
+    AND NOT list_has_any(string_split(t.path, '/')[:-2],
+      ['node_modules', 'vendor', 'dist', 'build', 'bower_components', '.git']))"""
+SQL["layer_tags"] = _with(
+    *FILE_CTES, LINES, FEATURES,
+    select="SELECT repo_url, path, loc, flow_marks, is_generated, has_secret, layer FROM features",
+)
+
+_P = a.CANDIDATES
+CANDIDATES = f"""fit AS (
+  SELECT f.repo_url, f.path, f.layer, f.layer = 'test' AS is_test,
+    CASE WHEN contains(f.path, '/') THEN split_part(f.path, '/', 1) ELSE '' END AS module,
+    f.loc > {_P.partial_above_loc} AS is_long,
+    CASE WHEN f.loc > {_P.partial_above_loc} THEN (SELECT count(*) FROM marked m
+      WHERE m.repo_url = f.repo_url AND m.path = f.path AND m.is_code AND m.i <= {_P.preferred_max_loc})
+      ELSE f.loc END AS loc,
+    coalesce(f.language <> focus.code_primary, FALSE) AS off_focus,
+    f.layer NOT IN {_in(LOGIC_LAYERS)} AS off_logic
+  FROM features f LEFT JOIN focus USING (repo_url)
+  WHERE f.language NOT IN {_in(lang.NON_CODE_LANGUAGES)} AND NOT is_generated AND NOT has_secret
+    AND f.layer <> 'autogen'),
+sized AS (
+  SELECT *, NOT (loc BETWEEN {_P.preferred_min_loc} AND {_P.preferred_max_loc}) AS off_size
+  FROM fit WHERE loc >= {_P.min_loc} AND loc <= {_C}),
+thin AS (
+  SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY repo_url, is_test, module, loc
+    ORDER BY off_focus, off_logic, off_size, path) <= {_C} // loc),
+rounds AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_url, is_test, module
+    ORDER BY off_focus, off_logic, off_size, path) AS round FROM thin),
+thinner AS (
+  SELECT * FROM rounds QUALIFY row_number() OVER (PARTITION BY repo_url, is_test, loc
+    ORDER BY round, module, path) <= {_C} // loc),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_url, is_test ORDER BY round, module, path) AS nth FROM thinner),
+wanted AS (
+  SELECT repo_url, CAST(CASE WHEN is_test THEN nth * 6 ELSE nth + (nth - 1) // 5 END AS BIGINT) AS seq, path,
+    layer, CAST(CASE WHEN is_long THEN 1 END AS INTEGER) AS start_line,
+    CAST(CASE WHEN is_long THEN {_P.preferred_max_loc} END AS INTEGER) AS end_line, loc
+  FROM numbered)"""
+SQL["candidate_order"] = _with(
+    *PROFILE_CTES, LINES, FEATURES, CANDIDATES,
+    select="SELECT repo_url, seq, path, layer, start_line, end_line FROM wanted",
+)
+
+SQL["sampled_corpus"] = _with(
+    *PROFILE_CTES, LINES, FEATURES, CANDIDATES,
+    f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY repo_url ORDER BY seq) AS rn FROM wanted),
+fold AS (
+  SELECT DISTINCT repo_url, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS files,
+    CAST('' AS VARCHAR) AS paths FROM ordered
+  UNION ALL
+  SELECT o.repo_url, o.rn, CASE WHEN f.total + o.loc <= {_C} THEN f.total + o.loc ELSE f.total END,
+    CASE WHEN f.total + o.loc <= {_C} THEN f.files + 1 ELSE f.files END,
+    CASE WHEN f.total + o.loc <= {_C} THEN f.paths || CASE WHEN f.paths = '' THEN '' ELSE ';' END || o.path
+      ELSE f.paths END
+  FROM fold f JOIN ordered o ON o.repo_url = f.repo_url AND o.rn = f.rn + 1),
+done AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY rn DESC) = 1)""",
+    recursive=True,
+    select="""SELECT repo_url, replace(regexp_replace(replace(repo_url, 'https://', ''), '\\.git$', ''), '/', '__')
+    AS folder_name, coalesce(code_primary, '') AS language, total AS total_loc, files AS file_count, paths
+FROM done LEFT JOIN focus USING (repo_url) WHERE total > 0""",
+)

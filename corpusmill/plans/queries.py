@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import collapse_space
 from corpusmill.operators import (
     audit,
+    candidates,
     identity,
     manifest,
     packaging,
     profile,
     redaction,
     repos,
+    runlog,
     selection,
     transcripts,
 )
@@ -322,6 +324,59 @@ def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.error_classes(a.errors(spark, sf_dir))
 
 
+def usage_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a.redaction_runs(spark, sf_dir).select(
+        "folder",
+        transcripts.reported_cost(F.col("answer")).alias("cost"),
+        transcripts.token_usage(F.col("answer"))["tokens_in"].alias("tokens_in"),
+    )
+
+
+def redaction_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = a.redaction_runs(spark, sf_dir)
+    return runlog.redaction_totals(
+        runs.withColumn("cost", transcripts.reported_cost(F.col("answer")))
+    )
+
+
+def progress_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlog.progress_flags(a.run_turns(spark, sf_dir), a.run_goals(spark, sf_dir), a.RUN_BUDGET)
+
+
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlog.run_statistics(a.run_events(spark, sf_dir))
+
+
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlog.run_totals(a.results(spark, sf_dir), a.errors(spark, sf_dir))
+
+
+def layer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.tagged_layers(candidates.file_features(a.files(spark, sf_dir))).select(
+        "repo_url", "path", "loc", "flow_marks", "is_generated", "has_secret", "layer"
+    )
+
+
+def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = materialized(candidates.file_features(a.files(spark, sf_dir)), "features")
+    return candidates.candidate_requests(
+        candidates.tagged_layers(features), _primaries(spark, sf_dir), BUDGET, a.CANDIDATES
+    )
+
+
+def sampled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to manifest without supplied requests."""
+    from corpusmill.params import Settings
+    from corpusmill.plans.sampling import sample_repositories
+
+    settings = Settings(budget=BUDGET, candidates=a.CANDIDATES)
+    records = sample_repositories(a.files(spark, sf_dir), settings=settings).manifest
+    return records.select(
+        "repo_url", "folder_name", "language", "total_loc", "file_count",
+        F.array_join("files.path", ";").alias("paths"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -334,5 +389,7 @@ QUERIES: dict[str, Query] = {
         redacted_documents, audit_files, audit_report, audit_lines, audit_hunks,
         sample_index, index_problems, bundle_listing,
         transcript_compact, transcript_render, turn_validate, error_classes,
+        usage_costs, redaction_totals, progress_flags, run_statistics, run_totals,
+        layer_tags, candidate_order, sampled_corpus,
     )
 }
