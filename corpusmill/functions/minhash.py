@@ -1,7 +1,9 @@
 """Commit fingerprint: 32 minima of 64-bit linear permutations, in bigint.
 
 Products of two 64-bit numbers overflow bigint and raise under ANSI mode, so
-numbers are handled as four 16-bit limbs; no intermediate exceeds 2**36.
+the constant is taken in 16-bit and the commit id in 32-bit pieces; no
+intermediate exceeds 2**51.  Expressions are SQL text: 32 of them built from
+Column calls take longer than the job.
 """
 
 from __future__ import annotations
@@ -21,34 +23,25 @@ def permutation_constants(index: int) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "big") | 1, int.from_bytes(digest[8:], "big")
 
 
-def sha_limbs(sha: Column) -> list[Column]:
-    """The first 16 hex digits as four 16-bit numbers, lowest first."""
-    return [F.conv(F.substring(sha, start, 4), 16, 10).cast("bigint") for start in (13, 9, 5, 1)]
+def sha_halves(sha: Column) -> list[Column]:
+    """Upper and lower 32 bits of the first 16 hex digits."""
+    return [F.conv(F.substring(sha, start, 8), 16, 10).cast("bigint") for start in (1, 9)]
 
 
-def _limbs(number: int) -> list[int]:
-    return [(number >> shift) & 0xFFFF for shift in (0, 16, 32, 48)]
-
-
-def permuted_key(limbs: list[Column], index: int) -> Column:
-    """(a * x + b) mod 2**64, mapped to bigint so that order is kept."""
+def permuted_key(high: str, low: str, index: int) -> Column:
+    """(a * x + b) mod 2**64 of the named half columns, mapped to bigint so
+    that order is kept."""
     multiplier, increment = permutation_constants(index)
-    a, b = _limbs(multiplier), _limbs(increment)
-    r = []
-    for q in range(4):
-        total = F.lit(b[q]).cast("bigint")
-        for j in range(q + 1):
-            total = total + F.lit(a[j]).cast("bigint") * limbs[q - j]
-        r.append(total)
-    low = r[0] + F.shiftleft(r[1].bitwiseAND(F.lit(0xFFFF)), 16)
-    high = (
-        F.shiftright(r[1], 16)
-        + F.shiftright(low, 32)
-        + r[2]
-        + F.shiftleft(r[3].bitwiseAND(F.lit(0xFFFF)), 16)
+    a0, a1, a2, a3 = [(multiplier >> shift) & 0xFFFF for shift in (0, 16, 32, 48)]
+    b_high, b_low = increment >> 32, increment & 0xFFFFFFFF
+    lower = f"({a0}L * {low} + shiftleft({a1}L * {low} & 65535L, 16) + {b_low}L)"
+    upper = (
+        f"(shiftright({a1}L * {low}, 16) + shiftright({lower}, 32) + {a2}L * {low}"
+        f" + shiftleft({a3}L * {low} & 65535L, 16) + {a0}L * {high}"
+        f" + shiftleft({a1}L * {high} & 65535L, 16) + {b_high}L)"
     )
-    mask = F.lit(0xFFFFFFFF)
-    return (high.bitwiseAND(mask) - F.lit(2**31)) * F.lit(2**32) + low.bitwiseAND(mask)
+    mask = "4294967295L"
+    return F.expr(f"(({upper} & {mask}) - 2147483648L) * 4294967296L + ({lower} & {mask})")
 
 
 def key_text(key: Column) -> Column:

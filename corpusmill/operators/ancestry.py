@@ -11,35 +11,29 @@ from corpusmill.sources.materialize import materialized
 def ancestors_of_heads(commits: DataFrame, heads: DataFrame, cut_every: int = 8) -> DataFrame:
     """Adds ``on_head``: reachable from the head of the repository.
 
-    Paths of 1, 2, 4, ... steps: every round the known links from a commit are
-    extended by the links of where they lead, so a history of depth d takes
-    log2(d) rounds over the linear parts.  ``commits``: repo_url, sha, parents;
-    ``heads``: repo_url, sha.  Linear runs are contracted first: a commit whose
-    only parent has no other child is followed by pointer jumping, and the
-    frontier walk below visits run ends only.
+    Linear runs are contracted by pointer jumping, which takes log2(length)
+    rounds; the frontier walk then visits branch and merge points only.  Every
+    round is written to the shared folder.  ``commits``: repo_url, sha, parents;
+    ``heads``: repo_url, sha.
     """
-    links = commits.select("repo_url", "sha", F.explode("parents").alias("parent"))
-    children = links.groupBy("repo_url", "parent").agg(F.count("*").alias("n_children"))
-    head_rows = heads.select("repo_url", F.col("sha").alias("head"))
-    nodes = (
-        commits.select("repo_url", "sha", "parents")
-        .join(children.select("repo_url", F.col("parent").alias("sha"), "n_children"), ["repo_url", "sha"], "left")
-        .join(head_rows, "repo_url", "left")
+    links = commits.select(
+        "repo_url", "sha", F.explode("parents").alias("parent"), F.size("parents").alias("n_parents")
     )
-    # Inside a run: exactly one child that has exactly one parent, and no head.
-    only_child = (
-        links.join(commits.select("repo_url", "sha", F.size("parents").alias("n_parents")), ["repo_url", "sha"])
-        .where(F.col("n_parents") == 1)
-        .select("repo_url", F.col("parent").alias("sha"), F.col("sha").alias("up"))
+    # A commit with one child that has no other parent is in the run of that child.
+    runs = (
+        links.groupBy("repo_url", F.col("parent").alias("sha"))
+        .agg(
+            F.count("*").alias("n_children"),
+            F.min("sha").alias("up"),
+            F.max("n_parents").alias("n_parents"),
+        )
+        .where((F.col("n_children") == 1) & (F.col("n_parents") == 1))
+        .join(heads.select("repo_url", "sha"), ["repo_url", "sha"], "left_anti")
+        .select("repo_url", "sha", "up")
     )
     jumps = materialized(
-        nodes.join(only_child, ["repo_url", "sha"], "left")
-        .withColumn(
-            "up",
-            F.when(
-                (F.col("n_children") == 1) & (F.col("sha") != F.coalesce("head", F.lit(""))), F.col("up")
-            ),
-        )
+        commits.select("repo_url", "sha")
+        .join(runs, ["repo_url", "sha"], "left")
         .select("repo_url", "sha", F.coalesce("up", "sha").alias("top")),
         "jumps",
     )

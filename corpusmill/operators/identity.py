@@ -20,10 +20,9 @@ def commit_minhash(commits: DataFrame) -> DataFrame:
     and map task crosses the network.
     """
     sha = F.when(F.length("sha") >= minhash.MIN_SHA_LENGTH, F.col("sha"))
-    names = [f"limb{q}" for q in range(4)]
-    limbs = [F.col(name) for name in names]
+    halves = ("high", "low")
     minima = [
-        F.min(minhash.permuted_key(limbs, i)).alias(f"m{i}") for i in range(minhash.PERMUTATIONS)
+        F.min(minhash.permuted_key(*halves, i)).alias(f"m{i}") for i in range(minhash.PERMUTATIONS)
     ]
     # concat_ws skips nulls: without commits every part is null and "" remains.
     signature = F.concat_ws(
@@ -31,7 +30,7 @@ def commit_minhash(commits: DataFrame) -> DataFrame:
     )
     return (
         commits.select(
-            "repo_url", *[c.alias(name) for c, name in zip(minhash.sha_limbs(sha), names)]
+            "repo_url", *[c.alias(name) for c, name in zip(minhash.sha_halves(sha), halves)]
         )
         .groupBy("repo_url")
         .agg(*minima)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.params import ScanParams
@@ -27,19 +27,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy("file", "block").agg(
         F.count("*").alias("n"), F.min("row_id").alias("first_id")
     )
-    # One small row per split: bytes of the file / split size of them.
-    offsets = (
-        splits.groupBy("file")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "n", "first_id"))).alias("blocks"))
-        .select("file", F.posexplode("blocks").alias("at", "b"), "blocks")
-        .select(
-            "file",
-            F.col("b.block").alias("block"),
-            F.col("b.first_id").alias("first_id"),
-            F.aggregate(
-                F.slice("blocks", F.lit(1), F.col("at")), F.lit(0).cast("bigint"), lambda t, b: t + b["n"]
-            ).alias("offset"),
-        )
+    # One small row per split of the file.
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(
+        "file", "block", "first_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     return lines.join(offsets, ["file", "block"]).select(
         "file", (F.col("offset") + F.col("row_id") - F.col("first_id") + 1).alias("line_no"), "value"
