@@ -181,13 +181,13 @@ def run_totals(results: DataFrame, errors: DataFrame, first: int = 3) -> DataFra
         ).alias("shown")
     )
     counted = errors.agg(F.count("*").alias("errors"))
-    # Three one-row tables.
-    return (
-        sums.crossJoin(counted).crossJoin(messages)
-        .select(
-            "processed", "repositories", "errors", "total_loc",
-            F.array_join("shown.error", " | ").alias("first_errors"),
-        )
+    # Three one-row tables laid over each other.
+    rows = sums.unionByName(counted, allowMissingColumns=True).unionByName(
+        messages, allowMissingColumns=True
+    )
+    return rows.agg(
+        *[F.max(name).alias(name) for name in ("processed", "repositories", "errors", "total_loc")],
+        F.array_join(F.max("shown.error"), " | ").alias("first_errors"),
     )
 
 

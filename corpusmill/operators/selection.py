@@ -32,6 +32,7 @@ from corpusmill.functions.text import decode_text, lines_with_breaks
 from corpusmill.operators.skew import salt_of
 from corpusmill.params import BudgetParams
 from corpusmill.schemas import LOGIC_LAYERS
+from corpusmill.sources.materialize import materialized
 
 
 def checked_requests(requests: DataFrame, masks: DataFrame) -> DataFrame:
@@ -170,13 +171,14 @@ def budget_select(
     """Every request with its outcome.
 
     ``requests``: repo_url, seq (unique per repository), path, layer,
-    start_line, end_line.  ``masks``: output of ``profile.line_masks``, best
+    start_line, end_line.  Writes two narrow tables to the shared folder.  ``masks``: output of ``profile.line_masks``, best
     written once beforehand.  ``primaries``: repo_url, primary.  Reasons, first
     match: not_found, duplicate, bad_range, zero_loc, budget_exhausted (total at
     target or above), too_large.
     """
-    checked = checked_requests(requests, masks)
-    per_repo = _accepted(checked, primaries, params)
+    # Both are needed by several branches below; each is computed once.
+    checked = materialized(checked_requests(requests, masks), "checked")
+    per_repo = materialized(_accepted(checked, primaries, params), "accepted")
     accepted = per_repo.select("repo_url", "primary", F.explode("accepted").alias("a")).select(
         "repo_url",
         F.col("a.norm_path").alias("norm_path"),

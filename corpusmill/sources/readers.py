@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import strip
 from corpusmill.params import ScanParams
 from corpusmill.schemas import IDENTITY, MANIFEST
 
@@ -63,17 +64,20 @@ def read_working_trees(spark: SparkSession, root: str, params: ScanParams = Scan
 def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines as (records, broken lines); broken ones never stop the job.
 
-    Truncated lines and values that are no objects count as broken.
+    Truncated lines and values that are no objects count as broken; blank lines
+    do not count at all.
     """
-    rows = (
-        spark.read.schema(f"{schema}, {_BROKEN} string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BROKEN)
-        .json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    lines = spark.read.text(path).where(strip(F.col("value")) != "")
+    parsed = lines.select(
+        "value",
+        strip(F.col("value")).startswith("{").alias("is_object"),
+        F.from_json("value", f"{schema}, {_BROKEN} string", options).alias("record"),
     )
+    usable = F.col("is_object") & F.col(f"record.{_BROKEN}").isNull()
     return (
-        rows.where(F.col(_BROKEN).isNull()).drop(_BROKEN),
-        rows.where(F.col(_BROKEN).isNotNull()).select(F.col(_BROKEN).alias("line")),
+        parsed.where(usable).select("record.*").drop(_BROKEN),
+        parsed.where(~usable).select(F.col("value").alias("line")),
     )
 
 

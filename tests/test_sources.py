@@ -51,7 +51,7 @@ def test_working_trees_are_pruned_while_listing(spark, tmp_path):
 def test_tolerant_and_strict_reading(spark, tmp_path):
     path = tmp_path / "m.jsonl"
     path.write_text(
-        json.dumps({"repo_url": "a", "total_loc": 5}) + "\n\n[1]\n" + json.dumps({"repo_url": "b"}) + '\n{"repo_url": "c'
+        json.dumps({"repo_url": "a", "total_loc": 5}) + "\n\n[{\"repo_url\": \"q\"}]\n" + json.dumps({"repo_url": "b"}) + '\n{"repo_url": "c'
     )
     good, broken = readers.read_records(spark, str(path), SMALL)
     assert sorted(map(tuple, good.collect())) == [("a", 5), ("b", None)]
