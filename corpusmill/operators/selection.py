@@ -16,8 +16,9 @@ lines fits.  Hence
   accepted with more than n lines, until the first one that does not fit.
 
 At most the sum of ``C div n`` over all n (about 61,000 for C = 6,500) requests
-per repository and slice can matter, whatever the table holds.  Only these meet
-in one task; all other rows are classified by joins.
+per repository can matter, whatever the table holds.  Slices of a repository are
+cut to that bound first, in parallel; what remains meets in one task and is cut
+and folded there.  All other rows are classified by joins.
 """
 
 from __future__ import annotations
@@ -88,14 +89,21 @@ def _bounded_candidates(checked: DataFrame, params: BudgetParams) -> DataFrame:
     path_order = Window.partitionBy("repo_url", "slice", "norm_path").orderBy("seq")
     smaller = F.min("loc").over(path_order.rowsBetween(Window.unboundedPreceding, -1))
     same_path = Window.partitionBy("repo_url", "slice", "norm_path")
-    size_order = Window.partitionBy("repo_url", "slice", "loc").orderBy("seq")
+    slice_order = Window.partitionBy("repo_url", "slice", "loc").orderBy("seq")
+    whole_order = Window.partitionBy("repo_url", "loc").orderBy("seq")
+    enough = F.floor(F.lit(params.cap_loc) / F.col("loc"))
     return (
         sliced.withColumn("smaller", smaller)
         .withColumn("repeated", F.count("*").over(same_path) > 1)
         .where(F.col("smaller").isNull() | (F.col("loc") < F.col("smaller")))
-        .withColumn("nth", F.row_number().over(size_order))
-        .where(F.col("nth") <= F.floor(F.lit(params.cap_loc) / F.col("loc")))
+        .withColumn("nth", F.row_number().over(slice_order))
+        .where(F.col("nth") <= enough)
         .select("repo_url", "seq", "loc", "norm_path", "is_logic", "repeated")
+        # The slices of a repository meet here, for this cut and for the fold.
+        .repartition("repo_url")
+        .withColumn("nth", F.row_number().over(whole_order))
+        .where(F.col("nth") <= enough)
+        .drop("nth")
     )
 
 
