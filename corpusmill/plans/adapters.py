@@ -363,3 +363,25 @@ def redaction_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "error").otherwise("ok").alias("status"),
         blob.alias("answer"),
     )
+
+
+def commit_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long linear histories with a few merges and abandoned commits."""
+    key = F.col("o_orderkey")
+
+    def parent(when: Column, distance: int) -> Column:
+        return F.when(when & (key >= distance), (key - distance).cast("string"))
+
+    skips = key % 501 == 0
+    parents = F.array(parent(~skips, 20), parent(skips, 40), parent(key % 997 == 0, 60))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("https://git.example.com/g/repo"), (key % 20).cast("string")).alias("repo_url"),
+        key.cast("string").alias("sha"),
+        F.array_compact(parents).alias("parents"),
+    )
+
+
+def graph_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = commit_graph(spark, sf_dir).where(F.col("sha").cast("bigint") % 3 == 0)
+    newest = F.max(F.col("sha").cast("bigint")).cast("string")
+    return heads.groupBy("repo_url").agg(newest.alias("sha"))

@@ -802,3 +802,49 @@ done AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY repo_url ORD
     AS folder_name, coalesce(code_primary, '') AS language, total AS total_loc, files AS file_count, paths
 FROM done LEFT JOIN focus USING (repo_url) WHERE total > 0""",
 )
+
+# --- further checks -----------------------------------------------------------------
+
+SQL["history_of_heads"] = """WITH RECURSIVE graph AS (
+  SELECT 'https://git.example.com/g/repo' || (o_orderkey % 20) AS repo_url, o_orderkey AS k,
+    list_filter([CASE WHEN o_orderkey % 501 <> 0 THEN o_orderkey - 20 ELSE o_orderkey - 40 END,
+      CASE WHEN o_orderkey % 997 = 0 THEN o_orderkey - 60 END], lambda p: p >= 0) AS parents
+  FROM orders),
+reach AS (
+  SELECT repo_url, max(k) AS k FROM graph WHERE k % 3 = 0 GROUP BY repo_url
+  UNION SELECT g.repo_url, unnest(g.parents) FROM reach r JOIN graph g ON g.repo_url = r.repo_url AND g.k = r.k)
+SELECT g.repo_url, CAST(g.k AS VARCHAR) AS sha, r.k IS NOT NULL AS on_head
+FROM graph g LEFT JOIN reach r ON r.repo_url = g.repo_url AND r.k = g.k"""
+
+SQL["redaction_resume"] = """SELECT 'd' || doc_id AS folder FROM documents
+WHERE doc_id <> 7 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 OR toxic = 1)"""
+
+SQL["deliverable_split"] = _with(
+    DOCS,
+    select="""SELECT source AS folder, regexp_replace(path, '^src/', 'samples/') AS path,
+  split_part(regexp_replace(path, '^src/', 'samples/'), '/', 1) IN ('samples', 'repo_summary.md') AS ships
+FROM docs""",
+)
+
+SQL["sample_display"] = _with(
+    *FOLD_CTES, recursive=True,
+    select="""SELECT repo_url, CAST(rank AS BIGINT) AS rank, path, layer,
+  CASE WHEN language = '' THEN '-' ELSE language END AS language, loc,
+  CASE WHEN is_partial THEN 'yes' ELSE 'no' END AS partial FROM saved""",
+)
+
+SQL["identity_gaps"] = """SELECT DISTINCT 'repo' || c_custkey AS folder FROM customer
+WHERE 'repo' || c_custkey NOT IN (SELECT 'repo' || (o_custkey % 200) FROM orders)"""
+
+SQL["error_previews"] = f"""WITH raw AS (
+  SELECT page_id, html, CASE WHEN page_id % 2 = 0 THEN
+    regexp_replace(html, '<(p|li)>', chr(10) || 'ERROR: ', 'g') || chr(10) || 'end' ELSE html END AS stderr
+  FROM pages),
+lines AS (
+  SELECT *, regexp_split_to_array(regexp_replace(stderr, '({_BREAKS})$', ''), '{_BREAKS}') AS all_lines FROM raw),
+picked AS (
+  SELECT *, list_filter(all_lines, lambda x: regexp_matches(x, '^\\s*ERROR:')) AS errs,
+    regexp_replace(trim(regexp_replace(html, '{_SPACE}', ' ', 'g')), '^ ', '') AS flat FROM lines)
+SELECT page_id, array_to_string(CASE WHEN len(errs) > 0 THEN errs ELSE all_lines[-5:] END, chr(10)) AS errors,
+  CASE WHEN length(flat) <= 200 THEN flat ELSE substr(flat, 1, 200) || '...' END AS short
+FROM picked"""

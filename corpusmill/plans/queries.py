@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import collapse_space
+from corpusmill.functions.text import error_lines, short_error
 from corpusmill.operators import (
+    ancestry,
     audit,
     candidates,
     identity,
@@ -377,6 +378,60 @@ def sampled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def history_of_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which commits are reachable from the head, from parent links alone."""
+    return ancestry.ancestors_of_heads(
+        a.commit_graph(spark, sf_dir), a.graph_heads(spark, sf_dir)
+    ).select("repo_url", "sha", "on_head")
+
+
+def redaction_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders to redact: one per document, labels stand for the two report places."""
+    def folders(rows: DataFrame) -> DataFrame:
+        return rows.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("folder"))
+
+    labels = a.table(spark, sf_dir, "labels")
+    return audit.pending_folders(
+        folders(a.table(spark, sf_dir, "documents")),
+        folders(labels.where("quality = 1")),
+        folders(labels.where("toxic = 1")),
+        skip=("d7",),
+    )
+
+
+def deliverable_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    artefacts = a.texts(spark, sf_dir).select(
+        "folder", F.regexp_replace("path", "^src/", "samples/").alias("path")
+    )
+    return packaging.split_deliverables(artefacts)
+
+
+def sample_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.display_rows(_manifest(spark, sf_dir))
+
+
+def identity_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of customers without a commit history under the same number."""
+    records = a.user_repos(spark, sf_dir).select(
+        F.substring_index("repo_url", "/", -1).alias("folder_name")
+    )
+    known = a.commit_ids(spark, sf_dir).select(
+        F.regexp_extract("repo_url", r"(repo[0-9]+)\.git$", 1).alias("folder")
+    )
+    return packaging.missing_identity(records, known)
+
+
+def error_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error lines and the short one-line form of every page source."""
+    pages = a.table(spark, sf_dir, "pages")
+    stderr = F.concat(F.regexp_replace("html", "<(p|li)>", "\nERROR: "), F.lit("\nend"))
+    return pages.select(
+        "page_id",
+        error_lines(F.when(F.col("page_id") % 2 == 0, stderr).otherwise(F.col("html"))).alias("errors"),
+        short_error(F.col("html"), 200).alias("short"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -391,5 +446,6 @@ QUERIES: dict[str, Query] = {
         transcript_compact, transcript_render, turn_validate, error_classes,
         usage_costs, redaction_totals, progress_flags, run_statistics, run_totals,
         layer_tags, candidate_order, sampled_corpus,
+        history_of_heads, redaction_resume, deliverable_split, sample_display, identity_gaps, error_previews,
     )
 }
