@@ -91,19 +91,19 @@ def _lookup_key(words: Column) -> Column:
     return F.array_join(F.slice(words, 1, LOOKUP_WORDS), " ")
 
 
-def _runs_of(words: Column, n: int) -> Column:
-    """Runs of ``n`` consecutive words; none when there are fewer words."""
-    last_start = F.size(words) - (n - 1)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(last_start, F.lit(1))),
-        lambda start: F.array_join(F.slice(words, start, n), " "),
-    )
-    return F.when(last_start >= 1, runs).otherwise(F.array().cast("array<string>"))
-
-
 def _ngrams(words: Column) -> Column:
-    """Distinct runs of 1 to LOOKUP_WORDS words."""
-    return F.array_distinct(F.concat(*[_runs_of(words, n + 1) for n in range(LOOKUP_WORDS)]))
+    """Distinct runs of 1 to LOOKUP_WORDS words, each built from a shorter run."""
+    runs = [words]
+    for n in range(2, LOOKUP_WORDS + 1):
+        count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        runs.append(
+            F.zip_with(
+                F.slice(runs[-1], F.lit(1), count),
+                F.slice(words, F.lit(n), count),
+                lambda run, word: F.concat(run, F.lit(" "), word),
+            )
+        )
+    return F.array_distinct(F.concat(*runs))
 
 
 def names_in_texts(texts: DataFrame, gazetteer: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,15 +142,14 @@ def redacted(
     """Texts (``keys`` plus ``text``) with an added ``redacted`` column.
 
     Patterns come first, then gazetteer names (name, kind, optional folder),
-    longest first.  A text meets only the names found in it.
+    longest first.  A text meets only the names found in it; they are looked up
+    in the text as given, so the patterns are applied once.
     """
     cleaned = with_patterns_redacted(texts, "text", "redacted")
     if gazetteer is None:
         return cleaned
     found = (
-        names_in_texts(
-            cleaned.select(*keys, F.col("redacted").alias("text")), gazetteer, keys
-        )
+        names_in_texts(texts, gazetteer, keys)
         .groupBy(*keys)
         .agg(
             F.array_sort(

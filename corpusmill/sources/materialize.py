@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Only a session without it (tests, notebooks) gets a folder of its own.
+    Only a local session without it (tests) gets a folder of its own; a cluster
+    has to name one that all executors share.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(folder)
