@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import ship_package, table
 from corpusmill.llm.decontaminate import contamination_digest
 from corpusmill.llm.mixing import plan_mix, taken_words
+from corpusmill.llm.ngram_join import similar_documents
 from corpusmill.llm.quality_rules import quality_rules
 from corpusmill.llm.rule_ensemble import rule_scores
 from corpusmill.llm.sharding import shard_by_bytes
+from corpusmill.llm.suffix_dedup import repeats_digest
 from corpusmill.llm.token_output import write_training_order
 from corpusmill.llm.training import held_out
+from corpusmill.llm.url_filter import url_verdicts
+from corpusmill.llm.warc import archived_pages
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +31,27 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_training_order(table(spark, sf_dir, "documents")).drop("path")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = rule_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +74,11 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_training_order": op3_training_order,
+    "op4_ngram_join": op4_ngram_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_warc": op6_warc,
     "op7_rule_ensemble": op7_rule_ensemble,
+    "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
