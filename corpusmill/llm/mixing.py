@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialized, running_totals, word_count
+from corpusmill.llm.common import materialized, ranges, running_totals, word_count
 from corpusmill.llm.feistel import permuted
 
 
@@ -154,7 +154,10 @@ def plan_mix(
                     ["shard", "slot", "source_no", "block", "pass"],
                 )
 
-    slots = drawn.select("shard", "source_no", "n", "start", "ahead", "in_shard").mapInArrow(
+    # The counts are few rows that grow to many: deal them out first.
+    slots = drawn.select("shard", "source_no", "n", "start", "ahead", "in_shard").repartition(
+        ranges(spark), "shard", "source_no"
+    ).mapInArrow(
         choose, "shard long, slot long, source_no int, block long, pass int"
     )
     return Mix(sources, rows, fragments, slots)

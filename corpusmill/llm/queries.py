@@ -13,7 +13,7 @@ from corpusmill.llm.quality_rules import quality_rules
 from corpusmill.llm.rule_ensemble import rule_scores
 from corpusmill.llm.sharding import shard_by_bytes
 from corpusmill.llm.suffix_dedup import repeats_digest
-from corpusmill.llm.token_output import write_training_order
+from corpusmill.llm.token_output import training_order
 from corpusmill.llm.training import held_out
 from corpusmill.llm.url_filter import url_verdicts
 from corpusmill.llm.warc import archived_pages
@@ -28,7 +28,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_training_order(table(spark, sf_dir, "documents")).drop("path")
+    return training_order(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +26,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 @dataclass(frozen=True)
 class TokenParams:
-    """A record is ``length`` ids of two bytes, little endian; ``pad`` is an id that no text yields."""
+    """A record is ``length`` ids of two bytes, little endian; ``pad`` is an id that no text yields.
+
+    The starts of up to ``broadcast_tasks`` tasks (16 bytes each) are broadcast, more are joined by shuffle.
+    """
 
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     length: int = 256
@@ -31,6 +37,7 @@ class TokenParams:
     slots_per_shard: int = 65536
     key: int = 20240229
     cached_words: int = 400_000
+    broadcast_tasks: int = 200_000
 
     @property
     def stride(self) -> int:
@@ -53,6 +60,7 @@ class WordIds(dict):
         return ids
 
 
+@lru_cache(2)
 def encoder(params: TokenParams):
     """Function from a text to the bytes of its ids; equal to encoding the whole text at once.
 
@@ -60,10 +68,6 @@ def encoder(params: TokenParams):
     and a blank followed by one that is not, so such words are encoded once.
     Texts with other white space next to blanks are encoded whole.
     """
-    import re
-
-    import tiktoken
-
     with open(params.vocabulary, "rb") as source:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in source)}
     encode = tiktoken.Encoding(
@@ -114,61 +118,24 @@ def sequences(docs: DataFrame, params: TokenParams, key: str = "doc_id", text: s
     return chosen.mapInArrow(run, "doc_id long, piece int, task int, place long, tokens binary")
 
 
-def _write(folder: str, params: TokenParams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by slot; a file is open while its shard lasts."""
-        shard, context, out, uri = None, None, None, None
-        names = ["doc_id", "piece", "n_tokens", "slot", "shard", "byte_offset", "record_crc32", "path"]
-        for batch in batches:
-            slots = batch.column(2).to_numpy()
-            records = batch.column(3).to_pylist()
-            shards, crc, paths = slots // params.slots_per_shard, [], []
-            for record, its in zip(records, shards.tolist()):
-                if its != shard:
-                    if context:
-                        context.__exit__(None, None, None)
-                    context = new_file(folder, f"shard-{its:08d}", ".bin")
-                    (out, uri), shard = context.__enter__(), its
-                whole = record + pad[len(record) :]
-                out.write(whole)
-                crc.append(zlib.crc32(whole))
-                paths.append(uri)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array([len(r) // 2 for r in records], pa.int32()),
-                    batch.column(2), pa.array(shards.astype(np.int32)),
-                    pa.array(slots % params.slots_per_shard * params.stride), pa.array(crc, pa.int64()),
-                    pa.array(paths, pa.string()),
-                ],
-                names,
-            )
-        if context:
-            context.__exit__(None, None, None)
-
-    pad = np.full(params.length, params.pad, np.uint16).tobytes()
-    return run
-
-
-def write_training_order(
-    docs: DataFrame, params: TokenParams = TokenParams(), folder: str | None = None, key: str = "doc_id",
-    text: str = "text",
+def training_order(
+    docs: DataFrame, params: TokenParams = TokenParams(), key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Write all sequences of ``docs`` as shard files in a random but fixed order; returns the index table.
+    """All sequences of ``docs`` as fixed-stride records in a random but fixed order.
 
     Texts become ids once; the sequences are written to the shared folder, and
     the counts of the tasks that made them give each a number 0 .. n-1.  The
     keyed permutation of that number is its global ``slot``.  Sequences are range
-    partitioned by shard and each shard is written front to back in one file of
-    ``slots_per_shard`` records (the last shard may be shorter), so that slot
-    ``s`` stands at byte ``s % slots_per_shard * stride`` of shard
-    ``s // slots_per_shard`` and a reader resumes anywhere by seeking.  The order depends on the key and the table
-    as stored, not on timing.  Null and empty texts fill one slot with padding
-    only; an empty table writes nothing.  Repeated rows get slots of their own;
-    only ``key`` and ``text`` are read.  The index is written once: it names the
-    files of successful task attempts, others are never read.
+    partitioned by ``shard`` and sorted by slot, so that whatever writes the
+    result writes whole shards front to back.  ``record`` always has ``stride``
+    bytes: ids of two bytes, then padding.  Slot ``s`` stands at ``byte_offset``
+    ``s % slots_per_shard * stride`` of shard ``s // slots_per_shard``, and a
+    reader resumes anywhere.  The order depends on the key and the table as stored, not on timing.
+
+    Null and empty texts fill one slot with padding only; an empty table gives
+    no rows.  Repeated rows get slots of their own; only ``key`` and ``text`` are read.
     """
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "shards")
     made = f"{new_folder(spark, 'sequences')}"
     sequences(docs, params, key, text).write.option("compression", "zstd").parquet(made)
     rows = spark.read.parquet(made)
@@ -176,7 +143,10 @@ def write_training_order(
     # One row per task of the first pass.
     ahead = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    sums = counts.agg(F.sum("n"), F.count("*")).first()
+    total = sums[0] or 0
+    if sums[1] <= params.broadcast_tasks:
+        starts = F.broadcast(starts)
     index = rows.join(starts, F.col("task") == F.col("_task")).select(
         "doc_id", "piece", (F.col("start") + F.col("place")).alias("index"), "tokens"
     )
@@ -192,17 +162,63 @@ def write_training_order(
                 ["doc_id", "piece", "slot", "tokens", "shard"],
             )
 
+    def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pad = np.full(params.length, params.pad, np.uint16).tobytes()
+        for batch in batches:
+            slots, tokens = batch.column(2).to_numpy(), batch.column(3).to_pylist()
+            records = [t + pad[len(t) :] for t in tokens]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array([len(t) // 2 for t in tokens], pa.int32()),
+                    batch.column(2), batch.column(4),
+                    pa.array(slots % params.slots_per_shard * params.stride),
+                    pa.array([zlib.crc32(r) for r in records], pa.int64()), pa.array(records, pa.binary()),
+                ],
+                ["doc_id", "piece", "n_tokens", "slot", "shard", "byte_offset", "record_crc32", "record"],
+            )
+
     shards = max(1, -(-total // params.slots_per_shard))
     placed = (
         index.mapInArrow(slot, "doc_id long, piece int, slot long, tokens binary, shard int")
-        .repartitionByRange(shards, "shard").sortWithinPartitions("slot").drop("shard")
+        .repartitionByRange(shards, "shard").sortWithinPartitions("slot")
     )
-    written = placed.mapInArrow(
-        _write(folder, params),
-        "doc_id long, piece int, n_tokens int, slot long, shard int, byte_offset long, record_crc32 long, path string",
+    return placed.mapInArrow(
+        padded,
+        "doc_id long, piece int, n_tokens int, slot long, shard int, byte_offset long, record_crc32 long, record binary",
     )
+
+
+def write_shard_files(ordered: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write each shard of ``training_order`` as one raw file; returns the index (without records, with ``path``).
+
+    Files are written front to back by the tasks that hold the shards; the
+    index is written once and names the files of successful attempts, others are never read.
+    """
+    spark = ordered.sparkSession
+    folder = folder or new_folder(spark, "shards")
+    names = [*[c for c in ordered.columns if c != "record"], "path"]
+    kinds = ", ".join(f"{c} {t}" for c, t in ordered.drop("record").dtypes) + ", path string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, context, out, uri = None, None, None, None
+        for batch in batches:
+            paths = []
+            for its, record in zip(batch.column("shard").to_pylist(), batch.column("record")):
+                if its != shard:
+                    if context:
+                        context.__exit__(None, None, None)
+                    context = new_file(folder, f"shard-{its:08d}", ".bin")
+                    (out, uri), shard = context.__enter__(), its
+                out.write(record.as_py())
+                paths.append(uri)
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names[:-1]], pa.array(paths, pa.string())], names
+            )
+        if context:
+            context.__exit__(None, None, None)
+
     listed = new_folder(spark, "index")
-    written.write.parquet(listed)
+    ordered.mapInArrow(run, kinds).write.parquet(listed)
     return spark.read.parquet(listed)
 
 
