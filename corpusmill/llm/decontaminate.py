@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusmill.llm.common import materialized, pieces
 
@@ -105,14 +106,14 @@ def contamination(
         *carry, F.col(text).alias("_text"), F.array().cast("array<int>").alias("_runs"),
         F.array().cast("array<long>").alias("_items"),
     )
-    head = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     for number, group in enumerate(groups):
         last = number == len(groups) - 1
         tail = (
-            ["n_words long", "n_hit long", "item_ids array<long>", "spans array<struct<start:int,end:int>>"]
-            if last else ["_text string", "_runs array<int>", "_items array<long>"]
+            "n_words long, n_hit long, item_ids array<long>, spans array<struct<start:int,end:int>>"
+            if last else "_text string, _runs array<int>, _items array<long>"
         )
-        state = state.mapInArrow(_scan(group, params.window, last, list(carry)), ", ".join(head + tail))
+        schema = StructType([*fields.fields, *StructType.fromDDL(tail).fields])
+        state = state.mapInArrow(_scan(group, params.window, last, list(carry)), schema)
         if not last:
             state = materialized(state, "hits")
     return state

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusmill.llm.common import materialized, ranges, running_totals, word_count
 from corpusmill.llm.feistel import permuted
@@ -220,7 +221,7 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     )
     other = [c for c in docs.columns if c not in ("text", "n_chars")]
     names = [*other, "text"]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    kinds = StructType([docs.schema[c] for c in names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

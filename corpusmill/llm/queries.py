@@ -49,7 +49,17 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(table(spark, sf_dir, "pages")).drop("url")
+    """Labelled urls: those of pages whose path names a labelled document; low quality is what to block."""
+    pages = table(spark, sf_dir, "pages")
+    number = F.regexp_extract("url", r"://[^?#]*/([0-9]{1,18})(?:[./?#]|$)", 1)
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id")).groupBy("doc_id").agg(
+        (1 - F.max("quality")).alias("label")
+    )
+    labelled = (
+        pages.select("url", number.alias("_n")).where("_n <> ''")
+        .join(labels, F.col("_n").cast("long") == F.col("doc_id")).select("url", "label")
+    )
+    return url_verdicts(pages, labelled=labelled).drop("url")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

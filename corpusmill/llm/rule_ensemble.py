@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusmill.llm.common import pieces, text_bytes
 from corpusmill.llm.text_stats import FEATURES, feature_matrix
@@ -130,7 +131,7 @@ def text_features(docs: DataFrame, key: str = "doc_id", text: str = "text", carr
     """``doc_id``, the carried columns and ``FEATURES`` of every row (null text: as empty)."""
     names = ["doc_id", *carry, *FEATURES]
     chosen = docs.select(F.col(key).alias("doc_id"), *carry, F.col(text).alias("text"))
-    fields = [f"{c} {t}" for c, t in chosen.drop("text").dtypes] + [f"{c} double" for c in FEATURES]
+    schema = StructType([*chosen.drop("text").schema.fields, *[StructField(c, DoubleType()) for c in FEATURES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -139,7 +140,7 @@ def text_features(docs: DataFrame, key: str = "doc_id", text: str = "text", carr
                 [*batch.columns[:-1], *[pa.array(np.ascontiguousarray(c)) for c in matrix.T]], names
             )
 
-    return chosen.mapInArrow(run, ", ".join(fields))
+    return chosen.mapInArrow(run, schema)
 
 
 def score_expression(model: bytes) -> Column:
