@@ -25,7 +25,7 @@ class SuffixParams:
 
     length: int = 100
     anchor: int = 32
-    shard_bytes: int = 4 << 20
+    shard_bytes: int = 1 << 20
     memory_items: int = 8 << 20
     hot_regions: int = 20_000
 
@@ -137,7 +137,9 @@ def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = (values, not first_ever, bool(joined[-1]))
         keep = np.flatnonzero(kind >= 0)
         made = batch.take(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([*made.columns, pa.array(kind[keep].astype(np.int32))], _PASSED)
+        settled = kind[keep] == 0  # these need their place only
+        hashes = [pa.array(c[keep], pa.int64(), mask=settled) for c in columns]
+        yield pa.RecordBatch.from_arrays([*hashes, *made.columns[2:], pa.array(kind[keep].astype(np.int32))], _PASSED)
         if rows:
             yield _rows(rows, batch.schema)
     if held is not None:
@@ -219,28 +221,38 @@ def shard_repeats(regions, keys: np.ndarray, starts: np.ndarray, params: SuffixP
         work.close()
 
 
-def _sort_shard(params: SuffixParams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
+def _sort_shards(params: SuffixParams):
+    """Rows come sorted by shard; one shard after the other is gathered and sorted."""
+    names = ["doc_id", "copy", "start", "stop"]
+
+    def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).sort_by([("doc_id", "ascending"), ("copy", "ascending"), ("start", "ascending")])
-        table = table.combine_chunks()
-        ids, copies = table.column("doc_id").to_numpy(), table.column("copy").to_numpy()
+        ids, copies = (table.column(c).to_numpy() for c in ("doc_id", "copy"))
         starts = table.column("start").to_numpy()
         keys = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]) | (copies[1:] != copies[:-1]))])
         row, first, stop = shard_repeats(table.column("region").to_pylist(), keys, starts, params)
-        take = pa.array(row)
-        base = starts[row]
-        yield pa.RecordBatch.from_arrays(
-            [
-                table.column("doc_id").combine_chunks().take(take) if len(row) else pa.array([], pa.int64()),
-                table.column("copy").combine_chunks().take(take) if len(row) else pa.array([], pa.int32()),
-                pa.array(base + first), pa.array(base + stop - 1 + params.length),
-            ],
-            ["doc_id", "copy", "start", "stop"],
+        own = table.select(["doc_id", "copy"]).take(pa.array(row)).combine_chunks()
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in own.columns]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(starts[row] + first), pa.array(starts[row] + stop - 1 + params.length)], names
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(numbers[1:] != numbers[:-1]) + 1, [len(numbers)]])
+            for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if parts and numbers[at] != shard:
+                    yield one(parts)
+                    parts = []
+                shard = numbers[at]
+                parts.append(batch.slice(at, to - at))
+        if parts:
+            yield one(parts)
+
     return run
 
 
@@ -310,8 +322,9 @@ def repeated_spans(docs: DataFrame, params: SuffixParams) -> DataFrame:
     sorted_ = (
         regions.join(hot, F.col("anchor") == F.col("_h"), "left_anti")
         .withColumn("shard", F.pmod(F.xxhash64("anchor", F.lit(9)), F.lit(shards)))
-        .repartition(shards, "shard").drop("shard", "anchor")
-        .mapInArrow(_sort_shard(params), "doc_id long, copy int, start long, stop long")
+        .select("shard", "doc_id", "copy", "start", "region")
+        .repartition(min(shards, max(ranges(spark), shards // 64)), "shard").sortWithinPartitions("shard")
+        .mapInArrow(_sort_shards(params), "doc_id long, copy int, start long, stop long")
     )
     common = _hot_windows(regions.join(hot, F.col("anchor") == F.col("_h"), "left_semi"), params)
     return whole.unionByName(sorted_).unionByName(common)
