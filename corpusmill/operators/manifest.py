@@ -109,17 +109,10 @@ def layer_breakdown(files: Column) -> Column:
     )
 
 
-# The summary text used when nobody wrote one.
+# Text of the summary where nobody wrote one.
 _SUMMARY_HEAD = (
-    "## Repository overview\n\n"
-    "A code repository. This summary was auto-generated because the agent did not produce one.\n\n"
-    "## Repository structure\n\n"
-    "See the `samples/` directory for the sampled files.\n\n"
-    "## What was sampled\n\n"
-)
-_SUMMARY_TAIL = (
-    "\n\n## Notes\n\n"
-    "Summary was automatically generated due to agent not completing the write_summary step.\n"
+    "# Sample of a repository\n\n"
+    "Nobody described this repository; the figures below come from the sample itself.\n\n"
 )
 
 
@@ -130,16 +123,16 @@ def fallback_summary(rollup: DataFrame) -> DataFrame:
             "files",
             lambda f: F.concat(
                 F.lit("- `"), f["path"], F.lit("` ("), f["layer"], F.lit(", "),
-                f["loc_taken"].cast("string"), F.lit(" LOC)"),
+                f["loc_taken"].cast("string"), F.lit(" lines)"),
             ),
         ),
         "\n",
     )
     text = F.concat(
-        F.lit(_SUMMARY_HEAD),
-        F.col("file_count").cast("string"), F.lit(" files, "),
-        F.col("total_loc").cast("string"), F.lit(" LOC total.\nLayer breakdown: "),
-        layer_breakdown(F.col("files")), F.lit("\n\n"), listing, F.lit(_SUMMARY_TAIL),
+        F.lit(_SUMMARY_HEAD + "Sampled: "),
+        F.col("file_count").cast("string"), F.lit(" files with "),
+        F.col("total_loc").cast("string"), F.lit(" code lines.\nBy layer: "),
+        layer_breakdown(F.col("files")), F.lit("\n\n"), listing, F.lit("\n"),
     )
     return rollup.withColumn("summary", text)
 

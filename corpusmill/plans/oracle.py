@@ -7,7 +7,7 @@ recursive fold instead of array expressions and bounded candidates.
 from __future__ import annotations
 
 from corpusmill.functions import languages as lang
-from corpusmill.functions.minhash import PERMUTATIONS, permutation_constants
+from corpusmill.functions.minhash import CONSTANTS
 from corpusmill.operators.candidates import DENSE_FLOW, FLOW_MARKS, GENERATED_MARKS, PATH_RULES
 from corpusmill.operators.redaction import PATTERN_RULES, PLACEHOLDERS
 from corpusmill.operators.transcripts import _CLOSING, _CONVERSATION, _INTRO
@@ -114,10 +114,12 @@ bodies AS (
   WHERE NOT (i = parts AND line = '')),
 marked AS (
   SELECT repo_url, path, language, i, body <> '' AND NOT (CASE
-    WHEN lower(language) IN {_in(lang.HASH_COMMENT_LANGUAGES)} THEN {_starts(lang.HASH_PREFIXES)}
-    WHEN lower(language) IN {_in(lang.SLASH_COMMENT_LANGUAGES)} THEN {_starts(lang.SLASH_PREFIXES)}
-    WHEN lower(language) = 'rust' THEN {_starts(lang.RUST_PREFIXES)}
-    WHEN lower(language) = 'php' THEN {_starts(lang.PHP_PREFIXES)}
+    WHEN lower(language) IN ('python', 'ruby', 'shell', 'bash', 'yaml') THEN {_starts(("#",))}
+    WHEN lower(language) IN ('typescript', 'typescript typings', 'javascript', 'jsx', 'go', 'java', 'kotlin', 'c',
+      'c header', 'c++', 'c++ header', 'c#', 'cpp', 'swift', 'objective c', 'objective c++', 'dart', 'scala')
+      THEN {_starts(("//", "*", "/*", "*/"))}
+    WHEN lower(language) = 'rust' THEN {_starts(lang.PREFIXES_BY_LANGUAGE["rust"])}
+    WHEN lower(language) = 'php' THEN {_starts(lang.PREFIXES_BY_LANGUAGE["php"])}
     ELSE {_starts(lang.OTHER_PREFIXES)} END) AS is_code
   FROM bodies),
 loc AS (
@@ -207,7 +209,7 @@ rollup_rows AS (
     coalesce(sum(loc) FILTER (WHERE language = primary_language), 0) AS primary_loc,
     any_value(primary_language) AS primary_language,
     string_agg(rank || ':' || path || ':' || layer || ':' || loc, ';' ORDER BY rank) AS files,
-    string_agg('- `' || path || '` (' || layer || ', ' || loc || ' LOC)', {LF} ORDER BY rank) AS listing,
+    string_agg('- `' || path || '` (' || layer || ', ' || loc || ' lines)', {LF} ORDER BY rank) AS listing,
     arg_min(path, rank) AS first_path
   FROM saved GROUP BY repo_url),
 layers AS (
@@ -389,14 +391,9 @@ ERRORS = f"""errors AS (
   FROM events WHERE event_type = 'error')"""
 
 _SUMMARY = (
-    "'## Repository overview' || chr(10) || chr(10) || "
-    "'A code repository. This summary was auto-generated because the agent did not produce one.' "
-    "|| chr(10) || chr(10) || '## Repository structure' || chr(10) || chr(10) "
-    "|| 'See the `samples/` directory for the sampled files.' || chr(10) || chr(10) "
-    "|| '## What was sampled' || chr(10) || chr(10) || file_count || ' files, ' || total_loc "
-    "|| ' LOC total.' || chr(10) || 'Layer breakdown: ' || breakdown || chr(10) || chr(10) || listing "
-    "|| chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || 'Summary was automatically generated "
-    "due to agent not completing the write_summary step.' || chr(10)"
+    "'# Sample of a repository' || chr(10) || chr(10) || 'Nobody described this repository; the figures below come from the "
+    "sample itself.' || chr(10) || chr(10) || 'Sampled: ' || file_count || ' files with ' || total_loc || ' code lines.' "
+    "|| chr(10) || 'By layer: ' || breakdown || chr(10) || chr(10) || listing || chr(10)"
 )
 
 
@@ -407,7 +404,7 @@ def _share(part: str, total: str) -> str:
 _SIGNATURE = " || ',' || ".join(
     f"lower(lpad(to_hex(min(CAST((CAST(v AS UHUGEINT) * {m}::UHUGEINT + {b}::UHUGEINT)"
     f" % 18446744073709551616::UHUGEINT AS UBIGINT))), 16, '0'))"
-    for m, b in (permutation_constants(i) for i in range(PERMUTATIONS))
+    for m, b in CONSTANTS
 )
 
 SQL: dict[str, str] = {

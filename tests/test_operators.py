@@ -159,7 +159,7 @@ def test_rollup_and_summary(spark):
     assert row.sample_lang_distribution == {"PHP": 0.2, "Go": 0.2, "CSS": 0.5, "Unknown": 0.1}
     assert [f["path"] for f in row.files] == ["a.php", "b.go", "c.css", "odd"]
     assert row.repo_summary.startswith("**Main language:** PHP\n\n## Repository overview")
-    assert "Layer breakdown: infra: 50%, business: 20%, test: 20%, util: 10%" in row.repo_summary
+    assert "By layer: infra: 50%, business: 20%, test: 20%, util: 10%" in row.repo_summary
     own = spark.createDataFrame([("r", "**Main language:** PHP\n\nmine")], "repo_url string, summary string")
     assert manifest.with_summary(rollup, own).first().repo_summary == "**Main language:** PHP\n\nmine"
 
