@@ -115,10 +115,15 @@ def _types(text: np.ndarray) -> np.ndarray:
     return np.repeat(rises[turn], np.diff(np.concatenate([[-1], turn])))
 
 
-def _runs(text: np.ndarray) -> np.ndarray:
-    """Length of the run of equal symbols that starts at each position."""
-    turn = np.flatnonzero(np.append(text[:-1] != text[1:], True))
-    return np.repeat(turn, np.diff(np.concatenate([[-1], turn]))) - np.arange(len(text)) + 1
+def _run(text: np.ndarray, position: int, limit: int) -> int:
+    """Length, up to ``limit``, of the run of equal symbols that starts at a position."""
+    part = text[position : position + limit]
+    other = part != part[0]
+    return int(other.argmax()) if other.any() else len(part)
+
+
+def _index_type(n: int):
+    return np.int32 if n < 2**31 - 1 else np.int64
 
 
 def _doubled(text: np.ndarray) -> np.ndarray:
@@ -180,7 +185,7 @@ def _least(values: np.ndarray, orders: np.ndarray, before: int) -> np.ndarray:
     return np.minimum.reduceat(part, starts - low)
 
 
-def _scan(text, rising, symbols, seeds, seed_lcp, runs, limit: int, work: Workspace, down: bool):
+def _scan(text, rising, symbols, seeds, seed_lcp, limit: int, work: Workspace, down: bool):
     """One inducing scan.
 
     ``seeds`` maps a symbol to positions already sorted in scan order; after
@@ -189,18 +194,19 @@ def _scan(text, rising, symbols, seeds, seed_lcp, runs, limit: int, work: Worksp
     """
     queue, scanned, out = BucketQueue(work), 0, {}
     values = work.array(len(text) + 1, np.uint8) if limit else None
-    sign = -1 if down else 1
+    sign, index = -1 if down else 1, _index_type(len(text) + 1)
+    wide = np.int32 if text.dtype.itemsize <= 2 else np.int64
 
     def visit(symbol: int, positions: np.ndarray, lcp) -> None:
         nonlocal scanned
         if limit and len(positions):
             values[scanned : scanned + len(positions)] = lcp
         use = positions > 0
-        order = (np.arange(len(positions)) + scanned)[use]
+        order = (np.arange(len(positions), dtype=index) + index(scanned))[use]
         before = positions[use] - 1
         want = rising[before] if down else ~rising[before]
         before, order = before[want], order[want]
-        queue.push(sign * text[before].astype(np.int64), order, before)
+        queue.push(sign * text[before].astype(wide), order, before)
         scanned += len(positions)
 
     for symbol in symbols[::-1] if down else symbols:
@@ -216,39 +222,39 @@ def _scan(text, rising, symbols, seeds, seed_lcp, runs, limit: int, work: Worksp
             if limit:
                 if last is None:
                     least = np.append(np.uint8(0), _least(values, orders[1:], int(orders[0])))
-                    lcp = np.minimum(least.astype(np.int64) + 1, limit)
+                    lcp = np.minimum(least.astype(np.int16) + 1, limit)
                     lcp[0] = 0
                 else:
-                    lcp = np.minimum(_least(values, orders, last).astype(np.int64) + 1, limit)
+                    lcp = np.minimum(_least(values, orders, last).astype(np.int16) + 1, limit)
                 lcps.append(lcp)
             last = int(orders[-1])
             found.append(positions)
             visit(symbol, positions, lcp)
-        own = np.concatenate(found) if found else np.zeros(0, np.int64)
-        out[symbol] = own, (np.concatenate(lcps) if lcps else np.zeros(0, np.int64))
+        own = np.concatenate(found) if found else np.zeros(0, index)
+        out[symbol] = own, (np.concatenate(lcps) if lcps else np.zeros(0, np.int16))
         more = seeds.get(symbol)
         if more is not None and len(more):
             lcp = None
             if limit:
                 lcp = seed_lcp[symbol].copy()
-                lcp[0] = min(limit, runs[own[-1]], runs[more[0]]) if len(own) else 0
+                lcp[0] = min(_run(text, own[-1], limit), _run(text, more[0], limit)) if len(own) else 0
             visit(symbol, more, lcp)
     return out
 
 
 def _prefixes(words: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
     """Common prefix, up to ``limit`` symbols, of each suffix with the one before it in ``order``."""
-    out = np.zeros(len(order), np.int64)
-    active = np.arange(1, len(order))
+    out = np.zeros(len(order), np.int16)
+    active = np.arange(1, len(order), dtype=_index_type(len(order)))
     for depth in range(0, limit, 8):
         if not len(active):
             break
         a = words[np.minimum(order[active] + depth, len(words) - 1)]
         b = words[np.minimum(order[active - 1] + depth, len(words) - 1)]
-        x = a ^ b
+        x = (a ^ b).astype(np.uint64)
         same = x == 0
         rest = x[~same]
-        zeros = np.zeros(len(rest), np.int64)
+        zeros = np.zeros(len(rest), np.int16)
         for shift in (32, 16, 8):
             high = (rest >> np.uint64(64 - shift)) == 0
             zeros += np.where(high, shift // 8, 0)
@@ -271,7 +277,8 @@ def suffixes(text: np.ndarray, work: Workspace, limit: int = 0):
     symbols = [int(s) for s in np.unique(text)]
     star = np.zeros(n, bool)
     star[1:] = rising[1:] & ~rising[:-1]
-    stars = np.flatnonzero(star)
+    stars = np.flatnonzero(star).astype(_index_type(n))
+    del star
     if n == 1:
         yield np.zeros(1, np.int64), np.zeros(1, np.int64)
         return
@@ -284,15 +291,13 @@ def suffixes(text: np.ndarray, work: Workspace, limit: int = 0):
         reduced = work.array(len(stars) + 1, np.int64)
         reduced[:-1] = names + 1
         order = np.concatenate([p for p, _ in suffixes(reduced, work)])[1:]
-    ordered = stars[order]
-    runs, words, seed_lcp = None, None, {}
+    ordered = stars[order].astype(_index_type(n))
+    seed_lcp = {}
     if limit:
-        runs = _runs(text)
-        padded = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
-        words = np.zeros(n, np.uint64)
-        for j in range(8):
-            words = (words << np.uint64(8)) | padded[j : j + n]
-        prefix = _prefixes(words, ordered, limit)
+        # Eight symbols at every position as one number, without a copy of the text for each.
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = text
+        prefix = _prefixes(np.ndarray((n,), ">u8", padded, strides=(1,)), ordered, limit)
     first = text[ordered]
     bounds = np.searchsorted(first, symbols + [symbols[-1] + 1])
     seeds = {}
@@ -300,11 +305,11 @@ def suffixes(text: np.ndarray, work: Workspace, limit: int = 0):
         seeds[s] = ordered[bounds[k] : bounds[k + 1]]
         if limit:
             seed_lcp[s] = prefix[bounds[k] : bounds[k + 1]]
-    lower = _scan(text, rising, symbols, seeds, seed_lcp, runs, limit, work, down=False)
+    lower = _scan(text, rising, symbols, seeds, seed_lcp, limit, work, down=False)
     # In the descending scan a value stands between a suffix and the one after it.
     back = {s: p[::-1] for s, (p, _) in lower.items()}
     back_lcp = {s: np.append(0, v[1:][::-1]) for s, (_, v) in lower.items()} if limit else {}
-    upper = _scan(text, rising, symbols, back, back_lcp, runs, limit, work, down=True)
+    upper = _scan(text, rising, symbols, back, back_lcp, limit, work, down=True)
     for s in symbols:
         low, low_lcp = lower[s]
         high, high_lcp = upper[s]
@@ -315,5 +320,5 @@ def suffixes(text: np.ndarray, work: Workspace, limit: int = 0):
             continue
         up = np.append(0, high_lcp[1:][::-1]) if len(high) else high_lcp
         if len(low) and len(high):
-            up[0] = min(limit, runs[low[-1]], runs[high[-1]])
+            up[0] = min(_run(text, low[-1], limit), _run(text, high[-1], limit))
         yield np.concatenate([low, high[::-1]]), np.concatenate([low_lcp, up])

@@ -25,9 +25,9 @@ class SuffixParams:
 
     length: int = 100
     anchor: int = 32
-    shard_bytes: int = 1 << 20
+    shard_bytes: int = 512 << 10
     memory_items: int = 8 << 20
-    hot_regions: int = 20_000
+    hot_regions: int = 5_000
 
 
 def anchor_regions(data: np.ndarray, offsets: np.ndarray, params: SuffixParams):
@@ -202,7 +202,9 @@ def shard_repeats(regions, keys: np.ndarray, starts: np.ndarray, params: SuffixP
         text[-1] = 0
         begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
         repeated = work.array(len(text), bool)
-        owner = np.searchsorted(begins, np.arange(0, len(text), 1), "right") - 1
+        owner = work.array(len(text), np.int32)
+        owner[:-1] = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+        owner[-1] = len(sizes) - 1
         for positions, prefix in suffixes(text, work, n):
             row = owner[positions]
             whole = positions - begins[row] + n <= sizes[row]
