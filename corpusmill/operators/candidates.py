@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.languages import code_line_mask, is_code_language, language_of, ones_in
 from corpusmill.functions.paths import below_any, module_of
 from corpusmill.functions.text import decode_text, text_lines
-from corpusmill.operators.redaction import PATTERN_RULES
-from corpusmill.operators.skew import salt_of
+from corpusmill.operators.redaction import SECRET_RULES
+from corpusmill.operators.skew import ranked
 from corpusmill.params import BudgetParams, CandidateParams, ScanParams
 from corpusmill.schemas import LOGIC_LAYERS
 
@@ -40,7 +40,6 @@ def _occurrences(text: Column, piece: str) -> Column:
 def file_features(files: DataFrame, params: ScanParams = ScanParams()) -> DataFrame:
     """Mask, control-flow marks, generated and secret signs: one pass over the
     content.  Write the result once (``materialized``)."""
-    needed, secret, _ = PATTERN_RULES[0]
     lowered = F.lower("text")
     text_rows = (
         files.where((F.col("size") > 0) & (F.col("size") <= params.max_file_bytes))
@@ -63,7 +62,9 @@ def file_features(files: DataFrame, params: ScanParams = ScanParams()) -> DataFr
         code_line_mask(F.col("lines"), F.col("language")).alias("mask"),
         F.round(flow).cast("bigint").alias("flow_marks"),
         any_of(GENERATED_MARKS).alias("is_generated"),
-        (any_of(needed) & F.col("text").rlike(secret)).alias("has_secret"),
+        reduce(
+            Column.__or__, [any_of(needed) & F.col("text").rlike(secret) for needed, secret, _ in SECRET_RULES]
+        ).alias("has_secret"),
     )
 
 
@@ -92,22 +93,6 @@ def tagged_layers(features: DataFrame, layer_fn=layer_of) -> DataFrame:
     return rows.withColumn("layer", by_rule)
 
 
-def _first_of_size(rows: DataFrame, keys: list[str], order: list[Column], cap: int, salts: int) -> DataFrame:
-    """Per key and size the first ``cap div size`` rows: no later row of that
-    size can be accepted, because those either fill the budget or one of them
-    already did not fit."""
-    enough = F.floor(F.lit(cap) / F.col("loc"))
-    for extra in (["slice"], []):
-        size_order = Window.partitionBy(*keys, "loc", *extra).orderBy(*order)
-        rows = (
-            rows.withColumn("slice", salt_of(["path"], salts))
-            .withColumn("nth", F.row_number().over(size_order))
-            .where(F.col("nth") <= enough)
-            .drop("nth", "slice")
-        )
-    return rows
-
-
 def candidate_requests(
     tagged: DataFrame,
     primaries: DataFrame | None = None,
@@ -151,18 +136,12 @@ def candidate_requests(
             (~F.col("loc").between(params.preferred_min_loc, params.preferred_max_loc)).cast("int"),
         )
     )
-    in_module = [F.col(c) for c in ("off_focus", "off_logic", "off_size", "path")]
-    keys = ["repo_url", "is_test", "module"]
-    rows = _first_of_size(rows, keys, in_module, budget.cap_loc, budget.salts)
-    rows = rows.withColumn(
-        "round", F.row_number().over(Window.partitionBy(*keys).orderBy(*in_module))
-    )
-    taking_turns = [F.col(c) for c in ("round", "module", "path")]
-    rows = _first_of_size(rows, ["repo_url", "is_test"], taking_turns, budget.cap_loc, budget.salts)
-    nth = F.row_number().over(Window.partitionBy("repo_url", "is_test").orderBy(*taking_turns))
+    # Every row is numbered; what the budget can take of them is decided later, by ``budget_select``.
+    rows = ranked(rows, ["repo_url", "is_test", "module"], ["off_focus", "off_logic", "off_size", "path"], "round")
+    rows = ranked(rows, ["repo_url", "is_test"], ["round", "module", "path"], "nth")
     seq = F.when(F.col("is_test"), F.col("nth") * 6).otherwise(
         F.col("nth") + F.floor((F.col("nth") - 1) / 5)
     )
-    return rows.withColumn("nth", nth).select(
+    return rows.select(
         "repo_url", seq.cast("bigint").alias("seq"), "path", "layer", "start_line", "end_line"
     )

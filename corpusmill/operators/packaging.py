@@ -17,11 +17,17 @@ def folder_is_valid(folder: Column) -> Column:
     return (folder != "") & ~folder.isin(".", "..") & ~folder.contains("/")
 
 
+def _folder_of(manifest: DataFrame) -> Column:
+    """``folder_name``, or ``folder`` where that is all a record has."""
+    names = [F.nullif(strip(F.col(c)), F.lit("")) for c in ("folder_name", "folder") if c in manifest.columns]
+    return F.coalesce(*names, F.lit(""))
+
+
 def index_problems(
     manifest: DataFrame, samples: DataFrame | None = None, summaries: DataFrame | None = None
 ) -> DataFrame:
     """Everything that forbids packing: folder and problem, empty when fine."""
-    folders = manifest.select(strip(F.coalesce("folder_name", F.lit(""))).alias("folder"))
+    folders = manifest.select(_folder_of(manifest).alias("folder"))
     problems = folders.where(~folder_is_valid(F.col("folder"))).select(
         "folder", F.lit("invalid_folder").alias("problem")
     )
@@ -55,7 +61,7 @@ def sample_index(manifest: DataFrame, identity: DataFrame, tool_version: str) ->
         ],
     )
     rows = manifest.select(
-        strip(F.coalesce("folder_name", F.lit(""))).alias("folder"),
+        _folder_of(manifest).alias("folder"),
         F.col("total_loc").alias("sample_loc"),
         F.col("file_count").alias("sample_files"),
         F.coalesce("meta.sampled_at", F.lit("")).alias("sampled_at"),

@@ -30,10 +30,17 @@ PATTERN_RULES = (
     (
         ("key", "token", "secret", "passw"),
         r"(?i)((?:api_?key|access_?key|token|secret|passwd|password)[\"']?[ \t]*[:=][ \t]*[\"']?)"
-        r"[A-Za-z0-9_/+\-]{12,}",
+        r"[A-Za-z0-9_/+\-]+",
         r"$1REDACTED",
     ),
     (("akia",), r"AKIA[0-9A-Z]{16}", "REDACTED"),
+    (("bearer",), r"(?i)\b(bearer[ \t]+)[A-Za-z0-9._~+/=\-]+", r"$1REDACTED"),
+    # tokens that show their vendor
+    (
+        ("gh", "glpat", "xox", "sk-"),
+        r"\b(?:gh[oprsu]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_\-]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk-[A-Za-z0-9_\-]{20,})",
+        "REDACTED",
+    ),
     (
         ("@",),
         r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
@@ -55,6 +62,9 @@ PATTERN_RULES = (
     ),
 )
 
+# The rules that find secrets.
+SECRET_RULES = PATTERN_RULES[:4]
+
 WORD_CLASS = r"\p{L}\p{N}_"
 # Names are looked up by their first words; longer names are compared in full
 # when they are replaced.
@@ -123,17 +133,43 @@ def names_in_texts(texts: DataFrame, gazetteer: DataFrame, keys: list[str]) -> D
 
 
 def redact_names(text: Column, names: Column) -> Column:
-    """Replace whole-word occurrences of ``array<struct<name,kind>>``, in order."""
-    def step(current: Column, entity: Column) -> Column:
-        # The literal leads, so the matcher can skip ahead; the look-behind
-        # repeats it to see the character in front.
-        quoted = F.concat(F.lit("\\Q"), entity["name"], F.lit("\\E"))
-        pattern = F.concat(
-            quoted, F.lit(f"(?<![{WORD_CLASS}]"), quoted, F.lit(f")(?![{WORD_CLASS}])")
-        )
-        return F.regexp_replace(current, pattern, placeholder_of(entity["kind"]))
+    """Replace whole-word occurrences of ``array<struct<name,kind>>`` in one pass.
 
-    return F.aggregate(names, text, step)
+    The text is cut at the leftmost, longest matches of all names at once, so
+    nothing that was put in is looked at again.  Placeholders take part as names that
+    stay, which makes them fixed points.  An unknown kind is an error.
+    """
+    fixed = F.array(*[
+        F.struct(F.lit(p).alias("name"), F.lit(p).alias("put")) for p in sorted(set(PLACEHOLDERS.values()))
+    ])
+    put = F.transform(
+        names,
+        lambda n: F.struct(
+            n["name"].alias("name"),
+            F.coalesce(
+                placeholder_of(n["kind"]),
+                F.raise_error(F.concat(F.lit("unknown kind of name: "), F.coalesce(n["kind"], F.lit("null")))),
+            ).alias("put"),
+        ),
+    )
+    entries = F.filter(put, lambda n: ~n["name"].isin(*PLACEHOLDERS.values()))
+    pairs = F.concat(fixed, entries)
+    by_length = F.array_sort(
+        F.transform(pairs, lambda n: F.struct((-F.length(n["name"])).alias("neg"), n["name"].alias("name")))
+    )
+    quoted = F.transform(
+        by_length,
+        lambda n: F.concat(F.lit("\\Q"), F.replace(n["name"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")),
+    )
+    pattern = F.concat(
+        F.lit(f"(?<![{WORD_CLASS}])(?:"), F.array_join(quoted, "|"), F.lit(f")(?![{WORD_CLASS}])")
+    )
+    table = F.map_from_entries(F.array_distinct(pairs))
+    between = F.split(text, pattern, -1)
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.element_at(table, m))
+    return F.array_join(
+        F.flatten(F.zip_with(between, found, lambda b, m: F.array(b, F.coalesce(m, F.lit(""))))), ""
+    )
 
 
 def redacted(

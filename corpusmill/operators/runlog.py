@@ -20,12 +20,11 @@ FIRST_SAVE_BY = 3
 def _turn_sums(saves: DataFrame, goals: DataFrame, params: BudgetParams) -> DataFrame:
     """Per run the goal and, per turn, what its saves added.
 
-    Saves are summed per turn before the shuffle; a run keeps at most
-    ``max_turns`` entries.
+    Saves are summed per turn before the shuffle; a run keeps one entry per
+    turn with saves.  Runs of ``goals`` without any save are there too.
     """
     by_turn = (
-        saves.where(F.col("turn") < params.max_turns)
-        .groupBy("run_id", "turn", "language")
+        saves.groupBy("run_id", "turn", "language")
         .agg(
             F.count_if("saved").alias("files"),
             F.coalesce(F.sum(F.when(F.col("saved"), F.col("loc"))), F.lit(0)).alias("loc"),
@@ -43,16 +42,21 @@ def _turn_sums(saves: DataFrame, goals: DataFrame, params: BudgetParams) -> Data
             F.coalesce(
                 F.sum(F.when(F.col("language") == F.col("primary"), F.col("loc"))), F.lit(0)
             ).alias("primary_loc"),
-            F.max("primary").alias("primary"),
-            F.max("hard").alias("hard"),
         )
     )
     entry = F.struct("files", "loc", "logic", "primary_loc")
-    return by_turn.groupBy("run_id").agg(
-        F.max("turn").alias("last_turn"),
-        F.max("primary").alias("primary"),
-        F.coalesce(F.max("hard"), F.lit(False)).alias("hard"),
-        F.map_from_entries(F.collect_list(F.struct("turn", entry))).alias("turns"),
+    per_run = by_turn.groupBy("run_id").agg(
+        F.max("turn").cast("bigint").alias("last_turn"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("bigint").alias("turn"), entry))).alias("turns"),
+    )
+    ran = F.col("ran") if "turns" in goals.columns else F.lit(None).cast("bigint")
+    wanted = goals.select(
+        "run_id", "primary", "hard", *([F.col("turns").cast("bigint").alias("ran")] if "turns" in goals.columns else [])
+    )
+    last = F.coalesce(F.greatest(ran - 1, F.col("last_turn")), F.lit(params.max_turns - 1).cast("bigint"))
+    return wanted.join(per_run, "run_id", "full").select(
+        "run_id", last.alias("last_turn"), "primary", F.coalesce("hard", F.lit(False)).alias("hard"),
+        F.coalesce("turns", F.create_map().cast(per_run.schema["turns"].dataType)).alias("turns"),
     )
 
 
@@ -62,8 +66,10 @@ def progress_flags(
     """Flag of every turn that gets one: run_id, turn, flag.
 
     ``saves``: run_id, turn (0-based), saved, loc, layer, language; ``goals``:
-    run_id, primary, hard.  The state is that before the turn's own saves.  A
-    run has at most ``max_turns`` turns, so its fold is bounded.
+    run_id, primary, hard and, if known, turns (how many the run took).  The
+    state is that before the turn's own saves.  A run is followed up to its
+    number of turns, else to its last save, else (no save at all) through
+    ``max_turns`` turns, so that idle tails and runs without saves are flagged.
     """
     p, n_turns = params, params.max_turns
     hard = F.col("hard")

@@ -7,12 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.sources.materialize import materialized
+
 
 def salt_of(columns: Sequence[str], salts: int) -> Column:
     """Slice number of a row, the same whenever the row is recomputed."""
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Number the rows of each group from 1 without gathering a group in one task.
+
+    Rows are dealt into ranges of the order and written once; each range counts
+    its rows per group, the counts of the ranges before are added up, and a
+    window numbers the rows inside a range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id())
+    dealt = materialized(dealt, "ranked")
+    # One row per range and group in it.
+    ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_range", *keys).agg(F.count("*").alias("_n")).select(
+        F.col("_range").alias("_r"), *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"),
+    )
+    match = F.col("_range") == F.col("_r")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    inside = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order))
+    return dealt.withColumn("_inside", inside).join(offsets, match).select(
+        *df.columns, (F.col("_offset") + F.col("_inside")).alias(name)
+    )
+
+
 def first_rows(
     df: DataFrame,
     keys: Sequence[str],

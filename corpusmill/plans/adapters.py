@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.params import BudgetParams, CandidateParams
 from corpusmill.schemas import LAYERS
-from corpusmill.sources.materialize import spread
 
 DIRECTORIES = ("src/", "lib/core/", "node_modules/dep/", "tests/", "api/build/gen/", "")
 SUFFIXES = (
@@ -76,14 +75,14 @@ def _code_like_text() -> Column:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = _code_like_text().cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return spread(docs).select(
+    return docs.select(
         _document_repo().alias("repo_url"), _document_path().alias("path"), content.alias("content")
     ).withColumn("size", F.octet_length("content").cast("bigint"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return spread(docs).select(F.col("source").alias("folder"), _document_path().alias("path"), "text")
+    return docs.select(F.col("source").alias("folder"), _document_path().alias("path"), "text")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +130,7 @@ def _order_sha(key: Column) -> Column:
 def commit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commit ids alone; enough for the fingerprint."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return spread(orders).select(
+    return orders.select(
         _order_repo().alias("repo_url"), _order_sha(F.col("o_orderkey")).alias("sha")
     )
 
@@ -141,7 +140,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     days = F.datediff("o_orderdate", F.lit("1970-01-01").cast("date"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    rows = spread(orders).select(
+    rows = orders.select(
         _order_repo().alias("repo_url"),
         _order_sha(key).alias("sha"),
         _order_sha(key - 1).alias("parent"),
@@ -256,7 +255,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers as JSON; the conversation number picks a defect."""
-    word = F.regexp_replace(F.substring("text", 1, 80), "[^A-Za-z ]", "")
+    word = F.regexp_replace("text", "[^A-Za-z ]", "")
     text = F.concat(F.lit('"content":"'), word, F.lit('"'))
 
     def with_calls(calls: str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from corpusmill.functions import languages as lang
 from corpusmill.functions.minhash import CONSTANTS
 from corpusmill.operators.candidates import DENSE_FLOW, FLOW_MARKS, GENERATED_MARKS, PATH_RULES
-from corpusmill.operators.redaction import PATTERN_RULES, PLACEHOLDERS
+from corpusmill.operators.redaction import PATTERN_RULES, PLACEHOLDERS, SECRET_RULES
 from corpusmill.operators.transcripts import _CLOSING, _CONVERSATION, _INTRO
 from corpusmill.plans import adapters as a
 from corpusmill.schemas import LAYERS, LOGIC_LAYERS, LOW_VALUE_LAYERS
@@ -340,7 +340,7 @@ MESSAGES = """messages AS (
     text AS content FROM conversations)"""
 
 _GOOD = '{"name":"bash","arguments_json":"{\\"command\\":\\"ls\\"}"}'
-_WORDS = "regexp_replace(substr(text, 1, 80), '[^A-Za-z ]', '', 'g')"
+_WORDS = "regexp_replace(text, '[^A-Za-z ]', '', 'g')"
 
 
 def _calls(calls: str) -> str:
@@ -534,7 +534,7 @@ FROM rollup_rows"""
     ),
     "manifest_latest": _with(VERSIONS, _latest("latest"), select="SELECT * FROM latest"),
     "manifest_upsert": _with(
-        VERSIONS, _latest("cur", "language = 'signup'"), _latest("fresh", "language = 'purchase'"),
+        VERSIONS, _latest("cur", "event_id % 2 = 0"), _latest("fresh", "event_id % 2 = 1"),
         select="""SELECT * FROM cur WHERE repo_url NOT IN (SELECT repo_url FROM fresh)
 UNION ALL SELECT * FROM fresh""",
     ),
@@ -723,6 +723,7 @@ SQL["redaction_totals"] = _with(
 _FLOW = " + ".join(
     f"(length(content) - length(replace(content, {_text(mark)}, ''))) / {len(mark)}" for mark in FLOW_MARKS
 )
+_SECRETS = "(" + " OR ".join(f"regexp_matches(content, {_text(rule[1])})" for rule in SECRET_RULES) + ")"
 _GENERATED = " OR ".join(f"contains(lower(content), {_text(mark)})" for mark in GENERATED_MARKS)
 _RULE_CASES = " ".join(
     f"WHEN regexp_matches(lower(t.path), {_text(pattern)}) THEN {_text(layer)}"
@@ -730,7 +731,7 @@ _RULE_CASES = " ".join(
 )
 FEATURES = f"""features AS (
   SELECT t.repo_url, t.path, t.language, l.loc, l.total_lines, CAST(round({_FLOW}) AS BIGINT) AS flow_marks,
-    {_GENERATED} AS is_generated, regexp_matches(content, {_text(PATTERN_RULES[0][1])}) AS has_secret,
+    {_GENERATED} AS is_generated, {_SECRETS} AS has_secret,
     CASE WHEN {_GENERATED} THEN 'autogen' {_RULE_CASES}
       WHEN t.language IN {_in(lang.NON_CODE_LANGUAGES)} THEN 'boilerplate'
       WHEN round({_FLOW}) >= CAST({DENSE_FLOW} AS DOUBLE) * greatest(l.loc, 1) THEN 'business'
@@ -760,17 +761,11 @@ CANDIDATES = f"""fit AS (
 sized AS (
   SELECT *, NOT (loc BETWEEN {_P.preferred_min_loc} AND {_P.preferred_max_loc}) AS off_size
   FROM fit WHERE loc >= {_P.min_loc} AND loc <= {_C}),
-thin AS (
-  SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY repo_url, is_test, module, loc
-    ORDER BY off_focus, off_logic, off_size, path) <= {_C} // loc),
 rounds AS (
   SELECT *, row_number() OVER (PARTITION BY repo_url, is_test, module
-    ORDER BY off_focus, off_logic, off_size, path) AS round FROM thin),
-thinner AS (
-  SELECT * FROM rounds QUALIFY row_number() OVER (PARTITION BY repo_url, is_test, loc
-    ORDER BY round, module, path) <= {_C} // loc),
+    ORDER BY off_focus, off_logic, off_size, path) AS round FROM sized),
 numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY repo_url, is_test ORDER BY round, module, path) AS nth FROM thinner),
+  SELECT *, row_number() OVER (PARTITION BY repo_url, is_test ORDER BY round, module, path) AS nth FROM rounds),
 wanted AS (
   SELECT repo_url, CAST(CASE WHEN is_test THEN nth * 6 ELSE nth + (nth - 1) // 5 END AS BIGINT) AS seq, path,
     layer, CAST(CASE WHEN is_long THEN 1 END AS INTEGER) AS start_line,

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.languages import spelled_language
 from corpusmill.operators import candidates, identity, manifest, profile, selection
 from corpusmill.params import Settings
 from corpusmill.sources.materialize import materialized
@@ -33,9 +34,10 @@ def sample_repositories(
 ) -> SamplingResult:
     """Profile, choose, fill the budget, roll up and validate.
 
-    Contents are read twice: once for features and line counts, once for the
-    texts of accepted files.  Without ``requests`` the files are chosen by rule.
+    Contents are read for line counts, for features, and for the texts of
+    accepted files; tables in between are written once.  Without ``requests`` the files are chosen by rule.
     """
+    forced_language = spelled_language(forced_language)
     counts = materialized(profile.language_counts(files, settings.scan), "language-counts")
     profiles = profile.language_profile(counts, files.select("repo_url"))
     primary = F.lit(forced_language) if forced_language else F.col("code_primary")

@@ -7,20 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.urls import folder_name
 from corpusmill.operators.manifest import upserted, without_repositories
+from corpusmill.sources.materialize import file_system
 
 _POINTER = "CURRENT"
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    return location, location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def current_version(spark: SparkSession, base: str) -> str | None:
     """Name of the published version of a table."""
-    location, fs = _file_system(spark, f"{base}/{_POINTER}")
+    location, fs = file_system(spark, f"{base}/{_POINTER}")
     if not fs.exists(location):
         return None
     stream = fs.open(location)
@@ -43,7 +39,7 @@ def publish_table(df: DataFrame, base: str, version: str | None = None) -> str:
     spark = df.sparkSession
     version = version or f"v-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(f"{base}/{version}")
-    temporary, fs = _file_system(spark, f"{base}/{_POINTER}.{uuid.uuid4().hex}")
+    temporary, fs = file_system(spark, f"{base}/{_POINTER}.{uuid.uuid4().hex}")
     stream = fs.create(temporary, True)
     stream.writeUTF(version)
     stream.close()
@@ -78,9 +74,18 @@ def append_errors(errors: DataFrame, path: str) -> None:
     errors.select("repo_url", "stage", "error", stamp.alias("ts")).write.mode("append").json(path)
 
 
-def write_samples(samples: DataFrame, path: str) -> None:
-    """Sample texts, one directory per folder."""
-    samples.write.mode("overwrite").partitionBy("folder_name").parquet(path)
+def write_samples(samples: DataFrame, path: str, buckets: int = 64) -> None:
+    """Sample texts with their ``folder_name``; a folder lies in one of ``buckets`` directories.
+
+    The number of directories and files does not grow with the number of
+    repositories, and a reader of one folder prunes by its bucket.
+    """
+    if "folder_name" not in samples.columns:
+        samples = samples.withColumn("folder_name", folder_name(F.col("repo_url")))
+    dealt = samples.withColumn("bucket", F.pmod(F.xxhash64("folder_name"), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket").sortWithinPartitions("bucket", "folder_name").write.mode("overwrite").partitionBy(
+        "bucket"
+    ).parquet(path)
 
 
 def write_index(index: DataFrame, path: str) -> None:

@@ -3,9 +3,11 @@ from __future__ import annotations
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill import schemas
+from corpusmill.functions import languages
 from corpusmill.operators import (
     ancestry,
     audit,
@@ -19,7 +21,7 @@ from corpusmill.operators import (
     runlog,
     transcripts,
 )
-from corpusmill.params import BudgetParams, TranscriptParams
+from corpusmill.params import BudgetParams, CandidateParams, TranscriptParams
 
 
 def files_of(spark, rows):
@@ -158,7 +160,7 @@ def test_rollup_and_summary(spark):
     assert (row.test_share, row.logic_share, row.low_value_share, row.primary_share) == (0.2, 0.2, 0.5, 0.2)
     assert row.sample_lang_distribution == {"PHP": 0.2, "Go": 0.2, "CSS": 0.5, "Unknown": 0.1}
     assert [f["path"] for f in row.files] == ["a.php", "b.go", "c.css", "odd"]
-    assert row.repo_summary.startswith("**Main language:** PHP\n\n## Repository overview")
+    assert row.repo_summary.startswith("**Main language:** PHP\n\n# Sample of a repository")
     assert "By layer: infra: 50%, business: 20%, test: 20%, util: 10%" in row.repo_summary
     own = spark.createDataFrame([("r", "**Main language:** PHP\n\nmine")], "repo_url string, summary string")
     assert manifest.with_summary(rollup, own).first().repo_summary == "**Main language:** PHP\n\nmine"
@@ -222,6 +224,23 @@ def test_redaction(spark):
     assert redaction.redacted(again, names).first().redacted == rows["f"]
 
 
+def test_names_are_replaced_in_one_pass(spark):
+    names = spark.createDataFrame(
+        [("John Smith", "person"), ("John", "person"), ("example", "product"), ("a\\E.*", "company"), ("Doe", "company")],
+        "name string, kind string",
+    )
+    text = "John Smith met John. example user@corp.de and a\\E.* password='x1' Bearer abc.def ghp_" + "a" * 36
+    once = redaction.redacted(spark.createDataFrame([("f", "p", text)], "folder string, path string, text string"), names)
+    got = once.first().redacted
+    assert got == (
+        "John Doe met John Doe. AppName user@example.com and Acme password='REDACTED' Bearer REDACTED REDACTED"
+    )
+    again = redaction.redacted(once.select("folder", "path", F.col("redacted").alias("text")), names)
+    assert again.first().redacted == got
+    with pytest.raises(Exception, match="unknown kind"):
+        redaction.redacted(once, names.withColumn("kind", F.lit("planet"))).collect()
+
+
 def test_audit_against_a_line_diff(spark):
     rng = random.Random(5)
     rows = []
@@ -296,7 +315,7 @@ def test_rendering_parts_join_to_the_whole(spark):
     rows = [("system", "s", None), ("assistant", None, call), ("tool", "out", None), ("user", "u", None)]
     messages = messages_of(spark, rows)
     whole = transcripts.rendered(messages, "- bash: x").first().prompt
-    assert whole.startswith("You can call these tools:\n- bash: x\n\nConversation so far:\n[system]\ns\n[assistant]\n\n")
+    assert whole.startswith("Tools at hand:\n- bash: x\n\nMessages, oldest first:\n[system]\ns\n[assistant]\n\n")
     assert '[assistant tool call c1] bash({"command": "ls"})\n[tool result for call_2]\nout\n[user]\nu\n\nReply' in whole
     parts = transcripts.rendered(messages, "- bash: x", TranscriptParams(messages_per_part=2)).orderBy("part").collect()
     assert len(parts) == 2 and "\n".join(p.prompt for p in parts) == whole
@@ -366,3 +385,32 @@ def test_candidates_take_turns(spark):
     tagged = candidates.tagged_layers(candidates.file_features(files_of(spark, rows)))
     got = [r.path for r in candidates.candidate_requests(tagged).orderBy("seq").collect()]
     assert got == ["a/f0.py", "b/f0.py", "a/f1.py", "b/f1.py", "a/f2.py", "tests/test_a.py", "b/f2.py"]
+
+
+def test_candidates_are_numbered_before_any_cut(spark):
+    rows = [("r", f"a/f{i:02d}.py", b"x\n" * 5) for i in range(20)] + [("r", "a/z0.py", b"x\n" * 3)]
+    rows += [("r", f"b/f{i:02d}.py", b"x\n" * 4) for i in range(4)] + [("r", "b/y0.py", b"x\n" * 3)]
+    tagged = candidates.tagged_layers(candidates.file_features(files_of(spark, rows)))
+    small = CandidateParams(min_loc=1, preferred_min_loc=1, preferred_max_loc=10, partial_above_loc=20)
+    wanted = candidates.candidate_requests(tagged, params=small).orderBy("seq").collect()
+    assert len(wanted) == len(rows)
+    left, took, loc = 12, [], {r[1]: len(r[2]) // 2 for r in rows}
+    for r in wanted:
+        if loc[r.path] <= left:
+            left -= loc[r.path]
+            took.append(r.path)
+    assert took == ["a/f00.py", "b/f00.py", "b/y0.py"]
+
+
+def test_runs_without_saves_are_flagged(spark):
+    saves = spark.createDataFrame([("a", 0, True, 5, "util", "Go")], "run_id string, turn int, saved boolean, loc bigint, layer string, language string")
+    goals = spark.createDataFrame([("a", None, False, 9), ("b", None, False, 6)], "run_id string, primary string, hard boolean, turns int")
+    got = runlog.progress_flags(saves, goals, BudgetParams(target_loc=50, tolerance_loc=5, cap_loc=90)).collect()
+    assert [r.turn for r in sorted(got) if r.run_id == "b"] == [3, 4, 5] and {r.flag for r in got if r.run_id == "b"} == {"URGENT"}
+    assert [(r.turn, r.flag) for r in sorted(got) if r.run_id == "a"] == [(t, "STALLED") for t in (5, 6, 7, 8)]
+
+
+def test_unknown_language_is_refused():
+    assert languages.spelled_language(" python ") == "Python" and languages.spelled_language(None) is None
+    with pytest.raises(ValueError, match="unknown language"):
+        languages.spelled_language("klingon")

@@ -10,7 +10,7 @@ from corpusmill import schemas
 from corpusmill.operators.profile import language_counts
 from corpusmill.plans import delivery
 from corpusmill.plans.sampling import sample_repositories
-from corpusmill.params import BudgetParams, CandidateParams, Settings
+from corpusmill.params import BudgetParams, CandidateParams, ScanParams, Settings
 from corpusmill.sources import readers, writers
 from corpusmill.sources.materialize import materialized, shared_folder
 
@@ -40,7 +40,11 @@ def test_working_trees_are_pruned_while_listing(spark, tmp_path):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(content)
-    trees = readers.read_working_trees(spark, str(tmp_path))
+    everything = readers.read_working_trees(spark, str(tmp_path)).collect()
+    assert sorted((r.folder, r.path) for r in everything) == [
+        ("f1", "node_modules/d/b.js"), ("f1", "src/a.py"), ("f2", "e.go")
+    ]
+    trees = readers.read_working_trees(spark, str(tmp_path), ScanParams())
     assert sorted((r.folder, r.path) for r in trees.collect()) == [("f1", "src/a.py"), ("f2", "e.go")]
     plan = trees._jdf.queryExecution().executedPlan().toString()
     assert "BatchScan" in plan or "FileScan" in plan
@@ -48,6 +52,18 @@ def test_working_trees_are_pruned_while_listing(spark, tmp_path):
     assert sorted((r.repo_url, r.language, r.lines) for r in counts) == [("f1", "Python", 1), ("f2", "Go", 1)]
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_paths_come_as_on_disk(spark, tmp_path, scheme):
+    root = tmp_path / "build" / "a b"
+    for name in ("r/a b.py", "r/ä#%20.py", "r/vendor/x.py"):
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x = 1\n")
+    for params, more in ((None, ["vendor/x.py"]), (ScanParams(), [])):
+        got = readers.read_working_trees(spark, f"{scheme}{root}/", params).collect()
+        assert sorted((r.folder, r.path) for r in got) == [("r", p) for p in ["a b.py", *more, "ä#%20.py"]]
+
+
 def test_tolerant_and_strict_reading(spark, tmp_path):
     path = tmp_path / "m.jsonl"
     path.write_text(
