@@ -36,16 +36,25 @@ def _changed_lines(before: Column, after: Column) -> Column:
 def file_changes(pairs: DataFrame) -> DataFrame:
     """Hunks, additions and deletions of every changed file.
 
-    Lines are compared by position, which is exact because redaction neither
-    adds nor removes lines.  Everything happens inside the row: no line is
-    exploded and nothing is shuffled.
+    Where both versions have as many lines they are compared by position, which
+    is exact for redaction, as it neither adds nor removes lines.  Where lines
+    were added or removed, a line diff aligns them.  Everything happens inside
+    the row: no line is exploded and nothing is shuffled.  An absent version
+    (null) is an empty file.
     """
-    lines = pairs.where(F.col("before") != F.col("after")).select(
+    lines = pairs.select(
+        "folder", "path", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after")
+    ).where(F.col("before") != F.col("after")).select(
         "folder",
         "path",
         newline_lines(F.col("before")).alias("old"),
         newline_lines(F.col("after")).alias("new"),
     )
+    hidden = F.col("path").rlike(AUDIT_NAMES_LEFT_OUT).alias("hidden")
+    aligned = lines.where(F.size("old") != F.size("new")).mapInArrow(
+        _line_diff(HUNK_GAP // 2), "folder string, path string, hunks long, additions long, deletions long"
+    ).select("*", hidden)
+    lines = lines.where(F.size("old") == F.size("new"))
     changed = lines.select(
         "folder",
         "path",
@@ -58,14 +67,36 @@ def file_changes(pairs: DataFrame) -> DataFrame:
         F.slice("changed", 1, F.greatest(F.size("changed") - 1, F.lit(0))),
         lambda later, earlier: later - earlier - 1,
     )
-    return changed.where(F.size("changed") > 0).select(
+    return aligned.unionByName(changed.where(F.size("changed") > 0).select(
         "folder",
         "path",
         (F.size(F.filter(gaps, lambda gap: gap > HUNK_GAP)) + 1).cast("bigint").alias("hunks"),
         F.size(F.filter("changed", lambda i: i < F.col("n_new"))).cast("bigint").alias("additions"),
         F.size(F.filter("changed", lambda i: i < F.col("n_old"))).cast("bigint").alias("deletions"),
-        F.col("path").rlike(AUDIT_NAMES_LEFT_OUT).alias("hidden"),
-    )
+        hidden,
+    ))
+
+
+def _line_diff(context: int):
+    """Counts of a line diff per row; needs nothing of this package in the workers."""
+    def run(batches):
+        import difflib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            counts = []
+            for old, new in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                groups = list(difflib.SequenceMatcher(None, old, new, autojunk=False).get_grouped_opcodes(context))
+                edits = [op for group in groups for op in group if op[0] != "equal"]
+                counts.append((len(groups), sum(e[4] - e[3] for e in edits), sum(e[2] - e[1] for e in edits)))
+            columns = list(zip(*counts)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns]],
+                ["folder", "path", "hunks", "additions", "deletions"],
+            )
+
+    return run
 
 
 def line_changes(pairs: DataFrame) -> DataFrame:

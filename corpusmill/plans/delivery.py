@@ -5,8 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusmill.operators import audit, packaging, redaction
+from corpusmill.functions.urls import folder_name
+from corpusmill.operators import audit, identity, packaging, redaction
+from corpusmill.params import Settings
+from corpusmill.plans.sampling import sample_repositories
+from corpusmill.schemas import IDENTITY
 from corpusmill.sources import writers
 from corpusmill.sources.materialize import materialized
 
@@ -53,3 +58,47 @@ def publish_delivery(
     index = packaging.sample_index(manifest, identity, tool_version)
     writers.write_index(index, path)
     return index
+
+
+@dataclass(frozen=True)
+class Delivery:
+    """``texts`` (folder, path, text; ``#rank`` marks a line range) are redacted; ``index`` has one row per folder."""
+
+    texts: DataFrame
+    report: DataFrame
+    manifest: DataFrame
+    index: DataFrame
+
+
+def deliver(
+    files: DataFrame,
+    commits: DataFrame | None = None,
+    gazetteer: DataFrame | None = None,
+    settings: Settings = Settings(),
+) -> Delivery:
+    """From working trees to redacted samples and their index, for all repositories.
+
+    ``files`` and ``commits`` as ``sample_repositories`` takes them.  Samples
+    and summaries are redacted together; the checks of the index come first,
+    so nothing is handed on that cannot be packed.  Repositories without
+    commits get blank identity columns.
+    """
+    result = sample_repositories(files, commits, settings=settings)
+    manifest = materialized(result.manifest, "manifest")
+    part = F.when(F.col("is_partial"), F.concat(F.lit("#"), F.col("rank").cast("string")))
+    samples = result.samples.select(
+        folder_name(F.col("repo_url")).alias("folder"),
+        F.concat(F.lit("samples/"), F.col("path"), F.coalesce(part, F.lit(""))).alias("path"), "text",
+    )
+    summaries = manifest.select(
+        F.col("folder_name").alias("folder"), F.lit(packaging.SUMMARY_NAME).alias("path"),
+        F.col("repo_summary").alias("text"),
+    )
+    done = redact_corpus(samples.unionByName(summaries), gazetteer)
+    writers.require_empty(packaging.index_problems(manifest, samples, summaries), "cannot pack")
+    known = identity.repository_identity(commits) if commits is not None else None
+    if known is None:
+        known = files.sparkSession.createDataFrame([], IDENTITY)
+    known = known.withColumn("folder", folder_name(F.col("repo_url")))
+    index = packaging.sample_index(manifest, known, settings.meta.tool_version)
+    return Delivery(done.texts, done.report, manifest, index)

@@ -776,7 +776,7 @@ SQL["candidate_order"] = _with(
     select="SELECT repo_url, seq, path, layer, start_line, end_line FROM wanted",
 )
 
-SQL["sampled_corpus"] = _with(
+SAMPLED_CTES = (
     *PROFILE_CTES, LINES, FEATURES, CANDIDATES,
     f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY repo_url ORDER BY seq) AS rn FROM wanted),
 fold AS (
@@ -789,10 +789,27 @@ fold AS (
       ELSE f.paths END
   FROM fold f JOIN ordered o ON o.repo_url = f.repo_url AND o.rn = f.rn + 1),
 done AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY repo_url ORDER BY rn DESC) = 1)""",
+)
+_FOLDER = "replace(regexp_replace(replace(d.repo_url, 'https://', ''), '\\.git$', ''), '/', '__')"
+SQL["sampled_corpus"] = _with(
+    *SAMPLED_CTES,
+    recursive=True,
+    select=f"""SELECT repo_url, {_FOLDER} AS folder_name, coalesce(code_primary, '') AS language, total AS total_loc,
+  files AS file_count, paths
+FROM done d LEFT JOIN focus USING (repo_url) WHERE total > 0""",
+)
+_FIRST = f"string_split(content, {LF})[1:{_P.preferred_max_loc}]"
+SQL["delivered_corpus"] = _with(
+    *SAMPLED_CTES,
+    f"""picked AS (
+  SELECT {_FOLDER} AS source, 'samples/' || f.path AS path,
+    CASE WHEN w.start_line IS NULL THEN content ELSE array_to_string({_FIRST}, {LF})
+      || CASE WHEN len(string_split(content, {LF})) > {_P.preferred_max_loc} THEN {LF} ELSE '' END END AS text
+  FROM done d JOIN wanted w ON w.repo_url = d.repo_url AND list_contains(string_split(d.paths, ';'), w.path)
+    JOIN files f ON f.repo_url = w.repo_url AND f.path = w.path WHERE d.total > 0)""",
+    REDACTED.replace("FROM docs", "FROM picked"),
     recursive=True,
-    select="""SELECT repo_url, replace(regexp_replace(replace(repo_url, 'https://', ''), '\\.git$', ''), '/', '__')
-    AS folder_name, coalesce(code_primary, '') AS language, total AS total_loc, files AS file_count, paths
-FROM done LEFT JOIN focus USING (repo_url) WHERE total > 0""",
+    select="SELECT folder, path, redacted AS text FROM redacted",
 )
 
 # --- further checks -----------------------------------------------------------------

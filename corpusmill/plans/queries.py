@@ -376,6 +376,18 @@ def sampled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def delivered_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to redacted samples that passed the checks of the index."""
+    from corpusmill.params import Settings
+    from corpusmill.plans.delivery import deliver
+
+    settings = Settings(budget=BUDGET, candidates=a.CANDIDATES)
+    done = deliver(a.files(spark, sf_dir), a.commits(spark, sf_dir), a.gazetteer(spark, sf_dir), settings)
+    return done.texts.where(F.col("path").startswith("samples/")).select(
+        "folder", F.regexp_replace("path", "#[0-9]+$", "").alias("path"), "text"
+    )
+
+
 def history_of_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which commits are reachable from the head, from parent links alone."""
     return ancestry.ancestors_of_heads(
@@ -443,7 +455,7 @@ QUERIES: dict[str, Query] = {
         sample_index, index_problems, bundle_listing,
         transcript_compact, transcript_render, turn_validate, error_classes,
         usage_costs, redaction_totals, progress_flags, run_statistics, run_totals,
-        layer_tags, candidate_order, sampled_corpus,
+        layer_tags, candidate_order, sampled_corpus, delivered_corpus,
         history_of_heads, redaction_resume, deliverable_split, sample_display, identity_gaps, error_previews,
     )
 }

@@ -35,8 +35,12 @@ def read_current(spark: SparkSession, base: str, schema: str) -> DataFrame:
 
 
 def publish_table(df: DataFrame, base: str, version: str | None = None) -> str:
-    """Write a new version directory, then switch the pointer by rename."""
+    """Write a new version directory, then switch the pointer by rename.
+
+    The version before stays for its readers; older ones are deleted.
+    """
     spark = df.sparkSession
+    before = current_version(spark, base)
     version = version or f"v-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(f"{base}/{version}")
     temporary, fs = file_system(spark, f"{base}/{_POINTER}.{uuid.uuid4().hex}")
@@ -50,6 +54,11 @@ def publish_table(df: DataFrame, base: str, version: str | None = None) -> str:
     option = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(temporary, jvm.org.apache.hadoop.fs.Path(f"{base}/{_POINTER}"), option)
+    location, fs = file_system(spark, base)
+    for entry in fs.listStatus(location):
+        name = str(entry.getPath().getName())
+        if entry.isDirectory() and name not in (version, before):
+            fs.delete(entry.getPath(), True)
     return version
 
 

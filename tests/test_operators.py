@@ -316,7 +316,7 @@ def test_rendering_parts_join_to_the_whole(spark):
     messages = messages_of(spark, rows)
     whole = transcripts.rendered(messages, "- bash: x").first().prompt
     assert whole.startswith("Tools at hand:\n- bash: x\n\nMessages, oldest first:\n[system]\ns\n[assistant]\n\n")
-    assert '[assistant tool call c1] bash({"command": "ls"})\n[tool result for call_2]\nout\n[user]\nu\n\nReply' in whole
+    assert '[assistant tool call c1] bash({"command": "ls"})\n[tool result for call_2]\nout\n[user]\nu\n\nWrite' in whole
     parts = transcripts.rendered(messages, "- bash: x", TranscriptParams(messages_per_part=2)).orderBy("part").collect()
     assert len(parts) == 2 and "\n".join(p.prompt for p in parts) == whole
 
@@ -414,3 +414,24 @@ def test_unknown_language_is_refused():
     assert languages.spelled_language(" python ") == "Python" and languages.spelled_language(None) is None
     with pytest.raises(ValueError, match="unknown language"):
         languages.spelled_language("klingon")
+
+
+def test_audit_aligns_added_and_removed_lines(spark):
+    draw, pairs = random.Random(8), [("f", "p", "a\nb\nc\nd\ne\n", "new\na\nb\nc\nd\ne\n"), ("f", "n", None, "x\ny\n")]
+    for i in range(30):
+        old = [f"line {draw.randrange(15)}" for _ in range(draw.randrange(1, 40))]
+        new = list(old)
+        for _ in range(draw.randrange(1, 4)):
+            at = draw.randrange(len(new) + 1)
+            new[at : at + draw.randrange(2)] = [f"more {draw.randrange(9)}"] * draw.randrange(3)
+        if len(old) != len(new):
+            pairs.append(("g", f"{i}", "\n".join(old) + "\n", "\n".join(new) + "\n" if new else ""))
+    got = audit.file_changes(spark.createDataFrame(pairs, "folder string, path string, before string, after string"))
+    want = set()
+    for folder, path, old, new in pairs:
+        lines = list(difflib.unified_diff((old or "").split("\n")[:-1], new.split("\n")[:-1], lineterm="", n=3))[2:]
+        want.add((
+            folder, path, sum(x.startswith("@@") for x in lines), sum(x[0] == "+" for x in lines), sum(x[0] == "-" for x in lines)
+        ))
+    assert {tuple(r)[:5] for r in got.collect()} == want
+    assert ("f", "p", 1, 1, 0) in want

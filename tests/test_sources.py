@@ -137,5 +137,10 @@ def test_from_files_to_delivery(spark, tmp_path):
     assert "Globex" not in "".join(r.text for r in done.texts.collect())
     again = delivery.redact_corpus(texts, names, reports=done.report)
     assert again.texts.count() == 0
-    forced = sample_repositories(files, settings=settings, forced_language="JavaScript")
+    whole = delivery.deliver(files, None, names, settings)
+    paths = {(r.folder, r.path) for r in whole.texts.collect()}
+    assert ("h__o__r0", "samples/core/f0.py") in paths and ("h__o__r0", "repo_summary.md") in paths
+    assert "Globex" not in "".join(r.text for r in whole.texts.collect())
+    assert {r.folder for r in whole.index.collect()} == {r.folder_name for r in whole.manifest.collect()}
+    forced = sample_repositories(files, settings=settings, forced_language="javascript")
     assert {r.stage for r in forced.rejected.collect()} == {"agent_empty", "agent_no_primary_lang"}

@@ -39,11 +39,21 @@ def test_manifest_feed_is_idempotent(spark, tmp_path):
     start_manifest_feed(stream, base, VERSIONS, ["version"], str(tmp_path / "cp")).awaitTermination(120)
     want = [("a", 2, 5), ("b", 3, 7), ("c", 1, 1)]
     assert sorted(map(tuple, writers.read_current(spark, base, VERSIONS).collect())) == want
-    replay = spark.createDataFrame([("a", 0, 0)], VERSIONS)
-    upsert_batch(base, VERSIONS, ["version"])(replay, 1)
+    late = spark.createDataFrame([("a", 0, 0)], VERSIONS)
+    upsert_batch(base, VERSIONS, ["version"])(late, 7)
     assert sorted(map(tuple, writers.read_current(spark, base, VERSIONS).collect())) == want
 
 
+def test_manifest_feed_takes_new_checkpoints_and_other_writers(spark, tmp_path):
+    base, apply = str(tmp_path / "manifest"), upsert_batch(str(tmp_path / "manifest"), VERSIONS, ["version"])
+    apply(spark.createDataFrame([("a", 1, 1)], VERSIONS), 5)
+    writers.upsert_manifest(spark.createDataFrame([("b", 1, 2)], VERSIONS), base, VERSIONS)
+    apply(spark.createDataFrame([("a", 3, 9)], VERSIONS), 0)
+    got = sorted(map(tuple, writers.read_current(spark, base, VERSIONS).collect()))
+    assert got == [("a", 3, 9), ("b", 1, 2)]
+    assert sum(p.is_dir() for p in (tmp_path / "manifest").iterdir()) == 2
+
+
 def test_live_budget_equals_batch(spark, tmp_path):
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
