@@ -7,7 +7,7 @@ OP1 = """
 WITH bit(k) AS (SELECT unnest(range(0, 256))),
 step AS (
   SELECT k, list_reduce(list_prepend(k, range(0, 8)),
-    (c, i) -> CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM bit
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM bit
 ),
 tab AS (SELECT list(v ORDER BY k) AS t FROM step),
 d AS (
@@ -17,11 +17,11 @@ raw AS (
   SELECT doc_id, size, hex(encode(text)) AS h FROM d
 ),
 byte AS (
-  SELECT doc_id, size, list_transform(range(0, size - 8), i -> ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT) AS b FROM raw
+  SELECT doc_id, size, list_transform(range(0, size - 8), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT) AS b FROM raw
 ),
 crc AS (
   SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, b),
-    (c, x) -> xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295)::BIGINT AS text_crc32
+    lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295)::BIGINT AS text_crc32
   FROM byte, tab
 ),
 run AS (
@@ -41,7 +41,7 @@ WITH RECURSIVE w AS (
 ),
 g AS (
   SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2),
-    i -> array_to_string(w[i : i + least(5, len(w)) - 1], ' '))) AS gram
+    lambda i: array_to_string(w[i : i + least(5, len(w)) - 1], ' '))) AS gram
   FROM w WHERE len(w) > 0
 ),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
@@ -96,7 +96,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
 s AS (SELECT page_id, octet_length(h) AS n, upper(sha1(h)) AS x FROM p),
 f AS (SELECT x, min(page_id) AS first FROM s GROUP BY x)
 SELECT page_id, n::BIGINT AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), k ->
+  array_to_string(list_transform(range(0, 32), lambda k:
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
       ((('0x' || x[5 * (k // 4) + 1 : 5 * (k // 4) + 5])::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1]), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
@@ -111,7 +111,7 @@ WITH b AS (
 ),
 bw AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
-    i -> array_to_string(w[i : i + least(10, len(w)) - 1], ' '))) AS g
+    lambda i: array_to_string(w[i : i + least(10, len(w)) - 1], ' '))) AS g
   FROM b WHERE len(w) > 0
 ),
 d AS (
