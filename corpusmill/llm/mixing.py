@@ -46,7 +46,7 @@ def targets(sizes: list[int], params: MixParams) -> list[float]:
     return out
 
 
-def _shard_counts(spark, goals: list[float], blocks: list[int], params: MixParams) -> DataFrame:
+def _shard_counts(spark, goals: list[float], params: MixParams) -> DataFrame:
     """Columns shard, source_no, n: what each output shard draws from each source.
 
     A shard takes the whole part of its expected count of every source for
@@ -74,7 +74,6 @@ def _shard_counts(spark, goals: list[float], blocks: list[int], params: MixParam
                 ["shard", "source_no", "n"],
             )
 
-    del blocks
     return spark.range(shards).mapInArrow(draw, "shard long, source_no int, n long")
 
 
@@ -132,7 +131,7 @@ def plan_mix(
         F.greatest(F.lit(0).cast("long"), F.col("block") * b - F.col("before")).alias("first"),
         F.least(F.col("size"), (F.col("block") + 1) * b - F.col("before")).alias("stop"),
     )
-    counts = _shard_counts(spark, goals, blocks, params)
+    counts = _shard_counts(spark, goals, params)
     drawn = running_totals(counts, ["shard"], {"start": "n"}, "source_no")
     place = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("ahead", F.coalesce(F.sum("n").over(place), F.lit(0))).withColumn(

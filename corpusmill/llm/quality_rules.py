@@ -33,8 +33,8 @@ class QualityParams:
 def _gram_buckets(data, offsets, words, params) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hash buckets of word 1-grams, word 2-grams and character n-grams, each with row offsets.
 
-    A window that starts in a row counts for that row; one that would reach
-    into the next row is given a bucket of its row end by masking to 0.
+    A row's last word has no pair and its last characters no whole n-gram; they
+    all go to one bucket, so that a score never depends on the rows beside it.
     """
     size = 1 << params.bits
     starts, ends, first, hashes = words
@@ -52,6 +52,9 @@ def _gram_buckets(data, offsets, words, params) -> list[tuple[np.ndarray, np.nda
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x85EBCA6B)
     code ^= code >> np.uint32(13)
+    for j in range(1, params.char_order):
+        last = offsets[1:] - j
+        code[last[last >= offsets[:-1]]] = 0
     out.append(((code & np.uint32(size - 1)).astype(np.int64) + 2 * size, offsets))
     return out
 

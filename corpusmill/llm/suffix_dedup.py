@@ -96,9 +96,6 @@ def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # The last first-of-its-content: anchor, row values, whether it opened the range, whether it has company.
     held, opened = None, False
 
-    def out(rows, kind):
-        return [*rows[:5], kind]
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -122,9 +119,9 @@ def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             company = joined | after
             if held is not None:
                 if not held[1]:
-                    rows.append(out(held[0], 2))
+                    rows.append([*held[0], 2])
                 elif held[2] or joined[0]:
-                    rows.append(out(held[0], 1))
+                    rows.append([*held[0], 1])
             for at in fresh[:-1][company[:-1]].tolist():
                 kind[at] = 1
             if not opened:
@@ -141,15 +138,15 @@ def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [pa.array(c[keep], pa.int64(), mask=settled) for c in columns]
         yield pa.RecordBatch.from_arrays([*hashes, *made.columns[2:], pa.array(kind[keep].astype(np.int32))], _PASSED)
         if rows:
-            yield _rows(rows, batch.schema)
+            yield _rows(rows)
     if held is not None:
-        yield _rows([out(held[0], 2)], None)
+        yield _rows([[*held[0], 2]])
 
 
 _PASSED = ["anchor", "content", "doc_id", "copy", "place", "kind"]
 
 
-def _rows(rows: list[list], _schema) -> pa.RecordBatch:
+def _rows(rows: list[list]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _PASSED)
 

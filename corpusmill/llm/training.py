@@ -37,18 +37,12 @@ def labelled_sample(
 
 
 def fitted(sample: DataFrame, fit: Callable[[pa.Table], bytes]) -> bytes:
-    """Fit in one task on a bounded sample; only the model comes to the driver."""
-    schema = sample.schema
-    names = [f.name for f in schema]
-
+    """Fit in one task on a bounded sample; only the model comes to the driver (empty without rows)."""
     def run(batches):
         parts = [b for b in batches if b.num_rows]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([fit(pa.Table.from_batches(parts))], pa.binary())], ["model"])
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary())], ["model"])
+        model = fit(pa.Table.from_batches(parts)) if parts else b""
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    del names
     rows = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return bytes(rows[0]["model"]) if rows else b""
 

@@ -103,6 +103,13 @@ def test_quality_rules(docs, rows, labels):
     assert order((r.doc_id, *(r[n] for n in NAMES)) for r in got) == want
 
 
+def test_scores_do_not_depend_on_neighbours(docs, labels):
+    params = QualityParams(steps=10, bits=10)
+    one = {(r.doc_id, r.n_words): r.probability for r in quality_rules(docs.coalesce(1), labels, params).collect()}
+    many = quality_rules(docs.repartition(40), labels, params).collect()
+    assert all(math.isclose(one[r.doc_id, r.n_words], r.probability, rel_tol=1e-9) for r in many)
+
+
 def test_quality_rules_without_labels(docs, empty, labels):
     none = labels.where("false")
     assert all(r.probability is None and r.kept == (not r.base_failed) for r in quality_rules(docs, none).collect())
