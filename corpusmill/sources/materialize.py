@@ -26,13 +26,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[tuple[str, str]] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared folder; ``drop_intermediates`` deletes it."""
+    path = f"{shared_folder(spark)}/corpusmill-{name}-{uuid.uuid4().hex}"
+    _made.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete the tables that this session wrote on the way; returns how many.
+
+    Results that are not written yet read them, so call it after the last write.
+    """
+    own = [path for app, path in _made if app == spark.sparkContext.applicationId]
+    for path in own:
+        location, fs = file_system(spark, path)
+        fs.delete(location, True)
+    _made[:] = [(app, path) for app, path in _made if path not in own]
+    return len(own)
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
     For a table that several branches of a job need: it is computed once,
     survives the loss of executors, and gives the optimizer real sizes.
     """
-    path = f"{shared_folder(df.sparkSession)}/corpusmill-{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

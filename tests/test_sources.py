@@ -12,7 +12,7 @@ from corpusmill.plans import delivery
 from corpusmill.plans.sampling import sample_repositories
 from corpusmill.params import BudgetParams, CandidateParams, ScanParams, Settings
 from corpusmill.sources import readers, writers
-from corpusmill.sources.materialize import materialized, shared_folder
+from corpusmill.sources.materialize import drop_intermediates, materialized, shared_folder
 
 SMALL = "repo_url string, total_loc bigint"
 
@@ -108,6 +108,8 @@ def test_index_csv_and_errors(spark, tmp_path):
 def test_materialized_uses_the_session_folder(spark):
     df = materialized(spark.range(3).toDF("n"), "probe")
     assert df.count() == 3
+    assert drop_intermediates(spark) >= 1 and drop_intermediates(spark) == 0
+    assert not os.path.exists(df.inputFiles()[0].removeprefix("file://"))
     assert spark.conf.get("spark.checkpoint.dir") == shared_folder(spark)
     assert shared_folder(spark) in df.inputFiles()[0]
 
