@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.sources.materialize import materialized, shared_folder
+from corpusmill.sources.materialize import materialized, new_folder
 
 __all__ = [
     "binary_rows", "materialized", "new_folder", "pieces", "ranges", "running_totals", "table", "text_bytes",
@@ -26,11 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder."""
-    return f"{shared_folder(spark)}/corpusmill-{name}-{uuid.uuid4().hex}"
-
-
 def ranges(spark: SparkSession) -> int:
     """Partitions for an ordered pass: as many as the session shuffles into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
