@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.llm.common import materialized, ranges, running_totals, word_count
+from corpusmill.llm.common import materialized, pieces, ranges, running_totals, word_count
 from corpusmill.llm.feistel import permuted
 
 
@@ -122,11 +122,11 @@ def plan_mix(
         sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
     ).drop("_source")
     b = params.block
-    pieces = rows.where("size > 0").select(
+    spread = rows.where("size > 0").select(
         "source_no", "doc_id", "before", "size",
         F.explode(F.expr(f"sequence(before div {b}, (before + size - 1) div {b})")).alias("block"),
     )
-    fragments = pieces.select(
+    fragments = spread.select(
         "source_no", "block", "doc_id", "before", "size",
         F.greatest(F.lit(0).cast("long"), F.col("block") * b - F.col("before")).alias("first"),
         F.least(F.col("size"), (F.col("block") + 1) * b - F.col("before")).alias("stop"),
@@ -223,7 +223,7 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     kinds = StructType([docs.schema[c] for c in names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             n = batch.num_columns
             texts = [
                 cut_words(text, _joined([(r["first"], r["stop"]) for r in ranges]))

@@ -36,7 +36,7 @@ class TokenParams:
     pad: int = 50256
     slots_per_shard: int = 65536
     key: int = 20240229
-    cached_words: int = 400_000
+    cached_words: int = 200_000
     broadcast_tasks: int = 200_000
 
     @property
