@@ -61,7 +61,7 @@ def _gram_buckets(data, offsets, words, params) -> list[tuple[np.ndarray, np.nda
 
 def _fit(params: QualityParams):
     def fit(sample: pa.Table) -> bytes:
-        sample = sample.sort_by("doc_id")
+        sample = sample.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         labels = sample.column("label").to_numpy()
         if labels.min() == labels.max():
             return b""

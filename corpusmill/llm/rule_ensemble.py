@@ -112,7 +112,7 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int) ->
 
 def _fit(params: EnsembleParams):
     def fit(sample: pa.Table) -> bytes:
-        sample = sample.sort_by("doc_id")
+        sample = sample.sort_by([(c, "ascending") for c in ("doc_id", *FEATURES)])
         y = sample.column("label").to_numpy()
         if y.min() == y.max():
             return b""

@@ -61,10 +61,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` between consecutive offsets."""
-    total = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "biu" else np.float64)
-    np.cumsum(values, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """Sum of ``values`` between consecutive offsets, which cover all values.
+
+    Fractions are added row by row, so that no sum depends on the rows before.
+    """
+    if values.dtype.kind in "biu":
+        total = np.zeros(len(values) + 1, np.int64)
+        np.cumsum(values, out=total[1:])
+        return total[offsets[1:]] - total[offsets[:-1]]
+    out, filled = np.zeros(len(offsets) - 1), offsets[1:] > offsets[:-1]
+    if filled.any():
+        out[filled] = np.add.reduceat(values.astype(np.float64), offsets[:-1][filled])
+    return out
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE):
