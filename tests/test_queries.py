@@ -8,16 +8,21 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+import corpusmill.plans.oracle
+import corpusmill.plans.queries
+from corpusmill import plans
 from tests.oracle_check import difference, duckdb_with_views
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = plans.queries.QUERIES, plans.oracle.SQL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
