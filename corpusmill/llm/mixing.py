@@ -46,35 +46,62 @@ def targets(sizes: list[int], params: MixParams) -> list[float]:
     return out
 
 
-def _shard_counts(spark, goals: list[float], params: MixParams) -> DataFrame:
+def _totals(sizes: list[int], goals: list[float], params: MixParams) -> list[int]:
+    """Blocks that the mix takes of each source.
+
+    ``goal * blocks / size`` of them hold ``goal`` words on average, also where the last block is short; the
+    fraction is one more block or none, by a draw of the source's own.
+    """
+    out = []
+    for no, (size, goal) in enumerate(zip(sizes, goals)):
+        blocks = -(-size // params.block)
+        wanted = goal * blocks / size if size else 0.0
+        draw = np.random.default_rng([params.key, no]).random()
+        out.append(min(int(wanted) + (draw < wanted % 1), params.max_passes * blocks))
+    return out
+
+
+def _shard_counts(spark, totals: list[int], params: MixParams) -> DataFrame:
     """Columns shard, source_no, n: what each output shard draws from each source.
 
-    A shard takes the whole part of its expected count of every source for
-    sure and draws the slots that are left over from a multinomial over the
-    fractions, so that each shard is near the weights and all together too.
+    A shard takes the whole part of its share of every total for sure.  What is
+    left of the totals is as many slots as are left in the shards, and a keyed
+    permutation deals them: each shard is near the weights, is full, and every
+    total is given out exactly.
     """
-    wanted = np.array(goals) / params.block
-    slots = int(round(wanted.sum()))
+    slots = sum(totals)
     shards = max(1, -(-slots // params.slots_per_shard))
+    size, wider = slots // shards, slots % shards  # the first ``wider`` shards hold one slot more
+    sure, open_ = [], []
+    for width in (size + 1, size):
+        sure.append([t * width // max(slots, 1) for t in totals])
+        open_.append(width - sum(sure[-1]))
+    rows, dealt = [], 0
+    for no, total in enumerate(totals):
+        rest = total - wider * sure[0][no] - (shards - wider) * sure[1][no]
+        rows.append((no, sure[0][no], sure[1][no], dealt, rest))
+        dealt += rest
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for shard in batch.column(0).to_pylist():
-                size = slots // shards + (shard < slots % shards)
-                mean = wanted / max(wanted.sum(), 1e-300) * size
-                count = np.floor(mean).astype(np.int64)
-                rest, left = mean - count, size - int(count.sum())
-                if left > 0 and rest.sum() > 0:
-                    count += np.random.default_rng([params.key, shard]).multinomial(left, rest / rest.sum())
-                out += [(shard, s, int(c)) for s, c in enumerate(count) if c]
-            columns = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())],
-                ["shard", "source_no", "n"],
-            )
-
-    return spark.range(shards).mapInArrow(draw, "shard long, source_no int, n long")
+            for no, more, less, start, rest in zip(*(c.to_pylist() for c in batch.columns)):
+                place = permuted(np.arange(start, start + rest), dealt, params.key)
+                late = place - wider * open_[0]
+                shard = np.where(late < 0, place // max(open_[0], 1), wider + late // max(open_[1], 1))
+                chosen, extra = np.unique(shard, return_counts=True)
+                if more or less:
+                    count = np.full(shards, less)
+                    count[:wider] = more
+                    count[chosen] += extra
+                    chosen = np.flatnonzero(count)
+                    extra = count[chosen]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(chosen, pa.int64()), pa.array(np.full(len(chosen), no, np.int32)), pa.array(extra, pa.int64())],
+                    ["shard", "source_no", "n"],
+                )
+
+    sources = spark.createDataFrame(rows, "source_no int, more long, less long, start long, rest long")
+    return sources.mapInArrow(draw, "shard long, source_no int, n long")
 
 
 @dataclass(frozen=True)
@@ -96,12 +123,12 @@ def plan_mix(
     """Pack every source into blocks of ``block`` words and decide which blocks the mix takes.
 
     The words of a source, in key order, form one stream; running sums give
-    each document its place in it without gathering a source.  Per output shard
-    a count of blocks is drawn for each source; the ``k``-th block that the mix
+    each document its place in it without gathering a source.  How many blocks
+    the mix takes of a source is settled first, at most ``max_passes`` full
+    passes, and dealt to the output shards; the ``k``-th block that the mix
     takes from a source with ``m`` blocks is number ``permutation(k mod m)``, in
-    pass ``k div m``.  Counts beyond ``max_passes`` full passes (only rounding
-    asks for them) stay empty, so no word is taken more often.  Only one row
-    per source reaches the driver.  Null texts have no words; a source of
+    pass ``k div m``, so no word is taken more often.  Only one row per source
+    reaches the driver.  Null texts have no words; a source of
     size 0 has target 0; an empty table gives an empty mix.
     """
     spark = docs.sparkSession
@@ -112,8 +139,9 @@ def plan_mix(
     rows = materialized(running_totals(sized, ["doc_id", "size", "text_hash"], {"before": "size"}, "source"), "stream")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
     per_source = sorted(((r["source"], r["size"]) for r in per_source), key=lambda r: (r[0] is None, r[0] or ""))
-    goals = targets([size for _, size in per_source], params)
-    blocks = [-(-size // params.block) for _, size in per_source]
+    sizes = [size for _, size in per_source]
+    goals = targets(sizes, params)
+    blocks = [-(-size // params.block) for size in sizes]
     sources = spark.createDataFrame(
         [(name, i, int(size), float(goals[i])) for i, (name, size) in enumerate(per_source)],
         f"source {sized.schema['source'].dataType.simpleString()}, source_no int, source_size long, target double",
@@ -131,7 +159,7 @@ def plan_mix(
         F.greatest(F.lit(0).cast("long"), F.col("block") * b - F.col("before")).alias("first"),
         F.least(F.col("size"), (F.col("block") + 1) * b - F.col("before")).alias("stop"),
     )
-    counts = _shard_counts(spark, goals, params)
+    counts = _shard_counts(spark, _totals(sizes, goals, params), params)
     drawn = running_totals(counts, ["shard"], {"start": "n"}, "source_no")
     place = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("ahead", F.coalesce(F.sum("n").over(place), F.lit(0))).withColumn(
@@ -142,7 +170,6 @@ def plan_mix(
         for batch in batches:
             for shard, no, n, start, ahead, size in zip(*(c.to_pylist() for c in batch.columns)):
                 k = np.arange(start, start + n)
-                k = k[k < params.max_passes * blocks[no]]
                 spots = np.arange(ahead, ahead + len(k))
                 yield pa.RecordBatch.from_arrays(
                     [

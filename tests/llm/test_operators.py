@@ -497,5 +497,25 @@ def test_slots_fill_their_shards(docs):
         assert len(set(slots)) == len(slots) and min(slots) >= 0
 
 
+def test_small_sources_reach_their_targets(spark):
+    """Sources below one block, far fewer than one slot per shard each."""
+    params = MixParams(slots_per_shard=16)
+    rows = [(i, "w " * 1280, f"a{i % 3}") for i in range(12)] + [(100 + i, "x " * 10, f"z{i:03d}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = plan_mix(docs, params)
+    taken, goal, size = Counter(), {}, Counter()
+    for r in taken_words(mix).collect():
+        taken[r.source] += r.taken
+        goal[r.source], size[r.source] = r.target, r.source_size
+    full = [s for s in goal if goal[s] == 2 * size[s]]
+    assert len(full) > 50 and all(taken[s] == goal[s] for s in full)
+    tail = [s for s in goal if s[0] == "z"]
+    assert abs(sum(taken[s] for s in tail) / sum(goal[s] for s in tail) - 1) < 0.1
+    assert all(abs(taken[s] - goal[s]) < min(64, size[s]) for s in goal)
+    shards = Counter(r.shard for r in mix.slots.collect())
+    assert sorted(shards) == list(range(len(shards))) and max(shards.values()) - min(shards.values()) <= 1
+    assert max(shards.values()) <= 16
+
+
 def test_cut_words():
     assert cut_words(" a  b\nc d ", [(0, 2), (3, 4)]) == "a  b d"
