@@ -18,7 +18,7 @@ from corpusmill.llm.decontaminate import decontaminated
 from corpusmill.llm.mixing import mixed_documents
 from corpusmill.llm.ngram_join import one_of_each
 from corpusmill.llm.rule_ensemble import quality_kept
-from corpusmill.llm.token_output import training_order
+from corpusmill.llm.token_output import written_order
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-stride token records in training order."""
+    """Fixed-stride token records in training order, written to shard files and read back."""
     ship_package(spark)
-    return training_order(docs)
+    return written_order(docs)
 
 
 STAGES = [

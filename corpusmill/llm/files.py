@@ -36,6 +36,13 @@ def opened(uri: str):
     return store.open_input_stream(path, compression=None)
 
 
+def opened_at(uri: str, offset: int):
+    store, path = filesystem(uri)
+    source = store.open_input_file(path)
+    source.seek(offset)
+    return source
+
+
 def removed(uri: str) -> None:
     store, path = filesystem(uri)
     store.delete_dir(path)

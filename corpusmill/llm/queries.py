@@ -14,7 +14,7 @@ from corpusmill.llm.rule_ensemble import rule_scores
 from corpusmill.llm.sharding import shard_by_bytes
 from corpusmill.llm.sql import SQL
 from corpusmill.llm.suffix_dedup import repeats_digest
-from corpusmill.llm.token_output import training_order
+from corpusmill.llm.token_output import written_order
 from corpusmill.llm.training import held_out
 from corpusmill.llm.url_filter import url_verdicts
 from corpusmill.llm.warc import archived_pages
@@ -29,7 +29,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(table(spark, sf_dir, "documents"))
+    return written_order(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

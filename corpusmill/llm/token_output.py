@@ -7,7 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import binary_rows, new_folder, pieces
 from corpusmill.llm.feistel import permuted
-from corpusmill.llm.files import new_file, opened
+from corpusmill.llm.files import new_file, opened, opened_at
 
 # Fixed value: pre-tokenizer pattern that belongs to the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,6 +29,7 @@ class TokenParams:
     """A record is ``length`` ids of two bytes, little endian; ``pad`` is an id that no text yields.
 
     The starts of up to ``broadcast_tasks`` tasks (16 bytes each) are broadcast, more are joined by shuffle.
+    Shard files are written in ``waves``, so that only one wave of records is in the shuffle beside the files.
     """
 
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -38,6 +39,7 @@ class TokenParams:
     key: int = 20240229
     cached_words: int = 200_000
     broadcast_tasks: int = 200_000
+    waves: int = 3
 
     @property
     def stride(self) -> int:
@@ -118,23 +120,8 @@ def sequences(docs: DataFrame, params: TokenParams, key: str = "doc_id", text: s
     return chosen.mapInArrow(run, "doc_id long, piece int, task int, place long, tokens binary")
 
 
-def training_order(
-    docs: DataFrame, params: TokenParams = TokenParams(), key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """All sequences of ``docs`` as fixed-stride records in a random but fixed order.
-
-    Texts become ids once; the sequences are written to the shared folder, and
-    the counts of the tasks that made them give each a number 0 .. n-1.  The
-    keyed permutation of that number is its global ``slot``.  Sequences are range
-    partitioned by ``shard`` and sorted by slot, so that whatever writes the
-    result writes whole shards front to back.  ``record`` always has ``stride``
-    bytes: ids of two bytes, then padding.  Slot ``s`` stands at ``byte_offset``
-    ``s % slots_per_shard * stride`` of shard ``s // slots_per_shard``, and a
-    reader resumes anywhere.  The order depends on the key and the table as stored, not on timing.
-
-    Null and empty texts fill one slot with padding only; an empty table gives
-    no rows.  Repeated rows get slots of their own; only ``key`` and ``text`` are read.
-    """
+def _slots(docs: DataFrame, params: TokenParams, key: str, text: str) -> tuple[DataFrame, int]:
+    """Every sequence with its slot and shard, and the number of shards."""
     spark = docs.sparkSession
     made = f"{new_folder(spark, 'sequences')}"
     sequences(docs, params, key, text).write.option("compression", "zstd").parquet(made)
@@ -162,6 +149,13 @@ def training_order(
                 ["doc_id", "piece", "slot", "tokens", "shard"],
             )
 
+    placed = index.mapInArrow(slot, "doc_id long, piece int, slot long, tokens binary, shard int")
+    return placed, max(1, -(-total // params.slots_per_shard))
+
+
+def _records(placed: DataFrame, first: int, stop: int, params: TokenParams) -> DataFrame:
+    """Whole shards, numbers ``first`` to ``stop - 1``, in slot order, each sequence padded to a record."""
+
     def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = np.full(params.length, params.pad, np.uint16).tobytes()
         for batch in batches:
@@ -177,17 +171,57 @@ def training_order(
                 ["doc_id", "piece", "n_tokens", "slot", "shard", "byte_offset", "record_crc32", "record"],
             )
 
-    shards = max(1, -(-total // params.slots_per_shard))
-    placed = (
-        index.mapInArrow(slot, "doc_id long, piece int, slot long, tokens binary, shard int")
-        .repartitionByRange(shards, "shard").sortWithinPartitions("slot")
-    )
-    return placed.mapInArrow(
+    return placed.repartitionById(stop - first, F.col("shard") - F.lit(first)).sortWithinPartitions("slot").mapInArrow(
         padded,
         "doc_id long, piece int, n_tokens int, slot long, shard int, byte_offset long, record_crc32 long, record binary",
     )
 
 
+def training_order(
+    docs: DataFrame, params: TokenParams = TokenParams(), key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """All sequences of ``docs`` as fixed-stride records in a random but fixed order.
+
+    Texts become ids once; the sequences are written to the shared folder, and
+    the counts of the tasks that made them give each a number 0 .. n-1.  The
+    keyed permutation of that number is its global ``slot``.  Sequences are
+    partitioned by ``shard`` and sorted by slot, so that whatever writes the
+    result writes whole shards front to back.  ``record`` always has ``stride``
+    bytes: ids of two bytes, then padding.  Slot ``s`` stands at ``byte_offset``
+    ``s % slots_per_shard * stride`` of shard ``s // slots_per_shard``, and a
+    reader resumes anywhere.  The order depends on the key and the table as stored, not on timing.
+
+    Null and empty texts fill one slot with padding only; an empty table gives
+    no rows.  Repeated rows get slots of their own; only ``key`` and ``text`` are read.
+    """
+    placed, shards = _slots(docs, params, key, text)
+    return _records(placed, 0, shards, params)
+
+
+def written_order(
+    docs: DataFrame, params: TokenParams = TokenParams(), key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``training_order`` by way of its shard files: writes them and returns their index with ``record`` read back.
+
+    A wave takes a run of shards; its shuffle files are deleted once its shard files are written.
+    """
+    spark = docs.sparkSession
+    placed, shards = _slots(docs, params, key, text)
+    folder, waves = new_folder(spark, "shards"), min(params.waves, shards)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    listed = []
+    try:
+        spark.conf.set(cleanup, "true")
+        for wave in range(waves):
+            first, stop = wave * shards // waves, (wave + 1) * shards // waves
+            part = placed.where((F.col("shard") >= first) & (F.col("shard") < stop))
+            listed.append(write_shard_files(_records(part, first, stop, params), folder))
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+    return with_records(reduce(DataFrame.union, listed), params)
+
+
 def write_shard_files(ordered: DataFrame, folder: str | None = None) -> DataFrame:
     """Write each shard of ``training_order`` as one raw file; returns the index (without records, with ``path``).
 
@@ -246,3 +280,27 @@ def read_records(spark: SparkSession, index: DataFrame, params: TokenParams = To
                         first, n = first + take, n - take
 
     return files.repartition("shard").mapInArrow(run, "slot long, ids array<int>")
+
+
+def with_records(index: DataFrame, params: TokenParams = TokenParams()) -> DataFrame:
+    """The index without ``path`` and with each row's ``record``, read from its file and held against its checksum."""
+    names = [c for c in index.columns if c != "path"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, offsets = batch.column("path").to_pylist(), batch.column("byte_offset").to_numpy()
+            records, start, n = [], 0, batch.num_rows
+            while start < n:  # runs of records that follow each other in a file
+                stop = start + 1
+                while stop < n and paths[stop] == paths[start] and offsets[stop] == offsets[stop - 1] + params.stride:
+                    stop += 1
+                with opened_at(paths[start], int(offsets[start])) as source:
+                    block = source.read((stop - start) * params.stride)
+                records += [block[i : i + params.stride] for i in range(0, len(block), params.stride)]
+                start = stop
+            if [zlib.crc32(r) for r in records] != batch.column("record_crc32").to_pylist():
+                raise ValueError(f"shard files differ from their index: {sorted(set(paths))[:3]}")
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(records, pa.binary())], [*names, "record"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in index.drop("path").dtypes) + ", record binary"
+    return index.mapInArrow(run, kinds)

@@ -25,7 +25,7 @@ from corpusmill.llm.rule_ensemble import EnsembleParams, fit_ensemble, quality_k
 from corpusmill.llm.sharding import shard_by_bytes
 from corpusmill.llm.suffix_dedup import SuffixParams, repeats_digest
 from corpusmill.llm.text_stats import base_counts, feature_matrix
-from corpusmill.llm.token_output import TokenParams, encoder, read_records, training_order, write_shard_files
+from corpusmill.llm.token_output import TokenParams, encoder, read_records, training_order, write_shard_files, written_order
 from corpusmill.llm.url_filter import RULES, url_verdicts
 from corpusmill.llm.warc import WarcParams, archived_pages, normalised, read_members, write_monolithic
 
@@ -186,6 +186,24 @@ def test_training_order_round_trip(spark, docs, rows, empty):
     assert training_order(empty, params).count() == 0
 
 
+def test_query_writes_shard_files(spark, docs, empty):
+    from pathlib import Path
+
+    from corpusmill.llm.queries import QUERIES
+    from corpusmill.sources.materialize import shared_folder
+
+    def files():
+        return set(Path(shared_folder(spark).replace("file:", "")).glob("corpusmill-shards-*/shard-*.bin"))
+
+    before = files()
+    out = QUERIES["op3_training_order"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(f.stat().st_size for f in files() - before) == 512 * len(out) > 0
+    params = TokenParams(length=16, slots_per_shard=50)
+    got, want = written_order(docs, params), training_order(docs, params)
+    assert order(map(tuple, got.select(want.columns).collect())) == order(map(tuple, want.collect()))
+    assert written_order(empty, params).count() == 0
+
+
 # N-gram join
 
 
