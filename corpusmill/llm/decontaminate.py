@@ -9,11 +9,13 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.llm.common import materialized, pieces
+from corpusmill.llm.common import materialized, new_folder, pieces
+from corpusmill.llm.files import filesystem
 
 # Fixed value: what a word may hold after A-Z became a-z; every other byte separates.
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
@@ -24,10 +26,13 @@ NORMAL = bytes(
 
 @dataclass(frozen=True)
 class DecontaminationParams:
-    """``block_bytes`` bounds the benchmark text of one automaton; more text takes further passes."""
+    """``block_bytes`` bounds the benchmark text of one automaton; more text takes further passes.
+
+    Every word starts a window of some 60 characters, so 1 MB of text is up to about 10 million trie nodes.
+    """
 
     window: int = 10
-    block_bytes: int = 32 << 20
+    block_bytes: int = 1 << 20
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -73,16 +78,52 @@ def _character_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Benchmark rows in groups of about ``limit`` bytes; each group alone is held by the driver."""
+def cut_item(text: str, window: int, room: int) -> Iterator[str]:
+    """Runs of the words of ``text`` of about ``room`` bytes that hold every window of it once or more."""
+    found, start = words(text), 0
+    while start < len(found):
+        stop, size = start, 0
+        while stop < len(found) and (size < room or stop < start + 2 * window):
+            size += len(found[stop]) + 1
+            stop += 1
+        yield b" ".join(found[start:stop]).decode()
+        if stop == len(found):
+            return
+        start = stop - window + 1
+
+
+def _block(folder: str, part: int) -> list[tuple[int, str]]:
+    """Items of one part, read by a task."""
+    store, path = filesystem(f"{folder}/part={part}")
+    found = parquet.read_table(path, filesystem=store, partitioning=None)
+    return sorted(zip(*(c.to_pylist() for c in found.columns)))
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, params: DecontaminationParams) -> tuple[str, list[int]]:
+    """Folder with the parts of the benchmark, each of about ``block_bytes``, and their numbers.
+
+    A part is whole rows; texts of more than a block are cut where words end, and each piece repeats the last
+    ``window - 1`` words of the one before, so that no window is lost.
+    """
+    spark, room, window = benchmark.sparkSession, params.block_bytes, params.window
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for piece in cut_item(body, window, room):
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([piece], pa.string())], ["i", "t"])
+
     chosen = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(
         F.col(item).cast("long").alias("i"), F.col(text).alias("t")
-    )
-    total = chosen.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // limit))
-    for k in range(n):
-        part = chosen if n == 1 else chosen.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield sorted((r["i"], r["t"]) for r in part.collect())
+    ).distinct()
+    long = chosen.where(F.octet_length("t") > room).mapInArrow(cut, "i long, t string")
+    pieced = materialized(chosen.where(F.octet_length("t") <= room).union(long), "benchmark")
+    total = pieced.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(1, -(-total // room))
+    folder = new_folder(spark, "blocks")
+    pieced.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(n))).repartition("part").write.partitionBy("part").parquet(folder)
+    parts = spark.read.schema("i long, t string, part int").parquet(folder).select("part").distinct().collect() if total else []
+    return folder, sorted(r["part"] for r in parts)
 
 
 def contamination(
@@ -101,27 +142,27 @@ def contamination(
     count once; an empty benchmark hits nothing.
     """
     fields = docs.select(*carry).schema
-    groups = list(_blocks(benchmark, item, item_text, params.block_bytes))
+    folder, parts = _blocks(benchmark, item, item_text, params)
     state = docs.select(
         *carry, F.col(text).alias("_text"), F.array().cast("array<int>").alias("_runs"),
         F.array().cast("array<long>").alias("_items"),
     )
-    for number, group in enumerate(groups):
-        last = number == len(groups) - 1
+    for number, part in enumerate(parts or [None]):
+        last = number >= len(parts) - 1
         tail = (
             "n_words long, n_hit long, item_ids array<long>, spans array<struct<start:int,end:int>>"
             if last else "_text string, _runs array<int>, _items array<long>"
         )
         schema = StructType([*fields.fields, *StructType.fromDDL(tail).fields])
-        state = state.mapInArrow(_scan(group, params.window, last, list(carry)), schema)
+        state = state.mapInArrow(_scan(folder, part, params.window, last, list(carry)), schema)
         if not last:
             state = materialized(state, "hits")
     return state
 
 
-def _scan(group, window: int, last: bool, carry: list[str]):
+def _scan(folder: str, part: int | None, window: int, last: bool, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, lengths, owners = automaton_of(group, window)
+        automaton, lengths, owners = automaton_of([] if part is None else _block(folder, part), window)
         for batch in pieces(batches, "_text"):
             n = batch.num_columns
             texts, runs, items = (batch.column(n - k).to_pylist() for k in (3, 2, 1))
