@@ -22,7 +22,8 @@ def labelled_sample(
 
     Ids are drawn by hash order from the label table alone; only their texts
     are then fetched.  Columns: doc_id, label, text.  Rows without a label, key
-    or text take no part; an id labelled twice counts with its larger label.
+    or text take no part; an id labelled twice counts with its larger label,
+    one with several rows with the text of the least hash.
     """
     ids = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
@@ -32,7 +33,8 @@ def labelled_sample(
     return (
         docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("text"))
         .join(ids, "_id")
-        .select(F.col("_id").alias("doc_id"), F.col("_label").alias("label"), "text")
+        .groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("_least"))
+        .select(F.col("_id").alias("doc_id"), F.col("_label").alias("label"), F.col("_least.text").alias("text"))
     )
 
 
