@@ -45,7 +45,7 @@ def anchor_regions(data: np.ndarray, offsets: np.ndarray, params: SuffixParams):
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_CODES[data] * up[:n], out=prefix[1:])
     grams = mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
-    shift = np.uint64(int(n).bit_length())
+    shift = np.uint64(32)  # hash above, position below: the choice depends on the window alone
     low = ((grams >> shift) << shift) | np.arange(len(grams), dtype=np.uint64)
     step = 1
     while 2 * step <= width:
