@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import ship_package, table
 from corpusmill.llm.decontaminate import contamination_digest
+from corpusmill.llm.dialogue_repair import repair_digest
+from corpusmill.llm.license_notices import license_digest, notice_spans
+from corpusmill.llm.merkle import manifest_digest
 from corpusmill.llm.mixing import plan_mix, taken_words
 from corpusmill.llm.ngram_join import similar_documents
 from corpusmill.llm.quality_rules import quality_rules
@@ -73,6 +76,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(notice_spans(table(spark, sf_dir, "documents"))).drop("spans")
+
+
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(table(spark, sf_dir, "conversations"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -92,5 +107,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_license_notices": op12_license_notices,
+    "op13_dialogue_repair": op13_dialogue_repair,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
