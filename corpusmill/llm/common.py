@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusmill.sources.materialize import materialized, new_folder
 
 __all__ = [
-    "binary_rows", "materialized", "new_folder", "pieces", "ranges", "running_totals", "table", "text_bytes",
+    "binary_rows", "materialized", "new_folder", "others_as_json", "pieces", "ranges", "running_totals", "table", "text_bytes",
 ]
 
 #: Rows of one Arrow batch handed to Python; with texts of a few kilobytes some megabytes.
@@ -110,6 +110,12 @@ def binary_rows(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     )
 
 
+def others_as_json(docs: DataFrame, row: str, left_out: tuple[str, ...] = ("text",)) -> Column:
+    """The columns of a row struct but ``left_out`` as JSON: an order of rows that are else alike."""
+    names = [c for c in docs.columns if c not in left_out]
+    return F.to_json(F.struct(*[F.col(row).getField(c).alias(c) for c in names])) if names else F.lit("")
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than space and \\x09-\\x0D (null: 0)."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), F.lit(0)).cast("long")

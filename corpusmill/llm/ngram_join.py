@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialized, pieces, text_bytes
+from corpusmill.llm.common import others_as_json, materialized, pieces, text_bytes
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.text_stats import BASE, mix, span_hashes, words_of
 
@@ -321,15 +321,23 @@ def similar_documents(docs: DataFrame, params: JoinParams = JoinParams()) -> Dat
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """The rows of ``docs``, with all columns, that are the first (by doc_id) of what links connect.
 
-    Rows without words all stay.
+    Of rows that share the least id and its text, the one whose other columns
+    come first as JSON stays, so a rerun keeps the same row.  Rows without words
+    (null and empty texts) all stay, repeated or not.  Null ids come before
+    others.  Texts of any length are compared whole.  An empty table
+    gives no rows.  A row travels as one struct, so its columns may have any
+    names and come back unchanged.
     """
     found = ngram_jaccard_join(docs, params)
     placed = found.rows.join(found.classes.select(F.col("sid").alias("_sid"), "root"), F.col("sid") == F.col("_sid"), "left")
     kept = placed.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(
-        F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")
+        F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")
     )
-    bare = placed.where("root is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    marked = docs.withColumn("_own", F.xxhash64("text"))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
-    first = marked.join(kept, match).dropDuplicates(["doc_id", "_own"])
-    return first.select(*docs.columns).unionByName(marked.join(bare, match).select(*docs.columns))
+    bare = placed.where("root is null").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    rows = docs.select(F.struct("*").alias("row")).select(
+        "row", F.col("row.doc_id").cast("long").alias("own_id"), F.xxhash64("row.text").alias("own_hash"),
+        others_as_json(docs, "row").alias("others"),
+    )
+    match = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash"))
+    first = rows.join(kept, match).groupBy("own_id", "own_hash").agg(F.min_by("row", "others").alias("row"))
+    return first.select("row.*").unionByName(rows.join(bare, match).select("row.*"))
