@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusmill.llm.common import materialized, pieces, ranges, running_totals, word_count
+from corpusmill.llm.common import materialized, others_as_json, pieces, ranges, running_totals, word_count
 from corpusmill.llm.feistel import permuted
 
 
 @dataclass(frozen=True)
 class MixParams:
-    """``weights`` repeat over the sources in code-point order (null last)."""
+    """``weights`` repeat over the sources in code-point order (null last).
+
+    Sizes, targets and totals of the sources, one row each, are held by the driver and by each task: more than
+    ``max_sources`` are refused.  ``draw_rows`` slots are drawn at a time.
+    """
 
     weights: tuple[int, ...] = (5, 2, 1)
     share_percent: int = 150
@@ -26,6 +30,8 @@ class MixParams:
     block: int = 64
     slots_per_shard: int = 4096
     key: int = 77
+    max_sources: int = 100_000
+    draw_rows: int = 1 << 18
 
 
 def targets(sizes: list[int], params: MixParams) -> list[float]:
@@ -64,44 +70,34 @@ def _totals(sizes: list[int], goals: list[float], params: MixParams) -> list[int
 def _shard_counts(spark, totals: list[int], params: MixParams) -> DataFrame:
     """Columns shard, source_no, n: what each output shard draws from each source.
 
-    A shard takes the whole part of its share of every total for sure.  What is
-    left of the totals is as many slots as are left in the shards, and a keyed
-    permutation deals them: each shard is near the weights, is full, and every
-    total is given out exactly.
+    Every shard's counts are a multinomial draw, conditional on the settled
+    totals: all slots of the mix, those of a source next to each other, go through one keyed
+    permutation of their numbers, and a shard takes the slots that land in its
+    part.  The slots are counted range by range, so no task sees all of them.
     """
-    slots = sum(totals)
+    slots, ends = sum(totals), np.cumsum(np.array(totals, np.int64))
     shards = max(1, -(-slots // params.slots_per_shard))
     size, wider = slots // shards, slots % shards  # the first ``wider`` shards hold one slot more
-    sure, open_ = [], []
-    for width in (size + 1, size):
-        sure.append([t * width // max(slots, 1) for t in totals])
-        open_.append(width - sum(sure[-1]))
-    rows, dealt = [], 0
-    for no, total in enumerate(totals):
-        rest = total - wider * sure[0][no] - (shards - wider) * sure[1][no]
-        rows.append((no, sure[0][no], sure[1][no], dealt, rest))
-        dealt += rest
+    step = params.draw_rows
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for no, more, less, start, rest in zip(*(c.to_pylist() for c in batch.columns)):
-                place = permuted(np.arange(start, start + rest), dealt, params.key)
-                late = place - wider * open_[0]
-                shard = np.where(late < 0, place // max(open_[0], 1), wider + late // max(open_[1], 1))
-                chosen, extra = np.unique(shard, return_counts=True)
-                if more or less:
-                    count = np.full(shards, less)
-                    count[:wider] = more
-                    count[chosen] += extra
-                    chosen = np.flatnonzero(count)
-                    extra = count[chosen]
+            for number in batch.column(0).to_pylist():
+                k = np.arange(number * step, min((number + 1) * step, slots))
+                place = permuted(k, slots, params.key)
+                late = place - wider * (size + 1)
+                shard = np.where(late < 0, place // (size + 1), wider + late // max(size, 1))
+                source = np.searchsorted(ends, k, "right")
+                pair, n = np.unique(np.stack([source, shard]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(chosen, pa.int64()), pa.array(np.full(len(chosen), no, np.int32)), pa.array(extra, pa.int64())],
-                    ["shard", "source_no", "n"],
+                    [pa.array(pair[1]), pa.array(pair[0].astype(np.int32)), pa.array(n)], ["shard", "source_no", "n"]
                 )
 
-    sources = spark.createDataFrame(rows, "source_no int, more long, less long, start long, rest long")
-    return sources.mapInArrow(draw, "shard long, source_no int, n long")
+    numbers = -(-slots // step)
+    parts = spark.range(0, numbers, 1, max(1, min(numbers, 4 * ranges(spark)))).mapInArrow(
+        draw, "shard long, source_no int, n long"
+    )
+    return materialized(parts.groupBy("shard", "source_no").agg(F.sum("n").alias("n")), "draws")
 
 
 @dataclass(frozen=True)
@@ -137,7 +133,9 @@ def plan_mix(
         F.xxhash64(text).alias("text_hash"), *carry,
     )
     rows = materialized(running_totals(sized, ["doc_id", "size", "text_hash"], {"before": "size"}, "source"), "stream")
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(params.max_sources + 1).collect()
+    if len(per_source) > params.max_sources:
+        raise ValueError(f"more than {params.max_sources} sources: raise max_sources or group them")
     per_source = sorted(((r["source"], r["size"]) for r in per_source), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [size for _, size in per_source]
     goals = targets(sizes, params)
@@ -217,8 +215,12 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
     """The mix as documents: one row per document and pass that takes words of it, with all columns of ``docs``.
 
     ``text`` holds the words that the pass takes, in order; ``n_chars`` follows
-    it where the table has that column.  Documents of which nothing is taken
-    are left out; one in two passes comes twice.
+    it where the table has that column.  Documents of which nothing is taken,
+    null and empty texts among them, are left out; one in two passes comes twice.
+    Rows that share source, id and text are told apart by their other columns as JSON
+    and by nothing else, as their words are the same.  Null ids and sources are
+    values like others.  An empty table gives no rows.  A row travels as one
+    struct, so its columns may have any names.
     """
     mix = plan_mix(docs, params)
     parts = (
@@ -226,42 +228,43 @@ def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFra
         .groupBy("source_no", "before", "doc_id", "size", "pass")
         .agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("ranges"))
     )
-    # A document's place tells rows apart that share id and text: number both sides alike.
-    twin = Window.partitionBy("doc_id", "text_hash").orderBy("before")
+    # Rows of one source that share id and text stand side by side in its stream: number both sides alike.
+    twin = Window.partitionBy("source", "doc_id", "text_hash").orderBy("before")
     places = mix.rows.where("size > 0").withColumn("copy", F.row_number().over(twin)).select(
-        "source_no", "before", "doc_id", "size", "text_hash", "copy"
+        "source_no", "source", "before", "doc_id", "size", "text_hash", "copy"
     )
-    chosen = (
-        parts.alias("p").join(
-            places.alias("q"),
-            [F.col("p.before") == F.col("q.before"), F.col("p.source_no") == F.col("q.source_no"),
-             F.col("p.size") == F.col("q.size"), F.col("p.doc_id").eqNullSafe(F.col("q.doc_id"))],
-        ).select(F.col("q.doc_id").alias("_id"), "q.text_hash", "q.copy", "p.pass", "p.ranges")
+    chosen = parts.alias("p").join(
+        places.alias("q"),
+        [F.col("p.before") == F.col("q.before"), F.col("p.source_no") == F.col("q.source_no"),
+         F.col("p.size") == F.col("q.size"), F.col("p.doc_id").eqNullSafe(F.col("q.doc_id"))],
+    ).select("q.source", "q.doc_id", "q.text_hash", "q.copy", "p.ranges")
+    own = Window.partitionBy("own_source", "own_id", "own_hash").orderBy("others")
+    rows = docs.select(F.struct("*").alias("row")).select(
+        "row", F.col("row.source").alias("own_source"), F.col("row.doc_id").cast("long").alias("own_id"),
+        F.xxhash64("row.text").alias("own_hash"), others_as_json(docs, "row").alias("others"),
     )
-    numbered = docs.withColumn("_hash", F.xxhash64("text")).withColumn(
-        "_copy", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.col("source").asc_nulls_last()))
-    )
-    joined = numbered.join(
+    rows = rows.withColumn("own_copy", F.row_number().over(own)).drop("others")
+    joined = rows.join(
         chosen,
-        [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_hash") == F.col("text_hash"), F.col("_copy") == F.col("copy")],
+        [F.col("own_source").eqNullSafe(F.col("source")), F.col("own_id").eqNullSafe(F.col("doc_id")),
+         F.col("own_hash") == F.col("text_hash"), F.col("own_copy") == F.col("copy")],
     )
-    other = [c for c in docs.columns if c not in ("text", "n_chars")]
-    names = [*other, "text"]
-    kinds = StructType([docs.schema[c] for c in names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            n = batch.num_columns
             texts = [
                 cut_words(text, _joined([(r["first"], r["stop"]) for r in ranges]))
-                for text, ranges in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist())
+                for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(texts, pa.string())], names)
-
-    out = joined.select(*other, "text", "ranges").mapInArrow(cut, kinds)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    bare = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_chars")]
+    carried = joined.select((F.struct(*bare) if bare else F.struct(F.lit(0))).alias("row"), "row.text", "ranges")
+    kinds = StructType([carried.schema["row"], docs.schema["text"]])
+    out = carried.mapInArrow(cut, kinds)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    made = {"text": F.col("text"), "n_chars": length}
+    return out.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
