@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import binary_rows, new_folder, pieces
+from corpusmill.llm.common import binary_rows, new_folder, pieces, ranges
 from corpusmill.llm.feistel import permuted
 from corpusmill.llm.files import new_file, opened, opened_at
 
@@ -279,7 +279,7 @@ def read_records(spark: SparkSession, index: DataFrame, params: TokenParams = To
                         )
                         first, n = first + take, n - take
 
-    return files.repartition("shard").mapInArrow(run, "slot long, ids array<int>")
+    return files.repartition(ranges(spark), "shard").mapInArrow(run, "slot long, ids array<int>")
 
 
 def with_records(index: DataFrame, params: TokenParams = TokenParams()) -> DataFrame:

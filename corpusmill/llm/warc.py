@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import new_folder
-from corpusmill.llm.files import new_file, opened
+from corpusmill.llm.common import materialized, new_folder, ranges
+from corpusmill.llm.files import new_file, opened, opened_at
 
 READ = 1 << 20
 
@@ -206,7 +206,8 @@ def normalised(archives: DataFrame, params: WarcParams = WarcParams(), folder: s
         return made, index, len(lines)
 
     listed = new_folder(spark, "archives")
-    archives.select("path", "records").repartition("path").mapInArrow(
+    # A row is a whole archive: without a number adaptive execution would put them all in one task.
+    archives.select("path", "records").repartition(ranges(spark), "path").mapInArrow(
         run, "path string, index_path string, records long"
     ).write.parquet(listed)
     return spark.read.parquet(listed)
@@ -223,21 +224,34 @@ def read_members(archives: DataFrame, payloads: bool = False) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")] + ["payload"] * payloads
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * payloads
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with opened(index) as source:
-                    lines = source.read().decode().splitlines()
-                rows, held = [], 0
-                with opened(path) as source:
-                    for line in lines:
-                        rows.append(row := one(source.read(int(line.split(" ")[1]))))
-                        held += len(row[6])
-                        if len(rows) >= 4096 or held > 8 << 20:
-                            yield made(rows)
-                            rows, held = [], 0
-                if rows:
+                    lines = [line.split(" ", 2) for line in source.read().decode().splitlines()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(lines), pa.string()), *[pa.array([int(x[i]) for x in lines], pa.int64()) for i in (0, 1)]],
+                    ["path", "offset", "length"],
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, source, context, at = [], 0, None, None, (None, 0)
+        for batch in batches:
+            for path, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (path, offset):  # seek to the member; the next one often follows
+                    if context:
+                        context.__exit__(None, None, None)
+                    context = opened_at(path, offset)
+                    source = context.__enter__()
+                rows.append(row := one(source.read(length)))
+                held, at = held + len(row[6]), (path, offset + length)
+                if len(rows) >= 4096 or held > 8 << 20:
                     yield made(rows)
+                    rows, held = [], 0
+        if context:
+            context.__exit__(None, None, None)
+        if rows:
+            yield made(rows)
 
     def one(member: bytes) -> tuple:
         head, _, rest = zlib.decompress(member, 31).partition(b"\r\n\r\n")
@@ -259,9 +273,16 @@ def read_members(archives: DataFrame, payloads: bool = False) -> DataFrame:
             [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names
         )
 
-    return archives.select("path", "index_path").repartition("path").mapInArrow(
-        run, schema + ", payload binary" * payloads
+    n = ranges(archives.sparkSession)
+    members = materialized(
+        archives.select("path", "index_path").repartition(n, "path").mapInArrow(
+            listed, "path string, offset long, length long"
+        ),
+        "members",
     )
+    # An archive of any size is shared out by its offsets; a task reads members that mostly follow each other.
+    dealt = members.repartitionByRange(n, "path", "offset").sortWithinPartitions("path", "offset")
+    return dealt.mapInArrow(run, schema + ", payload binary" * payloads)
 
 
 def archived_pages(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
