@@ -80,6 +80,21 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("size", F.octet_length("content").cast("bigint"))
 
 
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to write to disk: hidden folders, names that begin with an underscore, and empty files among them."""
+    doc_id, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    path = (
+        F.when(doc_id % 7 == 0, F.concat(F.lit(".github/"), number, F.lit(".yml")))
+        .when(doc_id % 7 == 1, F.concat(F.lit("pkg"), number, F.lit("/__init__.py")))
+        .when(doc_id % 7 == 2, F.concat(F.lit(".git/objects/"), number))
+        .otherwise(_document_path())
+    )
+    text = F.when(doc_id % 7 == 1, "").otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("source").alias("folder"), path.alias("path"), text.cast("binary").alias("content")
+    )
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return docs.select(F.col("source").alias("folder"), _document_path().alias("path"), "text")

@@ -857,3 +857,22 @@ picked AS (
 SELECT page_id, array_to_string(CASE WHEN len(errs) > 0 THEN errs ELSE all_lines[-5:] END, chr(10)) AS errors,
   CASE WHEN length(flat) <= 200 THEN flat ELSE substr(flat, 1, 200) || '...' END AS short
 FROM picked"""
+
+_TREES = """trees AS (
+  SELECT source AS folder, encode(CASE WHEN doc_id % 7 = 1 THEN '' ELSE text END) AS content,
+    CASE doc_id % 7 WHEN 0 THEN '.github/' || doc_id || '.yml' WHEN 1 THEN 'pkg' || doc_id || '/__init__.py'
+      WHEN 2 THEN '.git/objects/' || doc_id ELSE path END AS path
+  FROM docs)"""
+SQL["working_tree_files"] = _with(
+    DOCS, _TREES,
+    select="SELECT folder, path, octet_length(content)::BIGINT AS size, sha256(content) AS sha256 FROM trees",
+)
+SQL["tree_listing"] = _with(
+    DOCS, _TREES,
+    """seen AS (
+  SELECT *, octet_length(content)::BIGINT AS size, octet_length(content) BETWEEN 1 AND 20971520
+    AND NOT list_has_any(string_split(path, '/')[:-2],
+      ['node_modules', 'vendor', 'dist', 'build', 'bower_components', '.git']) AS wanted FROM trees)""",
+    select="""SELECT folder AS repo_url, count(*) AS file_count, count(*) FILTER (starts_with(path, '.git/')) AS git_files,
+  count(*) FILTER (wanted) AS scanned, max(size) FILTER (wanted) AS largest FROM seen GROUP BY folder""",
+)

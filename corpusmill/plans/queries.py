@@ -24,7 +24,10 @@ from corpusmill.operators import (
 )
 from corpusmill.plans import adapters as a
 from corpusmill.plans.adapters import BUDGET
-from corpusmill.sources.materialize import materialized
+from corpusmill.params import ScanParams
+from corpusmill.sources.materialize import materialized, new_folder
+from corpusmill.sources.readers import read_working_trees
+from corpusmill.sources.trees import working_trees, write_working_trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +127,28 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repos.tree_file_counts(a.files(spark, sf_dir))
 
 
+def working_tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files by the tasks, then listed and read by the tree source."""
+    root = new_folder(spark, "trees")
+    write_working_trees(a.tree_files(spark, sf_dir), root).write.format("noop").mode("overwrite").save()
+    return working_trees(spark, root).select("folder", "path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files per tree, the ones below ``.git`` and the largest size among those a profile looks at."""
+    root = new_folder(spark, "trees")
+    write_working_trees(a.tree_files(spark, sf_dir), root).write.format("noop").mode("overwrite").save()
+    listed = working_trees(spark, root, content=False).withColumnRenamed("folder", "repo_url")
+    scanned = read_working_trees(spark, root, ScanParams()).groupBy(F.col("folder").alias("repo_url")).agg(
+        F.count("*").alias("scanned"), F.max("size").alias("largest")
+    )
+    below = listed.where(F.col("path").startswith(".git/")).groupBy("repo_url").agg(F.count("*").alias("git_files"))
+    return repos.tree_file_counts(listed).join(below, "repo_url", "left").join(scanned, "repo_url", "left").select(
+        "repo_url", "file_count", F.coalesce("git_files", F.lit(0)).alias("git_files"),
+        F.coalesce("scanned", F.lit(0)).alias("scanned"), "largest",
+    )
+
+
 def commit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.commit_minhash(a.commit_ids(spark, sf_dir))
 
@@ -445,7 +470,7 @@ def error_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        repo_list, repo_urls, latest_branch, resume_repos, snapshot_diag, tree_files,
+        repo_list, repo_urls, latest_branch, resume_repos, snapshot_diag, tree_files, working_tree_files, tree_listing,
         lang_profile, lang_distribution, lang_shares, file_lines, file_loc,
         commit_minhash, repo_identity,
         line_ranges, budget_select, running_share, sample_texts,

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.paths import below_any
 from corpusmill.functions.text import strip
 from corpusmill.params import ScanParams
 from corpusmill.schemas import IDENTITY, MANIFEST
-from corpusmill.sources.materialize import file_system
+from corpusmill.sources.trees import working_trees
 
 _BROKEN = "_broken"
 
@@ -45,28 +42,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_working_trees(spark: SparkSession, root: str, params: ScanParams | None = None) -> DataFrame:
     """Files below ``root/<folder>/``: folder, path (relative, as on disk), content, size.
 
-    Excluded folders and large files come too; only what Spark's listing leaves
-    out is missing: names that begin with a dot or underscore, and empty files.
-    With ``params`` only files that a profile would look at come.
+    Everything comes: hidden names, empty files, excluded folders, large files.
+    With ``params`` only files that a profile would look at come: excluded
+    folders are not entered, and files of other sizes are not opened.
     """
-    location, fs = file_system(spark, root)
-    base = str(fs.makeQualified(location).toString()).rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    # The listing may write one or three slashes after the scheme.
-    bare = r"^([a-z][a-z0-9+.\-]*:)/+"
-    relative = F.substr(
-        F.regexp_replace("path", bare, "$1/"), F.lit(len(re.sub(bare, r"\1/", base)) + 2)
-    )
-    rows = files.select(
-        F.substring_index(relative, "/", 1).alias("folder"),
-        F.regexp_replace(relative, "^[^/]*/", "").alias("path"),
-        relative.contains("/").alias("nested"), "content", F.col("length").alias("size"),
-    ).where("nested").drop("nested")
     if params is None:
-        return rows
-    return rows.where((F.col("size") > 0) & (F.col("size") <= params.max_file_bytes)).where(
-        ~below_any(F.col("path"), params.excluded_dirs)
-    )
+        return working_trees(spark, root)
+    return working_trees(spark, root, tuple(params.excluded_dirs), min_bytes=1, max_bytes=params.max_file_bytes)
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

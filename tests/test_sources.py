@@ -11,7 +11,9 @@ from corpusmill.operators.profile import language_counts
 from corpusmill.plans import delivery
 from corpusmill.plans.sampling import sample_repositories
 from corpusmill.params import BudgetParams, CandidateParams, ScanParams, Settings
-from corpusmill.sources import readers, writers
+from corpusmill.sources import readers, trees, writers
+from corpusmill.operators.repos import tree_file_counts
+from corpusmill.sources.trees import WorkingTrees, working_trees, write_working_trees
 from corpusmill.sources.materialize import drop_intermediates, materialized, shared_folder
 
 SMALL = "repo_url string, total_loc bigint"
@@ -32,24 +34,76 @@ def test_numbered_lines_over_many_splits(spark, tmp_path):
     assert sorted(r.line_no for r in rows) == list(range(1, 3001))
 
 
-def test_working_trees_are_pruned_while_listing(spark, tmp_path):
-    for name, content in {
-        "f1/src/a.py": "x = 1\n", "f1/node_modules/d/b.js": "1\n" * 100, "f1/.git/c": "x", "f2/e.go": "x",
-        "f2/empty.go": "",
-    }.items():
+TREE = {
+    "f1/src/a.py": "x = 1\n", "f1/node_modules/d/b.js": "1\n" * 100, "f1/.git/c": "x", "f2/e.go": "x",
+    "f2/empty.go": "", "f1/src/__init__.py": "", "f1/_x/y.py": "y = 2\n", "f1/.github/w/ci.yml": "on: push\n",
+    "f2/src/deep/er/still/.hidden": "h",
+}
+
+
+@pytest.fixture
+def tree(tmp_path):
+    for name, content in {**TREE, "outside.txt": "no folder"}.items():
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(content)
-    everything = readers.read_working_trees(spark, str(tmp_path)).collect()
-    assert sorted((r.folder, r.path) for r in everything) == [
-        ("f1", "node_modules/d/b.js"), ("f1", "src/a.py"), ("f2", "e.go")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 64])
+def test_every_file_of_a_working_tree_comes(spark, tree, partitions):
+    got = working_trees(spark, tree, partitions=partitions).collect()
+    assert sorted((f"{r.folder}/{r.path}", bytes(r.content).decode(), r.size) for r in got) == sorted(
+        (name, content, len(content)) for name, content in TREE.items()
+    )
+    listed = working_trees(spark, tree, content=False).collect()
+    assert len(listed) == len(TREE) and all(r.content is None for r in listed)
+
+
+def test_working_trees_are_pruned_while_listing(spark, tree):
+    everything = readers.read_working_trees(spark, tree)
+    assert sorted(f"{r.folder}/{r.path}" for r in everything.collect()) == sorted(TREE)
+    counts = tree_file_counts(everything.withColumnRenamed("folder", "repo_url"))
+    assert sorted(map(tuple, counts.collect())) == [("f1", 6), ("f2", 3)]
+    trees = readers.read_working_trees(spark, tree, ScanParams())
+    assert sorted((r.folder, r.path) for r in trees.collect()) == [
+        ("f1", ".github/w/ci.yml"), ("f1", "_x/y.py"), ("f1", "src/a.py"), ("f2", "e.go"), ("f2", "src/deep/er/still/.hidden"),
     ]
-    trees = readers.read_working_trees(spark, str(tmp_path), ScanParams())
-    assert sorted((r.folder, r.path) for r in trees.collect()) == [("f1", "src/a.py"), ("f2", "e.go")]
-    plan = trees._jdf.queryExecution().executedPlan().toString()
-    assert "BatchScan" in plan or "FileScan" in plan
     counts = language_counts(trees.withColumnRenamed("folder", "repo_url")).collect()
-    assert sorted((r.repo_url, r.language, r.lines) for r in counts) == [("f1", "Python", 1), ("f2", "Go", 1)]
+    assert ("f1", "Python", 2) in {(r.repo_url, r.language, r.lines) for r in counts}
+
+
+def test_files_that_fail_the_limits_are_not_opened(tree, monkeypatch):
+    reader = WorkingTrees({"path": tree, "minBytes": "1", "maxBytes": "9", "names": r"\.(py|yml)$"}).reader(None)
+    opened, store = [], trees.store_of(tree)[0]
+
+    class Store:
+        get_file_info = store.get_file_info
+
+        def open_input_stream(self, path, compression=None):
+            opened.append(os.path.relpath(path, tree))
+            return store.open_input_stream(path, compression=compression)
+
+    monkeypatch.setattr(trees, "store_of", lambda root: (Store(), root))
+    rows = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    assert sorted(opened) == sorted(f"{r['folder']}/{r['path']}" for r in rows) == [
+        "f1/.github/w/ci.yml", "f1/_x/y.py", "f1/src/a.py"
+    ]
+
+
+def test_branches_of_one_listing_do_not_cut_each_other(spark, tree):
+    listed = working_trees(spark, tree, content=False)
+    both = listed.where("size > 1").groupBy("folder").count().join(listed.groupBy("folder").agg(F.count("*").alias("n")), "folder")
+    assert sorted(map(tuple, both.collect())) == [("f1", 4, 6)]
+
+
+def test_written_trees_read_back(spark, tmp_path):
+    rows = [("a", ".x/_y", b"1"), ("a", "b/c", b""), ("b", "d", None)]
+    files = spark.createDataFrame(rows, "folder string, path string, content binary")
+    root = f"file://{tmp_path}/out"
+    assert write_working_trees(files, root).agg(F.sum("size")).first()[0] == 1
+    got = working_trees(spark, root).collect()
+    assert sorted((r.folder, r.path, bytes(r.content)) for r in got) == [("a", ".x/_y", b"1"), ("a", "b/c", b""), ("b", "d", b"")]
 
 
 @pytest.mark.parametrize("scheme", ["", "file:", "file://"])
