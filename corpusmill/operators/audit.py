@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions import alignment
 from corpusmill.functions.text import newline_lines
 
 # Changed lines with more than six unchanged lines between them are separate
@@ -27,70 +30,49 @@ def paired_texts(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def _changed_lines(before: Column, after: Column) -> Column:
-    """0-based numbers of lines that differ at the same position."""
-    marks = F.zip_with(before, after, lambda b, a: ~b.eqNullSafe(a))
-    return F.filter(F.transform(marks, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+def _line_arrays(pairs: DataFrame) -> DataFrame:
+    """Changed pairs with the lines of both versions; an absent version (null) is an empty file."""
+    return pairs.select(
+        "folder", "path", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after")
+    ).where(F.col("before") != F.col("after")).select(
+        "folder", "path", newline_lines(F.col("before")).alias("old"), newline_lines(F.col("after")).alias("new")
+    )
 
 
 def file_changes(pairs: DataFrame) -> DataFrame:
     """Hunks, additions and deletions of every changed file.
 
-    Where both versions have as many lines they are compared by position, which
-    is exact for redaction, as it neither adds nor removes lines.  Where lines
-    were added or removed, a line diff aligns them.  Everything happens inside
-    the row: no line is exploded and nothing is shuffled.  An absent version
-    (null) is an empty file.
+    One alignment for all files: as many lines stay as can (``functions.alignment``).
+    Everything happens inside the row: no line is exploded and nothing is
+    shuffled.
     """
-    lines = pairs.select(
-        "folder", "path", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after")
-    ).where(F.col("before") != F.col("after")).select(
-        "folder",
-        "path",
-        newline_lines(F.col("before")).alias("old"),
-        newline_lines(F.col("after")).alias("new"),
-    )
-    hidden = F.col("path").rlike(AUDIT_NAMES_LEFT_OUT).alias("hidden")
-    aligned = lines.where(F.size("old") != F.size("new")).mapInArrow(
-        _line_diff(HUNK_GAP // 2), "folder string, path string, hunks long, additions long, deletions long"
-    ).select("*", hidden)
-    lines = lines.where(F.size("old") == F.size("new"))
-    changed = lines.select(
-        "folder",
-        "path",
-        F.size("old").alias("n_old"),
-        F.size("new").alias("n_new"),
-        _changed_lines(F.col("old"), F.col("new")).alias("changed"),
+    counted = _line_arrays(pairs).mapInArrow(
+        _change_counts(HUNK_GAP), "folder string, path string, hunks long, additions long, deletions long"
     )
-    gaps = F.zip_with(
-        F.slice("changed", 2, F.greatest(F.size("changed") - 1, F.lit(0))),
-        F.slice("changed", 1, F.greatest(F.size("changed") - 1, F.lit(0))),
-        lambda later, earlier: later - earlier - 1,
+    return counted.select("*", F.col("path").rlike(AUDIT_NAMES_LEFT_OUT).alias("hidden"))
+
+
+def line_changes(pairs: DataFrame) -> DataFrame:
+    """Every changed line: its number and text in either version.
+
+    Lines that took each other's place are one row; an added line has no
+    ``line_no`` and ``before``, a removed one no ``new_line_no`` and ``after``.
+    """
+    return _line_arrays(pairs).mapInArrow(
+        _line_pairs(), "folder string, path string, line_no long, new_line_no long, before string, after string"
     )
-    return aligned.unionByName(changed.where(F.size("changed") > 0).select(
-        "folder",
-        "path",
-        (F.size(F.filter(gaps, lambda gap: gap > HUNK_GAP)) + 1).cast("bigint").alias("hunks"),
-        F.size(F.filter("changed", lambda i: i < F.col("n_new"))).cast("bigint").alias("additions"),
-        F.size(F.filter("changed", lambda i: i < F.col("n_old"))).cast("bigint").alias("deletions"),
-        hidden,
-    ))
-
-
-def _line_diff(context: int):
-    """Counts of a line diff per row; needs nothing of this package in the workers."""
-    def run(batches):
-        import difflib
 
-        import pyarrow as pa
 
+def _change_counts(gap: int):
+    cloudpickle.register_pickle_by_value(alignment)
+
+    def run(batches):
         for batch in batches:
-            counts = []
-            for old, new in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                groups = list(difflib.SequenceMatcher(None, old, new, autojunk=False).get_grouped_opcodes(context))
-                edits = [op for group in groups for op in group if op[0] != "equal"]
-                counts.append((len(groups), sum(e[4] - e[3] for e in edits), sum(e[2] - e[1] for e in edits)))
-            columns = list(zip(*counts)) or [(), (), ()]
+            counts = [
+                alignment.change_counts(old, new, gap)
+                for old, new in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
+            columns = zip(*counts, strict=True) if counts else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns]],
                 ["folder", "path", "hunks", "additions", "deletions"],
@@ -99,22 +81,22 @@ def _line_diff(context: int):
     return run
 
 
-def line_changes(pairs: DataFrame) -> DataFrame:
-    """Every changed line with both versions."""
-    arrays = pairs.where(F.col("before") != F.col("after")).select(
-        "folder",
-        "path",
-        newline_lines(F.col("before")).alias("old"),
-        newline_lines(F.col("after")).alias("new"),
-    )
-    changed = F.explode(_changed_lines(F.col("old"), F.col("new"))).alias("i")
-    return arrays.select("folder", "path", "old", "new", changed).select(
-        "folder",
-        "path",
-        (F.col("i") + 1).cast("bigint").alias("line_no"),
-        F.get("old", F.col("i")).alias("before"),
-        F.get("new", F.col("i")).alias("after"),
-    )
+def _line_pairs():
+    cloudpickle.register_pickle_by_value(alignment)
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def run(batches):
+        for batch in batches:
+            for row, (old, new) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                found = list(alignment.line_pairs(old, new))
+                at = pa.array([row] * len(found), pa.int64())
+                columns = zip(*found, strict=True) if found else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
+                    ["folder", "path", "line_no", "new_line_no", "before", "after"],
+                )
+
+    return run
 
 
 def folder_report(changes: DataFrame, folders: DataFrame | None = None) -> DataFrame:

@@ -72,6 +72,20 @@ def _code_like_text() -> Column:
     )
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code-like texts with lines added (after every ninth) and removed (every thirteenth)."""
+    kept = F.transform(
+        F.split(_code_like_text(), "\n"),
+        lambda line, i: F.when(i % 9 == 5, F.array(line, F.concat(F.lit("inserted after "), i.cast("string"))))
+        .when(i % 13 == 12, F.array().cast("array<string>"))
+        .otherwise(F.array(line)),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return docs.select(
+        F.col("source").alias("folder"), _document_path().alias("path"), F.array_join(F.flatten(kept), "\n").alias("text")
+    )
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = _code_like_text().cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")

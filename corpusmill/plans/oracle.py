@@ -56,6 +56,14 @@ FILES = f"""files AS (
       WHEN (i - 1) % 7 = 6 THEN '' ELSE x END), {LF}) AS content
   FROM docs)"""
 
+EDITED = f"""edited AS (
+  SELECT source AS folder, path, text AS before, coalesce((SELECT string_agg(
+      CASE WHEN k % 9 = 5 THEN x || {LF} || 'inserted after ' || k ELSE x END, {LF} ORDER BY k)
+    FROM (SELECT unnest(string_split(content, {LF})) AS x, unnest(range(0, len(string_split(content, {LF})))) AS k)
+    WHERE k % 9 = 5 OR k % 13 <> 12), '') AS after
+  FROM files)"""
+_EDITED_PAIRS = "SELECT folder, path, before, after FROM edited"
+
 _NAME = "lower(regexp_extract({path}, '[^/]*$'))"
 
 
@@ -310,26 +318,85 @@ redacted AS (
   FROM cleaned LEFT JOIN present USING (path))"""
 
 
+def _numbered(name: str, column: str, line: str) -> str:
+    lines = f"string_split(regexp_replace({column}, '\\n$', ''), {LF})"
+    return f"""{name} AS (
+  SELECT folder, path, unnest({lines}) AS line, generate_subscripts({lines}, 1) AS {line}, len({lines}) AS n
+  FROM changing WHERE {column} <> '')"""
+
+
+def _between(name: str, lines: str, line: str, other: str, number: str) -> str:
+    """Lines between head and tail that the other version has there too, numbered anew."""
+    return f"""{name} AS (
+  SELECT x.folder, x.path, x.{line}, x.line, row_number() OVER (PARTITION BY x.folder, x.path ORDER BY x.{line}) AS {number}
+  FROM {lines} x JOIN edge e USING (folder, path)
+  WHERE x.{line} > head AND x.{line} <= x.n - tail AND EXISTS (SELECT 1 FROM {other} y
+    WHERE y.folder = x.folder AND y.path = x.path AND y.line = x.line AND y.{'j' if line == 'i' else 'i'} > head
+      AND y.{'j' if line == 'i' else 'i'} <= y.n - tail))"""
+
+
 def _change_ctes(pairs: str) -> str:
-    """Changed lines and hunks of ``pairs(folder, path, before, after)``."""
+    """Changed lines and hunks of ``pairs(folder, path, before, after)``: the table of common lengths row by row."""
     return f"""pairs AS ({pairs}),
-old_lines AS (
-  SELECT folder, path, unnest(string_split(regexp_replace(before, '\\n$', ''), {LF})) AS line,
-    generate_subscripts(string_split(regexp_replace(before, '\\n$', ''), {LF}), 1) AS i
-  FROM pairs WHERE before <> ''),
-new_lines AS (
-  SELECT folder, path, unnest(string_split(regexp_replace(after, '\\n$', ''), {LF})) AS line,
-    generate_subscripts(string_split(regexp_replace(after, '\\n$', ''), {LF}), 1) AS i
-  FROM pairs WHERE after <> ''),
+changing AS (SELECT * FROM pairs WHERE before <> after),
+{_numbered("old_lines", "before", "i")},
+{_numbered("new_lines", "after", "j")},
+sizes AS (
+  SELECT c.folder, c.path, coalesce(max(o.n), 0) AS n, coalesce(max(w.n), 0) AS m FROM changing c
+  LEFT JOIN old_lines o USING (folder, path) LEFT JOIN new_lines w USING (folder, path) GROUP BY ALL),
+heads AS (
+  SELECT s.folder, s.path, s.n, s.m, coalesce(min(o.i) FILTER (o.line IS DISTINCT FROM w.line), least(s.n, s.m) + 1) - 1 AS head
+  FROM sizes s LEFT JOIN old_lines o USING (folder, path)
+  LEFT JOIN new_lines w ON w.folder = o.folder AND w.path = o.path AND w.j = o.i GROUP BY s.folder, s.path, s.n, s.m),
+edge AS (
+  SELECT h.folder, h.path, h.n, h.m, head, least(least(h.n, h.m) - head,
+    coalesce(min(h.n - o.i + 1) FILTER (o.line IS DISTINCT FROM w.line), least(h.n, h.m) + 1) - 1) AS tail
+  FROM heads h LEFT JOIN old_lines o USING (folder, path)
+  LEFT JOIN new_lines w ON w.folder = o.folder AND w.path = o.path AND w.n - w.j = o.n - o.i GROUP BY h.folder, h.path, h.n, h.m, head),
+{_between("old_in", "old_lines", "i", "new_lines", "r")},
+{_between("new_in", "new_lines", "j", "old_lines", "c")},
+grid AS (
+  SELECT folder, path, rows_in, cols_in FROM (SELECT folder, path, max(r) AS rows_in FROM old_in GROUP BY ALL)
+  JOIN (SELECT folder, path, max(c) AS cols_in FROM new_in GROUP BY ALL) USING (folder, path)),
+common AS (
+  SELECT folder, path, rows_in + 1 AS r, unnest(range(1, cols_in + 2)) AS c, 0 AS l FROM grid
+  UNION ALL
+  SELECT folder, path, r, c, max(step) OVER (PARTITION BY folder, path ORDER BY c DESC) FROM (
+    SELECT k.folder, k.path, k.r - 1 AS r, k.c, greatest(k.l, CASE WHEN o.line = w.line THEN k.beyond + 1 ELSE 0 END) AS step
+    FROM (SELECT *, lead(l) OVER (PARTITION BY folder, path ORDER BY c) AS beyond FROM common) k
+    JOIN old_in o ON o.folder = k.folder AND o.path = k.path AND o.r = k.r - 1
+    LEFT JOIN new_in w ON w.folder = k.folder AND w.path = k.path AND w.c = k.c)),
+moves AS (
+  SELECT k.folder, k.path, k.r, k.c, o.i, w.j, o.line = w.line AS same, n.l = k.l AS skip
+  FROM common k JOIN old_in o USING (folder, path, r) JOIN new_in w USING (folder, path, c)
+  JOIN common n ON n.folder = k.folder AND n.path = k.path AND n.r = k.r AND n.c = k.c + 1),
+walk AS (
+  SELECT folder, path, 1::BIGINT AS r, 1::BIGINT AS c, NULL::BIGINT AS i, NULL::BIGINT AS j FROM grid
+  UNION ALL
+  SELECT v.folder, v.path, v.r + CASE WHEN same OR NOT skip THEN 1 ELSE 0 END, v.c + CASE WHEN same OR skip THEN 1 ELSE 0 END,
+    CASE WHEN same THEN v.i END, CASE WHEN same THEN v.j END
+  FROM walk k JOIN moves v ON v.folder = k.folder AND v.path = k.path AND v.r = k.r AND v.c = k.c),
+stays AS (
+  SELECT folder, path, i, j FROM walk WHERE i IS NOT NULL
+  UNION ALL SELECT folder, path, k, k FROM (SELECT folder, path, unnest(range(1, head + 1)) AS k FROM edge)
+  UNION ALL SELECT folder, path, n - k, m - k FROM (SELECT folder, path, n, m, unnest(range(0, tail)) AS k FROM edge)
+  UNION ALL SELECT folder, path, n + 1, m + 1 FROM edge),
+runs AS (
+  SELECT * FROM (
+    SELECT folder, path, coalesce(lag(i) OVER w, 0) + 1 AS old_first, i - 1 AS old_last,
+      coalesce(lag(j) OVER w, 0) + 1 AS new_first, j - 1 AS new_last
+    FROM stays WINDOW w AS (PARTITION BY folder, path ORDER BY i, j))
+  WHERE old_last >= old_first OR new_last >= new_first),
 changed AS (
-  SELECT folder, path, i, o.line AS before, n.line AS after
-  FROM old_lines o FULL JOIN new_lines n USING (folder, path, i)
-  WHERE o.line IS DISTINCT FROM n.line),
+  SELECT r.folder, r.path, o.i AS line_no, w.j AS new_line_no, o.line AS before, w.line AS after
+  FROM (SELECT *, unnest(range(0, greatest(old_last - old_first, new_last - new_first) + 1)) AS k FROM runs) r
+  LEFT JOIN old_lines o ON o.folder = r.folder AND o.path = r.path AND o.i = old_first + k AND o.i <= old_last
+  LEFT JOIN new_lines w ON w.folder = r.folder AND w.path = r.path AND w.j = new_first + k AND w.j <= new_last),
 changes AS (
-  SELECT folder, path, CAST(sum(starts) AS BIGINT) AS hunks, count(after) AS additions,
-    count(before) AS deletions, FALSE AS hidden
-  FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY folder, path ORDER BY i) <= 7 THEN 0 ELSE 1 END
-          AS starts FROM changed)
+  SELECT folder, path, count(*) FILTER (apart) AS hunks, CAST(sum(new_last - new_first + 1) AS BIGINT) AS additions,
+    CAST(sum(old_last - old_first + 1) AS BIGINT) AS deletions, FALSE AS hidden
+  FROM (SELECT *, coalesce(old_first - lag(old_last) OVER (PARTITION BY folder, path ORDER BY old_first, new_first) - 1 > 6, TRUE)
+          AS apart FROM runs)
   GROUP BY folder, path)"""
 
 
@@ -554,25 +621,19 @@ FROM (SELECT *, forced AND lang IS NOT NULL AND total_loc > 0 AND part / total_l
       CAST(floor((c_custkey % 6000 + 1) * (c_custkey % 10) / 10) AS BIGINT) END AS part,
     c_custkey % 2 = 0 AS forced FROM customer))""",
     "redacted_documents": _with(TEXTS, REDACTED, select="SELECT folder, path, redacted FROM redacted"),
-    "audit_files": _with(TEXTS, REDACTED, _change_ctes(_REDACTED_PAIRS), select="SELECT * FROM changes"),
+    "audit_files": _with(
+        TEXTS, REDACTED, _change_ctes(_REDACTED_PAIRS), select="SELECT * FROM changes", recursive=True,
+    ),
     "audit_report": _with(
-        TEXTS, REDACTED, _change_ctes(_REDACTED_PAIRS),
+        TEXTS, REDACTED, _change_ctes(_REDACTED_PAIRS), recursive=True,
         select="""SELECT f.folder, count(c.path) AS files_changed,
   CAST(coalesce(sum(hunks), 0) AS BIGINT) AS total_hunks,
   CAST(coalesce(sum(additions), 0) AS BIGINT) AS total_additions,
   CAST(coalesce(sum(deletions), 0) AS BIGINT) AS total_deletions
 FROM (SELECT DISTINCT folder FROM redacted) f LEFT JOIN changes c USING (folder) GROUP BY f.folder""",
     ),
-    "audit_lines": _with(
-        DOCS, FILES,
-        _change_ctes("SELECT repo_url AS folder, path, text AS before, content AS after FROM files"),
-        select="SELECT folder, path, i AS line_no, before, after FROM changed",
-    ),
-    "audit_hunks": _with(
-        DOCS, FILES,
-        _change_ctes("SELECT source AS folder, path, text AS before, content AS after FROM files"),
-        select="SELECT * FROM changes",
-    ),
+    "audit_lines": _with(DOCS, FILES, EDITED, _change_ctes(_EDITED_PAIRS), select="SELECT * FROM changed", recursive=True),
+    "audit_hunks": _with(DOCS, FILES, EDITED, _change_ctes(_EDITED_PAIRS), select="SELECT * FROM changes", recursive=True),
     "sample_index": _with(
         VERSIONS, _latest("latest"), COMMITS, IDENTITY,
         select="""SELECT l.folder, coalesce(i.repo_name, '') AS repo_name, coalesce(i.repo_org, '') AS repo_org,

@@ -270,22 +270,13 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code-like text against the plain text of the same document."""
-    plain = a.texts(spark, sf_dir).select("path", F.col("text").alias("before"))
-    code = a.files(spark, sf_dir).select(
-        F.col("repo_url").alias("folder"), "path", F.col("content").cast("string").alias("after")
-    )
-    return audit.line_changes(plain.join(code, "path"))
+    """Edited text (lines changed, added and removed) against the plain text of the same document."""
+    return audit.line_changes(audit.paired_texts(a.texts(spark, sf_dir), a.edited_texts(spark, sf_dir)))
 
 
 def audit_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``audit_lines``, per file, both sides joined from separate tables."""
-    after = a.files(spark, sf_dir).select(
-        F.substring_index(F.regexp_replace("repo_url", r"\.git$", ""), "/", -1).alias("folder"),
-        "path",
-        F.col("content").cast("string").alias("text"),
-    )
-    return audit.file_changes(audit.paired_texts(a.texts(spark, sf_dir), after))
+    """As ``audit_lines``, per file."""
+    return audit.file_changes(audit.paired_texts(a.texts(spark, sf_dir), a.edited_texts(spark, sf_dir)))
 
 
 def sample_index(spark: SparkSession, sf_dir: str) -> DataFrame:
