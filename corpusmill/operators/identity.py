@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import minhash
 from corpusmill.functions.urls import leaf_name, namespace
-from corpusmill.operators.skew import first_rows
+from corpusmill.operators.skew import first_rows, leading_rows
 
 EARLY_COMMITS = 10
 
@@ -43,19 +43,17 @@ def history_ends(commits: DataFrame) -> DataFrame:
 
     The root list is the result itself: histories have one root, rarely a few.
     """
-    commit = F.struct("pos", "sha")
-    return (
-        commits.where("on_head")
-        .groupBy("repo_url")
-        .agg(
-            F.min(commit).alias("tip"),
-            F.array_sort(F.collect_list(F.when(F.size("parents") == 0, commit))).alias("roots"),
-        )
-        .select(
-            "repo_url",
-            F.col("tip.sha").alias("head_commit_sha"),
-            F.col("roots.sha").alias("root_commits"),
-        )
+    walked = commits.where("on_head")
+    tip = leading_rows(
+        walked.select("repo_url", "pos", "sha"), ["repo_url"], -F.col("pos"), [F.col("sha")], salt_on=["sha"]
+    ).select("repo_url", F.col("sha").alias("head_commit_sha"))
+    roots = (
+        walked.where(F.size("parents") == 0).groupBy(F.col("repo_url").alias("_repo"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "sha"))).alias("roots"))
+    )
+    none = F.array().cast("array<string>")
+    return tip.join(roots, F.col("repo_url") == F.col("_repo"), "left").select(
+        "repo_url", "head_commit_sha", F.coalesce("roots.sha", none).alias("root_commits")
     )
 
 

@@ -9,6 +9,7 @@ from corpusmill.functions import urls
 from corpusmill.functions.languages import is_code_language
 from corpusmill.functions.shares import floor_percent, rounded, share
 from corpusmill.functions.text import collapse_space, strip
+from corpusmill.operators.skew import leading_rows
 from corpusmill.params import BudgetParams, RunMeta
 from corpusmill.schemas import LOGIC_LAYERS, LOW_VALUE_LAYERS
 
@@ -250,16 +251,15 @@ def upserted(current: DataFrame, fresh: DataFrame) -> DataFrame:
 def latest_versions(versions: DataFrame, order: list[str], key: str = "repo_url") -> DataFrame:
     """Newest record per key of an append-only manifest.
 
-    One maximum per key combines before the shuffle, so a key with very many
-    versions costs one row per map task.
+    The first column of ``order`` decides by a hash aggregate, the others, and then the rest of the record, only among
+    records that are equal in it.
     """
     rest = [name for name in versions.columns if name not in (key, *order)]
-    newest = F.max_by(F.struct(*order, *rest), F.struct(*order))
-    return (
-        versions.groupBy(key)
-        .agg(newest.alias("v"))
-        .select(key, *[F.col(f"v.{name}").alias(name) for name in (*order, *rest)])
+    sortable = [n for n in rest if "map<" not in versions.schema[n].dataType.simpleString()]
+    newest = leading_rows(
+        versions, [key], F.col(order[0]), [F.col(name).desc_nulls_last() for name in (*order[1:], *sortable)]
     )
+    return newest.select(key, *order, *rest)
 
 
 def without_repositories(manifest: DataFrame, removed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import urls
 from corpusmill.functions.paths import extension
 from corpusmill.functions.text import strip
-from corpusmill.operators.skew import first_rows
+from corpusmill.operators.skew import first_rows, leading_rows
 
 
 def repository_list(lines: DataFrame) -> DataFrame:
@@ -43,23 +43,12 @@ def repository_names(repos: DataFrame, ssh_port: int | None = None) -> DataFrame
 def latest_branch(refs: DataFrame) -> DataFrame:
     """Branch with the newest tip; equal times go to the first refname.
 
-    A minimum over ``(time descending, refname)`` combines before the shuffle,
-    so a repository with very many refs costs one row per map task.
+    The newest time per repository is found first, by a hash aggregate; only
+    refs of that time are compared by name.
     """
-    newest = F.min(
-        F.struct(
-            (-F.unix_micros(F.col("committer_ts").cast("timestamp"))).alias("age"),
-            "refname",
-            "tip_sha",
-            "committer_ts",
-        )
-    )
-    return (
-        refs.where(~F.col("refname").endswith("/HEAD"))
-        .groupBy("repo_url")
-        .agg(newest.alias("tip"))
-        .select("repo_url", "tip.refname", "tip.tip_sha", "tip.committer_ts")
-    )
+    micros = F.unix_micros(F.col("committer_ts").cast("timestamp"))
+    branches = refs.where(~F.col("refname").endswith("/HEAD")).select("repo_url", "refname", "tip_sha", "committer_ts")
+    return leading_rows(branches, ["repo_url"], micros, [F.col("refname"), F.col("tip_sha")], salt_on=["refname"])
 
 
 def processed_repositories(manifest: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.shares import loc_needed
 from corpusmill.functions.text import collapse_space
+from corpusmill.operators.skew import leading_rows
 from corpusmill.params import BudgetParams
 from corpusmill.schemas import LOGIC_LAYERS
 
@@ -149,26 +150,23 @@ def run_statistics(events: DataFrame) -> DataFrame:
     """Turns, tool calls and saved lines per run; the last prose of runs that
     saved nothing.
 
-    ``events``: run_id, turn, tool, saved, loc, prose.
+    ``events``: run_id, turn, tool, saved, loc, prose.  The counts are one hash
+    aggregate; prose is looked up where its turn is the run's last one with any.
     """
-    return (
-        events.groupBy("run_id")
-        .agg(
-            F.countDistinct("turn").alias("turns"),
-            F.count_if(F.col("tool") == "save_sample").alias("save_attempts"),
-            F.count_if(F.col("tool") == "bash").alias("shell_calls"),
-            F.count_if("saved").alias("files_saved"),
-            F.coalesce(F.sum(F.when(F.col("saved"), F.col("loc"))), F.lit(0)).cast("bigint").alias(
-                "total_loc"
-            ),
-            F.max(F.when(F.col("prose").isNotNull(), F.struct("turn", "prose"))).alias("last"),
-        )
-        .withColumn(
-            "last_prose",
-            F.when(F.col("total_loc") == 0, F.substring("last.prose", 1, 300)),
-        )
-        .drop("last")
+    counts = events.groupBy("run_id").agg(
+        F.countDistinct("turn").alias("turns"),
+        F.count_if(F.col("tool") == "save_sample").alias("save_attempts"),
+        F.count_if(F.col("tool") == "bash").alias("shell_calls"),
+        F.count_if("saved").alias("files_saved"),
+        F.coalesce(F.sum(F.when(F.col("saved"), F.col("loc"))), F.lit(0)).cast("bigint").alias("total_loc"),
+    )
+    told = events.where(F.col("prose").isNotNull()).select("run_id", "turn", "prose")
+    last = leading_rows(told, ["run_id"], F.col("turn"), [F.col("prose").desc()], salt_on=["prose"]).select(
+        F.col("run_id").alias("_run"), F.substring("prose", 1, 300).alias("_prose")
     )
+    return counts.join(last, F.col("run_id").eqNullSafe(F.col("_run")), "left").withColumn(
+        "last_prose", F.when(F.col("total_loc") == 0, F.col("_prose"))
+    ).drop("_run", "_prose")
 
 
 def run_totals(results: DataFrame, errors: DataFrame, first: int = 3) -> DataFrame:
