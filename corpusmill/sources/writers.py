@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.urls import folder_name
-from corpusmill.operators.manifest import upserted, without_repositories
+from corpusmill.sources.deltas import DeltaTable
 from corpusmill.sources.materialize import file_system
 
 _POINTER = "CURRENT"
@@ -62,18 +62,23 @@ def publish_table(df: DataFrame, base: str, version: str | None = None) -> str:
     return version
 
 
-def upsert_manifest(fresh: DataFrame, base: str, schema: str, version: str | None = None) -> str:
-    """Replace records of the same URLs and publish; one writer at a time."""
-    current = read_current(fresh.sparkSession, base, schema)
-    return publish_table(upserted(current, fresh), base, version)
+def upsert_manifest(fresh: DataFrame, base: str, schema: str) -> int:
+    """Replace records of the same URLs by appending the new ones; any number of writers at a time."""
+    return DeltaTable(fresh.sparkSession, base, schema).append(fresh)
+
+
+def read_manifest_table(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    """The newest record per URL; an empty table before the first write."""
+    return DeltaTable(spark, base, schema).read()
 
 
 def remove_from_manifest(removed: DataFrame, base: str, schema: str) -> bool:
     """Drop records by URL; tells whether there was anything to drop."""
-    current = read_current(removed.sparkSession, base, schema)
-    if current.join(removed.select("repo_url"), "repo_url", "left_semi").isEmpty():
+    table = DeltaTable(removed.sparkSession, base, schema)
+    gone = table.read().join(removed.select("repo_url").distinct(), "repo_url", "left_semi")
+    if gone.isEmpty():
         return False
-    publish_table(without_repositories(current, removed), base)
+    table.append(gone, deleted=True)
     return True
 
 

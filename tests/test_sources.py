@@ -132,16 +132,26 @@ def test_tolerant_and_strict_reading(spark, tmp_path):
 
 
 def test_published_table(spark, tmp_path):
-    base = str(tmp_path / "manifest")
+    base = str(tmp_path / "table")
     assert writers.read_current(spark, base, SMALL).count() == 0
+    for rows in ([("a", 1), ("b", 2)], [("b", 3)]):
+        writers.publish_table(spark.createDataFrame(rows, SMALL), base)
+    assert [tuple(r) for r in writers.read_current(spark, base, SMALL).collect()] == [("b", 3)]
+
+
+def test_manifest_table(spark, tmp_path):
+    base = str(tmp_path / "manifest")
+    assert writers.read_manifest_table(spark, base, SMALL).count() == 0
     writers.upsert_manifest(spark.createDataFrame([("a", 1), ("b", 2)], SMALL), base, SMALL)
     writers.upsert_manifest(spark.createDataFrame([("b", 3)], SMALL), base, SMALL)
-    got = writers.read_current(spark, base, SMALL).collect()
+    got = writers.read_manifest_table(spark, base, SMALL).collect()
     assert sorted(map(tuple, got)) == [("a", 1), ("b", 3)]
     gone = spark.createDataFrame([("a",), ("zzz",)], "repo_url string")
     assert writers.remove_from_manifest(gone, base, SMALL) is True
     assert writers.remove_from_manifest(gone, base, SMALL) is False
-    assert [tuple(r) for r in writers.read_current(spark, base, SMALL).collect()] == [("b", 3)]
+    assert [tuple(r) for r in writers.read_manifest_table(spark, base, SMALL).collect()] == [("b", 3)]
+    writers.upsert_manifest(spark.createDataFrame([("a", 9)], SMALL), base, SMALL)
+    assert sorted(map(tuple, writers.read_manifest_table(spark, base, SMALL).collect())) == [("a", 9), ("b", 3)]
 
 
 def test_index_csv_and_errors(spark, tmp_path):

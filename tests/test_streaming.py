@@ -8,7 +8,7 @@ from corpusmill import schemas
 from corpusmill.operators.profile import line_masks
 from corpusmill.operators.selection import budget_select, checked_requests
 from corpusmill.params import BudgetParams
-from corpusmill.sources import writers
+from corpusmill.sources.deltas import DeltaTable
 from corpusmill.sources.materialize import materialized
 from corpusmill.streaming.intake import list_file_stream, new_repositories
 from corpusmill.streaming.live_budget import live_budget
@@ -17,6 +17,10 @@ from corpusmill.streaming.manifest_feed import start_manifest_feed, upsert_batch
 VERSIONS = "repo_url string, version bigint, total_loc bigint"
 
 
+def current(spark, base):
+    return sorted(map(tuple, DeltaTable(spark, base, VERSIONS, order=("version",)).read().collect()))
+
+
 def test_intake_skips_repeats_and_processed(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("x\n# c\ny\nx\n")
@@ -38,20 +42,19 @@ def test_manifest_feed_is_idempotent(spark, tmp_path):
     stream = spark.readStream.schema(VERSIONS).option("maxFilesPerTrigger", 1).parquet(source)
     start_manifest_feed(stream, base, VERSIONS, ["version"], str(tmp_path / "cp")).awaitTermination(120)
     want = [("a", 2, 5), ("b", 3, 7), ("c", 1, 1)]
-    assert sorted(map(tuple, writers.read_current(spark, base, VERSIONS).collect())) == want
+    assert current(spark, base) == want
     late = spark.createDataFrame([("a", 0, 0)], VERSIONS)
     upsert_batch(base, VERSIONS, ["version"])(late, 7)
-    assert sorted(map(tuple, writers.read_current(spark, base, VERSIONS).collect())) == want
+    assert current(spark, base) == want
 
 
 def test_manifest_feed_takes_new_checkpoints_and_other_writers(spark, tmp_path):
     base, apply = str(tmp_path / "manifest"), upsert_batch(str(tmp_path / "manifest"), VERSIONS, ["version"])
     apply(spark.createDataFrame([("a", 1, 1)], VERSIONS), 5)
-    writers.upsert_manifest(spark.createDataFrame([("b", 1, 2)], VERSIONS), base, VERSIONS)
+    DeltaTable(spark, base, VERSIONS, order=("version",)).append(spark.createDataFrame([("b", 1, 2)], VERSIONS))
     apply(spark.createDataFrame([("a", 3, 9)], VERSIONS), 0)
-    got = sorted(map(tuple, writers.read_current(spark, base, VERSIONS).collect()))
+    got = current(spark, base)
     assert got == [("a", 3, 9), ("b", 1, 2)]
-    assert sum(p.is_dir() for p in (tmp_path / "manifest").iterdir()) == 2
 
 
 def test_live_budget_equals_batch(spark, tmp_path):
