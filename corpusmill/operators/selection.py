@@ -34,6 +34,7 @@ from corpusmill.operators.skew import salt_of
 from corpusmill.params import BudgetParams
 from corpusmill.schemas import LOGIC_LAYERS
 from corpusmill.sources.materialize import materialized
+from corpusmill.sources.places import located, rows_at
 
 
 def checked_requests(requests: DataFrame, masks: DataFrame) -> DataFrame:
@@ -268,22 +269,39 @@ def saved_files(outcome: DataFrame) -> DataFrame:
     )
 
 
-def sample_texts(saved: DataFrame, files: DataFrame) -> DataFrame:
-    """Verbatim text of each saved file or line range.
-
-    The saved side is bounded per repository by the cap, so content is read for
-    accepted keys only (runtime filter on the scan side of the join).
-    """
+def _chunked(rows: DataFrame) -> DataFrame:
+    """``content`` of saved files as the ``text`` that was taken of it."""
     lines = lines_with_breaks(F.col("text"))
     chunk = F.array_join(
         F.slice(lines, F.col("first_line") + 1, F.col("last_line") - F.col("first_line")), ""
     )
-    content = files.select(
-        "repo_url", normal_path(F.col("path")).alias("norm_path"), "content"
-    )
     return (
-        saved.join(content, ["repo_url", "norm_path"])
-        .withColumn("text", decode_text(F.col("content")))
+        rows.withColumn("text", decode_text(F.col("content")))
         .withColumn("text", F.when(F.col("is_partial"), chunk).otherwise(F.col("text")))
         .drop("content", "norm_path", "first_line", "last_line")
     )
+
+
+def sample_texts(saved: DataFrame, files: DataFrame) -> DataFrame:
+    """Verbatim text of each saved file or line range, from files of any origin.
+
+    The join moves the content of all files unless the saved side is small
+    enough for Spark to broadcast it; ``stored_sample_texts`` moves none.
+    """
+    content = files.select(
+        "repo_url", normal_path(F.col("path")).alias("norm_path"), "content"
+    )
+    return _chunked(saved.join(content, ["repo_url", "norm_path"]))
+
+
+def stored_sample_texts(saved: DataFrame, path: str) -> DataFrame:
+    """``sample_texts`` from files that are stored as Parquet (schema ``FILES``) at ``path``.
+
+    Only names and row places meet in the join; the content of the saved rows is then read
+    where it lies, by tasks that each take a run of places, and never enters an exchange.
+    """
+    stored = saved.sparkSession.read.parquet(path)
+    places = located(stored).select(
+        "repo_url", normal_path(F.col("path")).alias("norm_path"), "row_file", "row_number"
+    )
+    return _chunked(rows_at(saved.join(places, ["repo_url", "norm_path"]), stored, ["content"]))

@@ -288,7 +288,7 @@ def _latest(name: str, where: str = "TRUE") -> str:
 TEXTS = DOCS
 
 
-_HOST = r"[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)+"
+_LABELS = r"[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)+"
 _OCTET = "([0-9]|[1-9][0-9]|[01][0-9][0-9]|0[0-9]|2[0-4][0-9]|25[0-5])"
 # Look-arounds are written as groups, so neighbours need a second round; chr(1) holds the place of a host in user@host:path.
 _REDACT_STEPS = (
@@ -296,12 +296,12 @@ _REDACT_STEPS = (
     (r"AKIA[A-Z0-9]{16}", "'REDACTED'", 1),
     (r"\b((?i:bearer)[\t ]+)[\w.~+/=-]+", r"'\1REDACTED'", 1),
     (r"\b(gh[oprsu]_[0-9A-Za-z]{20,}|glpat-[\w-]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[\w-]{20,})", "'REDACTED'", 1),
-    (rf"@{_HOST}(:[\w~])", r"'@' || chr(1) || '\2'", 1),
+    (rf"@{_LABELS}(:[\w~])", r"'@' || chr(1) || '\2'", 1),
     (r"[\w.%+-]+@[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)*\.[A-Za-z][A-Za-z]+", "'user@example.com'", 1),
     (r"\x01", "'example.com'", 1),
     (r"(://[^/ \t\n:@]+:)[^/ \t\n@]+@", r"'\1REDACTED@'", 1),
     (r"((https?|ftp|ssh|git)://([\w.~%+-]+(:[^@/ \t\n]*)?@)?)[0-9A-Za-z.-]+", r"'\1example.com'", 1),
-    (rf"www\.{_HOST}", "'example.com'", 1),
+    (rf"www\.{_LABELS}", "'example.com'", 1),
     (r"(^|[^\w@/.-])(?i:([0-9a-z][0-9a-z-]*\.)+(com|org|net|de|ru|fr|uk|eu|info|biz))($|\.$|\.[^0-9A-Za-z]|[^\w(.-])",
      r"'\1example.com\4'", 2),
     (r"\+[0-9]{1,3}[-. ]?\(?[0-9]{2,4}\)?[-. ]?[0-9]{3}([-. ]?[0-9]{4}|[-. ][0-9]{2}[-. ][0-9]{2})", "'+1-555-0100'", 1),
@@ -1005,3 +1005,32 @@ SQL["tree_listing"] = _with(
 SQL["redaction_twice"] = _with(
     DOCS, select="SELECT source AS folder, count(*) AS files, 0::BIGINT AS changed_again FROM docs GROUP BY source"
 )
+
+SQL["manifest_feed"] = SQL["manifest_latest"]
+SQL["manifest_heads"] = (
+    "SELECT repo_url, CASE WHEN length(repo_url) % 2 = 0 THEN left(sha256(repo_url), 7) ELSE 'unknown' END AS commit_sha FROM ("
+    + SQL["manifest_flat"] + ")"
+)
+SQL["manifest_lines"] = _with(
+    VERSIONS,
+    """lines AS (
+  SELECT *, '{"repo_url":"' || repo_url || '","total_loc":' || total_loc AS cut FROM versions)""",
+    select="""SELECT 'record' AS kind, repo_url, total_loc, NULL::VARCHAR AS line FROM lines WHERE event_id % 50 > 2
+UNION ALL SELECT 'broken', NULL, NULL, CASE WHEN event_id % 50 = 0 THEN cut ELSE '[1]' END FROM lines WHERE event_id % 50 < 2
+UNION ALL SELECT 'strict', NULL, count(*), NULL FROM lines WHERE event_id % 50 = 0""",
+)
+SQL["error_log"] = _with(
+    ERRORS, select="SELECT repo_url, stage, error, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts FROM errors"
+)
+SQL["index_file"] = f"SELECT nullif(COLUMNS(*), '') FROM ({SQL['sample_index']})"
+SQL["own_layers"] = _with(
+    *FILE_CTES, LINES, FEATURES,
+    select="""SELECT repo_url, path, CASE WHEN starts_with(path, 'src/') THEN 'business' WHEN flow_marks > loc THEN 'algorithm'
+  WHEN is_generated THEN 'autogen' WHEN language = 'Go' THEN 'api' ELSE 'data' END AS layer FROM features""",
+)
+_LIST_LINE = r"""CASE WHEN page_id % 16 = 7 THEN ' # ' || url
+    WHEN page_id % 4 = 1 THEN 'git@' || regexp_replace(url, '^https?://([^/]+)/(.*)$', '\1:\2') || '.git'
+    WHEN page_id % 4 = 2 THEN url || '/' WHEN page_id % 4 = 3 THEN '# ' || url ELSE url END"""
+SQL["intake_stream"] = f"""SELECT DISTINCT trim(line) AS repo_url FROM (SELECT {_LIST_LINE} AS line FROM pages)
+WHERE NOT starts_with(line, '#') AND trim(line) <> '' AND trim(line) NOT IN (
+  SELECT url FROM pages WHERE page_id % 3 = 0 AND page_id % 2 > 0 AND url IS NOT NULL)"""

@@ -26,8 +26,12 @@ from corpusmill.plans import adapters as a
 from corpusmill.plans.adapters import BUDGET
 from corpusmill.params import ScanParams
 from corpusmill.sources.materialize import materialized, new_folder
+from corpusmill.sources import readers, writers
+from corpusmill.sources.deltas import DeltaTable
 from corpusmill.sources.readers import read_working_trees
 from corpusmill.sources.trees import working_trees, write_working_trees
+from corpusmill.streaming.intake import list_file_stream, new_repositories
+from corpusmill.streaming.manifest_feed import start_manifest_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -178,7 +182,9 @@ def running_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = selection.saved_files(_outcome(spark, sf_dir))
-    return selection.sample_texts(saved, a.files(spark, sf_dir)).select(
+    stored = new_folder(spark, "files")
+    a.files(spark, sf_dir).write.parquet(stored)
+    return selection.stored_sample_texts(saved, stored).select(
         "repo_url", "rank", "path", "text"
     )
 
@@ -244,6 +250,67 @@ def manifest_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def manifest_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions as a stream of files, appended batch by batch to the manifest table, compacted and read."""
+    source, base = new_folder(spark, "versions"), new_folder(spark, "manifest-table")
+    versions = a.manifest_versions(spark, sf_dir)
+    versions.repartition(6, "event_id").write.parquet(source)
+    schema, order = ", ".join(f"{name} {kind}" for name, kind in versions.dtypes), ["version", "event_id"]
+    stream = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    start_manifest_feed(stream, base, schema, order, new_folder(spark, "feed-checkpoint")).awaitTermination()
+    table = DeltaTable(spark, base, schema, order=tuple(order))
+    table.compact()
+    return table.read()
+
+
+def manifest_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit stamp of every record; half of the repositories have a known head."""
+    records = manifest.with_summary(_rollup(spark, sf_dir))
+    heads = records.where(F.length("repo_url") % 2 == 0).select("repo_url", F.sha2("repo_url", 256).alias("head_commit_sha"))
+    shares = profile.language_shares(_profile(spark, sf_dir))
+    return manifest.manifest_records(records, shares, heads).select("repo_url", "meta.commit_sha")
+
+
+def manifest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines on disk, some cut short, no objects or blank: records, broken lines, strict problems."""
+    event, record = F.col("event_id") % 50, F.to_json(F.struct("repo_url", "total_loc"))
+    line = F.when(event == 0, F.regexp_replace(record, "}$", "")).when(event == 1, "[1]").when(event == 2, "  ").otherwise(record)
+    path = new_folder(spark, "lines")
+    a.manifest_versions(spark, sf_dir).select(line.alias("value")).write.text(path)
+    good, broken = readers.read_records(spark, path, "repo_url string, total_loc bigint")
+    strict = readers.manifest_line_problems(spark, path).agg(F.count("*").alias("total_loc"))
+    none = F.lit(None).cast("string")
+    return (
+        good.select(F.lit("record").alias("kind"), "repo_url", "total_loc", none.alias("line"))
+        .unionByName(broken.select(F.lit("broken").alias("kind"), none.alias("repo_url"), F.lit(None).cast("bigint").alias("total_loc"), "line"))
+        .unionByName(strict.select(F.lit("strict").alias("kind"), none.alias("repo_url"), "total_loc", none.alias("line")))
+    )
+
+
+def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors appended to the log in two runs and read back."""
+    path, rows = new_folder(spark, "errors"), a.errors(spark, sf_dir)
+    for odd in (0, 1):
+        writers.append_errors(rows.where(F.col("event_id") % 2 == odd), path)
+    return spark.read.schema("repo_url string, stage string, error string, ts string").json(path)
+
+
+def intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List files as a stream: repositories that are new and not processed yet."""
+    folder, out = new_folder(spark, "lists"), new_folder(spark, "intake")
+    a.list_lines(spark, sf_dir).select("value").repartition(4, "value").write.text(folder)
+    done = a.table(spark, sf_dir, "pages").where("page_id % 3 = 0").select(
+        F.col("url").alias("repo_url"), (F.col("page_id") % 2).alias("total_loc")
+    )
+    query = (
+        new_repositories(list_file_stream(spark, folder, 2), done)
+        .writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, "intake-checkpoint"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("repo_url string").parquet(out)
+
+
 def result_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.validate_results(a.results(spark, sf_dir)).select("repo_url", "stage", "error")
 
@@ -306,6 +373,13 @@ def sample_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packaging.sample_index(records, ids, TOOL_VERSION).drop("commit_minhash")
 
 
+def index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index written as CSV and read back; an empty field reads as null."""
+    path = new_folder(spark, "index-file")
+    writers.write_index(sample_index(spark, sf_dir), path)
+    return spark.read.option("header", True).csv(path)
+
+
 def index_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest folders of all versions against sample and summary folders."""
     versions = a.manifest_versions(spark, sf_dir).select(
@@ -382,6 +456,16 @@ def layer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def own_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers by a function that the caller supplies."""
+    def by_place(path: Column, language: Column, loc: Column, flow_marks: Column, generated: Column) -> Column:
+        return F.when(path.startswith("src/"), "business").when(flow_marks > loc, "algorithm").when(generated, "autogen").otherwise(
+            F.when(language == "Go", "api").otherwise("data")
+        )
+
+    return candidates.tagged_layers(candidates.file_features(a.files(spark, sf_dir)), by_place).select("repo_url", "path", "layer")
+
+
 def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = materialized(candidates.file_features(a.files(spark, sf_dir)), "features")
     return candidates.candidate_requests(
@@ -476,7 +560,8 @@ QUERIES: dict[str, Query] = {
         commit_minhash, repo_identity,
         line_ranges, budget_select, running_share, sample_texts,
         sample_manifest, main_language, layer_breakdown, repo_summary, manifest_flat,
-        manifest_latest, manifest_upsert, manifest_remove, result_validation,
+        manifest_latest, manifest_upsert, manifest_remove, manifest_feed, manifest_heads, manifest_lines,
+        error_log, intake_stream, index_file, own_layers, result_validation,
         redacted_documents, redaction_twice, audit_files, audit_report, audit_lines, audit_hunks,
         sample_index, index_problems, bundle_listing,
         transcript_compact, transcript_render, turn_validate, error_classes,

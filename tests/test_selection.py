@@ -6,7 +6,7 @@ import pytest
 
 from corpusmill import schemas
 from corpusmill.operators.profile import line_masks
-from corpusmill.operators.selection import budget_select, running_shares, sample_texts, saved_files
+from corpusmill.operators.selection import budget_select, running_shares, sample_texts, saved_files, stored_sample_texts
 from corpusmill.params import BudgetParams
 from corpusmill.sources.materialize import materialized
 
@@ -117,3 +117,28 @@ def test_shares_and_texts(spark):
     ]
     texts = {r.path: (r.text, r.is_partial) for r in sample_texts(saved_files(outcome), files).collect()}
     assert texts == {"a.py": ("2\n3\n", True), "b.go": ("x\nx\nx\n", False)}
+
+
+def test_content_stays_out_of_exchanges(spark, tmp_path):
+    rows = [(f"r{i % 7}", f"src/f{i}.py", f"a{i}\nb\nc\n".encode(), 9) for i in range(6000)]
+    files = spark.createDataFrame(rows, "repo_url string, path string, content binary, size bigint")
+    path = str(tmp_path / "stored files")
+    files.repartition(3).write.option("parquet.block.size", 4096).parquet(path)
+    saved = spark.createDataFrame(
+        [(f"r{i % 7}", 1, f"src/f{i}.py", f"src/f{i}.py", "util", 1, i % 2 == 0, "Python", 1, 2) for i in range(0, 6000, 13)],
+        "repo_url string, rank bigint, path string, norm_path string, layer string, loc_taken bigint, is_partial boolean, "
+        "language string, first_line int, last_line int",
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = stored_sample_texts(saved, path)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        below = plan.split("Exchange", 1)[1]
+        assert "SortMergeJoin" in plan and "content#" not in below and "content:" not in below
+        found = {r.path: r.text for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {r.path: r.text for r in sample_texts(saved, files).collect()}
+    assert found == want and len(found) == len(range(0, 6000, 13))
+    assert found["src/f26.py"] == "b\n" and found["src/f13.py"] == "a13\nb\nc\n"
+    assert stored_sample_texts(saved.limit(0), path).collect() == []
