@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import alignment
 from corpusmill.functions.text import newline_lines
+from corpusmill.operators.skew import ranked
 
 # Changed lines with more than six unchanged lines between them are separate
 # hunks: three lines of context on both sides no longer touch.
@@ -117,6 +118,32 @@ def folder_report(changes: DataFrame, folders: DataFrame | None = None) -> DataF
     )
 
 
+def audit_records(
+    changes: DataFrame, folders: DataFrame, model: str, at: str, costs: DataFrame | None = None, per_part: int = 1000
+) -> DataFrame:
+    """The audit record of every folder: when, by which model, at what cost, totals, and its ``changes``.
+
+    ``costs``: folder, cost_usd.  A record lists at most ``per_part`` files; a folder with more has further
+    records with ``part`` 1, 2, ... and the same totals, so no folder is gathered in one row.
+    """
+    shown = ranked(changes.where(~F.col("hidden")), ["folder"], ["path"], "_rank")
+    listed = shown.groupBy("folder", F.expr(f"cast((_rank - 1) div {int(per_part)} as int)").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("path", "hunks", "additions", "deletions"))).alias("changes")
+    )
+    totals = folder_report(changes, folders)
+    none = F.array().cast("array<struct<path:string,hunks:bigint,additions:bigint,deletions:bigint>>")
+    rows = totals.join(listed, "folder", "left")
+    if costs is None:
+        rows = rows.withColumn("cost_usd", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(costs.groupBy("folder").agg(F.sum("cost_usd").alias("cost_usd")), "folder", "left")
+    return rows.select(
+        "folder", F.lit(at).alias("anonymized_at"), F.lit(model).alias("model"), "cost_usd", "files_changed",
+        "total_additions", "total_deletions", F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("changes", none).alias("changes"),
+    )
+
+
 def pending_folders(summaries: DataFrame, reports: DataFrame, legacy_reports: DataFrame | None = None,
                     skip: tuple[str, ...] = ("archive",), force: bool = False) -> DataFrame:
     """Folders with a summary that were not redacted yet; a report counts at

@@ -89,9 +89,9 @@ def split_deliverables(artefacts: DataFrame) -> DataFrame:
 
 
 def bundle_entries(artefacts: DataFrame) -> DataFrame:
-    """Members of the delivery bundle: the summary, then sorted sample files.
+    """Members of the delivery bundle: ``section`` 0 is the summary, 1 the sample files.
 
-    ``position`` sorts the entries; no total order is forced on the table.
+    Sorting by (folder, section, entry_path) gives the order of the bundle; the table itself is not sorted.
     """
     shipped = split_deliverables(artefacts).where("ships")
     if "is_symlink" in artefacts.columns:

@@ -68,6 +68,35 @@ class Delivery:
     report: DataFrame
     manifest: DataFrame
     index: DataFrame
+    changes: DataFrame
+    identity: DataFrame
+
+
+def publish(
+    delivery: Delivery, base: str, model: str, at: str, costs: DataFrame | None = None, private: DataFrame | None = None
+) -> str:
+    """Publish deliverable and private rows, identity, index and audit records as one version.
+
+    Rows (folder, path, text) outside the roots that may ship, and those of ``private``, go to the
+    private table.  The checks come first, and the pointer is switched once all tables are
+    written, so that a failure leaves the delivery before in place.
+    """
+    marked = packaging.split_deliverables(delivery.texts)
+    ships = marked.where("ships").drop("ships")
+    samples = ships.where(F.col("path") != packaging.SUMMARY_NAME)
+    summaries = ships.where(F.col("path") == packaging.SUMMARY_NAME)
+    writers.require_empty(packaging.index_problems(delivery.manifest, samples, summaries), "cannot pack")
+    kept = marked.where(~F.col("ships")).drop("ships")
+    return writers.publish_tables(
+        {
+            "deliverable": ships,
+            "private": kept if private is None else kept.unionByName(private.select(*kept.columns)),
+            "identity": delivery.identity,
+            "index": delivery.index,
+            "audit": audit.audit_records(delivery.changes, delivery.texts, model, at, costs),
+        },
+        base,
+    )
 
 
 def deliver(
@@ -101,4 +130,4 @@ def deliver(
         known = files.sparkSession.createDataFrame([], IDENTITY)
     known = known.withColumn("folder", folder_name(F.col("repo_url")))
     index = packaging.sample_index(manifest, known, settings.meta.tool_version)
-    return Delivery(done.texts, done.report, manifest, index)
+    return Delivery(done.texts, done.report, manifest, index, done.changes, known)

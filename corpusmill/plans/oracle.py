@@ -1034,3 +1034,12 @@ _LIST_LINE = r"""CASE WHEN page_id % 16 = 7 THEN ' # ' || url
 SQL["intake_stream"] = f"""SELECT DISTINCT trim(line) AS repo_url FROM (SELECT {_LIST_LINE} AS line FROM pages)
 WHERE NOT starts_with(line, '#') AND trim(line) <> '' AND trim(line) NOT IN (
   SELECT url FROM pages WHERE page_id % 3 = 0 AND page_id % 2 > 0 AND url IS NOT NULL)"""
+SQL["published_delivery"] = SQL["delivered_corpus"]
+SQL["audit_record"] = _with(
+    TEXTS, REDACTED, _change_ctes(_REDACTED_PAIRS), recursive=True,
+    select="""SELECT f.folder, '1970-01-01T00:00:00Z' AS anonymized_at, 'rules' AS model, NULL::DOUBLE AS cost_usd,
+  count(c.path) AS files_changed, CAST(coalesce(sum(additions), 0) AS BIGINT) AS total_additions,
+  CAST(coalesce(sum(deletions), 0) AS BIGINT) AS total_deletions, 0 AS part,
+  coalesce(string_agg(c.path || ':' || hunks || ':' || additions || ':' || deletions, ';' ORDER BY c.path), '') AS changes
+FROM (SELECT DISTINCT folder FROM redacted) f LEFT JOIN changes c USING (folder) GROUP BY f.folder""",
+)

@@ -498,6 +498,30 @@ def delivered_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def published_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of a delivery that was published as one version, read from its deliverable table."""
+    from corpusmill.params import Settings
+    from corpusmill.plans.delivery import deliver, publish
+
+    settings = Settings(budget=BUDGET, candidates=a.CANDIDATES)
+    done = deliver(a.files(spark, sf_dir), a.commits(spark, sf_dir), a.gazetteer(spark, sf_dir), settings)
+    base = new_folder(spark, "delivery")
+    publish(done, base, "rules", "1970-01-01T00:00:00Z")
+    return writers.published(spark, base, "deliverable").where(F.col("path").startswith("samples/")).select(
+        "folder", F.regexp_replace("path", "#[0-9]+$", "").alias("path"), "text"
+    )
+
+
+def audit_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit record of every folder with its changed files."""
+    changes = materialized(_changes(spark, sf_dir), "changes")
+    records = audit.audit_records(changes, a.texts(spark, sf_dir), "rules", "1970-01-01T00:00:00Z", per_part=1_000_000)
+    listing = F.transform(
+        "changes", lambda c: F.concat_ws(":", c["path"], *[c[n].cast("string") for n in ("hunks", "additions", "deletions")])
+    )
+    return records.withColumn("changes", F.array_join(listing, ";"))
+
+
 def history_of_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which commits are reachable from the head, from parent links alone."""
     return ancestry.ancestors_of_heads(
@@ -566,7 +590,7 @@ QUERIES: dict[str, Query] = {
         sample_index, index_problems, bundle_listing,
         transcript_compact, transcript_render, turn_validate, error_classes,
         usage_costs, redaction_totals, progress_flags, run_statistics, run_totals,
-        layer_tags, candidate_order, sampled_corpus, delivered_corpus,
+        layer_tags, candidate_order, sampled_corpus, delivered_corpus, published_delivery, audit_record,
         history_of_heads, redaction_resume, deliverable_split, sample_display, identity_gaps, error_previews,
     )
 }

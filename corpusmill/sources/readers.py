@@ -75,8 +75,13 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return read_records(spark, path, MANIFEST)
 
 
-def read_identity(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return read_records(spark, path, IDENTITY)
+def read_identity(spark: SparkSession, path: str) -> DataFrame:
+    """Identity records; a broken one is an error, as its repository would be packed without fingerprints."""
+    records, broken = read_records(spark, path, IDENTITY)
+    first = broken.limit(1).collect()
+    if first:
+        raise ValueError(f"invalid repository identity in {path}: {first[0]['line'][:200]}")
+    return records
 
 
 def manifest_line_problems(spark: SparkSession, path: str) -> DataFrame:

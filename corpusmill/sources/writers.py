@@ -39,10 +39,35 @@ def publish_table(df: DataFrame, base: str, version: str | None = None) -> str:
 
     The version before stays for its readers; older ones are deleted.
     """
-    spark = df.sparkSession
-    before = current_version(spark, base)
     version = version or f"v-{uuid.uuid4().hex}"
+    before = current_version(df.sparkSession, base)
     df.write.mode("overwrite").parquet(f"{base}/{version}")
+    _switch(df.sparkSession, base, version, before)
+    return version
+
+
+def publish_tables(tables: dict[str, DataFrame], base: str) -> str:
+    """Write several tables as one version and switch the pointer once: readers see all of them or none.
+
+    Where a table fails, the version before stays the published one.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version, before = f"v-{uuid.uuid4().hex}", current_version(spark, base)
+    for name, table in tables.items():
+        table.write.parquet(f"{base}/{version}/{name}")
+    _switch(spark, base, version, before)
+    return version
+
+
+def published(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """One table of the published version."""
+    version = current_version(spark, base)
+    if version is None:
+        raise ValueError(f"nothing is published at {base}")
+    return spark.read.parquet(f"{base}/{version}/{name}")
+
+
+def _switch(spark: SparkSession, base: str, version: str, before: str | None) -> None:
     temporary, fs = file_system(spark, f"{base}/{_POINTER}.{uuid.uuid4().hex}")
     stream = fs.create(temporary, True)
     stream.writeUTF(version)
@@ -59,7 +84,6 @@ def publish_table(df: DataFrame, base: str, version: str | None = None) -> str:
         name = str(entry.getPath().getName())
         if entry.isDirectory() and name not in (version, before):
             fs.delete(entry.getPath(), True)
-    return version
 
 
 def upsert_manifest(fresh: DataFrame, base: str, schema: str) -> int:
@@ -102,6 +126,11 @@ def write_samples(samples: DataFrame, path: str, buckets: int = 64) -> None:
     ).parquet(path)
 
 
+def write_identity(identity: DataFrame, path: str) -> None:
+    """Identity records as JSON lines, one per repository."""
+    identity.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+
+
 def write_index(index: DataFrame, path: str) -> None:
     """Index as CSV with header and LF line ends, in parts."""
     index.write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill import schemas
+from corpusmill.operators.audit import audit_records
 from corpusmill.operators.profile import language_counts
 from corpusmill.plans import delivery
 from corpusmill.plans.sampling import sample_repositories
@@ -208,5 +210,39 @@ def test_from_files_to_delivery(spark, tmp_path):
     assert ("h__o__r0", "samples/core/f0.py") in paths and ("h__o__r0", "repo_summary.md") in paths
     assert "Globex" not in "".join(r.text for r in whole.texts.collect())
     assert {r.folder for r in whole.index.collect()} == {r.folder_name for r in whole.manifest.collect()}
+    base = str(tmp_path / "delivery")
+    notes = spark.createDataFrame([("h__o__r0", "run.log", "raw")], "folder string, path string, text string")
+    first = delivery.publish(whole, base, "rules", "2024-01-01T00:00:00Z", private=notes)
+    assert [r.path for r in writers.published(spark, base, "private").collect()] == ["run.log"]
+    records = {r.folder: r for r in writers.published(spark, base, "audit").collect()}
+    assert records["h__o__r0"].total_additions == 36 and records["h__o__r0"].model == "rules"
+    assert [c.path for c in records["h__o__r0"].changes] == sorted(c.path for c in records["h__o__r0"].changes)
+    unpacked = replace(whole, texts=whole.texts.where(F.col("folder") != "h__o__r1"))
+    with pytest.raises(ValueError, match="cannot pack"):
+        delivery.publish(unpacked, base, "rules", "2024-01-02T00:00:00Z")
+    with pytest.raises(Exception):
+        writers.publish_tables({"index": whole.index, "bad": whole.texts.select(F.raise_error(F.lit("no")).alias("x"))}, base)
+    assert writers.current_version(spark, base) == first
+    assert writers.published(spark, base, "deliverable").count() == whole.texts.count()
     forced = sample_repositories(files, settings=settings, forced_language="javascript")
     assert {r.stage for r in forced.rejected.collect()} == {"agent_empty", "agent_no_primary_lang"}
+
+
+def test_broken_identity_is_an_error(spark, tmp_path):
+    ids = spark.createDataFrame([("a", "u")], "first_commit_hash string, repo_url string")
+    writers.write_identity(ids, str(tmp_path / "identity"))
+    assert [r.repo_url for r in readers.read_identity(spark, str(tmp_path / "identity")).collect()] == ["u"]
+    (tmp_path / "identity" / "part-x.json").write_text('{"repo_url": "v"')
+    with pytest.raises(ValueError, match="invalid repository identity"):
+        readers.read_identity(spark, str(tmp_path / "identity"))
+
+
+def test_audit_records_come_in_parts(spark):
+    changes = spark.range(25).selectExpr(
+        "if(id < 23, 'f', 'g') AS folder", "format_string('p%02d', id) AS path", "1L AS hunks", "2L AS additions", "id AS deletions", "id = 24 AS hidden"
+    )
+    folders = spark.createDataFrame([("f",), ("g",), ("none",)], "folder string")
+    costs = spark.createDataFrame([("f", 0.5), ("f", 0.25)], "folder string, cost_usd double")
+    got = {(r.folder, r.part): r for r in audit_records(changes, folders, "m", "now", costs, per_part=10).collect()}
+    assert {k: len(r.changes) for k, r in got.items()} == {("f", 0): 10, ("f", 1): 10, ("f", 2): 3, ("g", 0): 1, ("none", 0): 0}
+    assert got["f", 1].changes[0].path == "p10" and got["f", 2].total_additions == 46 and got["f", 0].cost_usd == 0.75
