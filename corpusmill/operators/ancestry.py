@@ -5,75 +5,91 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.sources.materialize import materialized
+from corpusmill.sources.materialize import dropped, materialized
 
 
-def ancestors_of_heads(commits: DataFrame, heads: DataFrame, cut_every: int = 8) -> DataFrame:
-    """Adds ``on_head``: reachable from the head of the repository.
+def chains(commits: DataFrame) -> DataFrame:
+    """``repo_url, sha, chain, position``: every commit's first-parent chain and its place in it, newest first.
 
-    Linear runs are contracted by pointer jumping, which takes log2(length)
-    rounds; the frontier walk then visits branch and merge points only.  Every
-    round is written to the shared folder.  ``commits``: repo_url, sha, parents;
-    ``heads``: repo_url, sha.
+    A commit goes on the chain of the least of the children that have it as
+    their first parent; without one it opens a chain.  Places are counted by
+    pointer jumping: log2 of the longest chain rounds, each written to the
+    shared folder and deleted when the next one stands.
     """
-    links = commits.select(
-        "repo_url", "sha", F.explode("parents").alias("parent"), F.size("parents").alias("n_parents")
-    )
-    # A commit with one child that has no other parent is in the run of that child.
-    runs = (
-        links.groupBy("repo_url", F.col("parent").alias("sha"))
-        .agg(
-            F.count("*").alias("n_children"),
-            F.min("sha").alias("up"),
-            F.max("n_parents").alias("n_parents"),
-        )
-        .where((F.col("n_children") == 1) & (F.col("n_parents") == 1))
-        .join(heads.select("repo_url", "sha"), ["repo_url", "sha"], "left_anti")
-        .select("repo_url", "sha", "up")
+    child = (
+        commits.where(F.size("parents") > 0)
+        .groupBy("repo_url", F.get("parents", F.lit(0)).alias("sha")).agg(F.min("sha").alias("up"))
     )
     jumps = materialized(
-        commits.select("repo_url", "sha")
-        .join(runs, ["repo_url", "sha"], "left")
-        .select("repo_url", "sha", F.coalesce("up", "sha").alias("top")),
+        commits.select("repo_url", "sha").distinct().join(child, ["repo_url", "sha"], "left").select(
+            "repo_url", "sha", F.coalesce("up", "sha").alias("chain"), F.col("up").isNotNull().cast("bigint").alias("position")
+        ),
         "jumps",
     )
     while True:
-        further = jumps.select("repo_url", F.col("sha").alias("top"), F.col("top").alias("higher"))
+        on = jumps.select("repo_url", F.col("sha").alias("chain"), F.col("chain").alias("next"), F.col("position").alias("more"))
         longer = materialized(
-            jumps.join(further, ["repo_url", "top"], "left").select(
-                "repo_url", "sha", F.coalesce("higher", "top").alias("top"),
-                (F.coalesce("higher", "top") != F.col("top")).alias("moved"),
+            jumps.join(on, ["repo_url", "chain"]).select(
+                "repo_url", "sha", F.col("next").alias("chain"), (F.col("position") + F.col("more")).alias("position"),
+                (F.col("more") > 0).alias("moved"),
             ),
             "jumps",
         )
-        done = longer.where("moved").isEmpty()
+        dropped(jumps)
         jumps = longer.drop("moved")
-        if done:
-            break
-    # Edges between runs: from the top of a run to the tops its parents lie in.
-    tops = jumps.select("repo_url", F.col("sha").alias("parent"), F.col("top").alias("to"))
+        if longer.where("moved").isEmpty():
+            return jumps
+
+
+def ancestors_of_heads(commits: DataFrame, heads: DataFrame) -> DataFrame:
+    """Adds ``on_head``: reachable from the head of the repository.
+
+    What is reached of a chain is all of it from some place on, so one mark per
+    chain holds the state: the first place that is reached.  Links from one chain to another
+    are joined with the marks that lie before them; a round is one join and one
+    minimum per chain, and a history of two lines that merge into each other any
+    number of times is done in a few rounds.  Rounds are written to the shared
+    folder and deleted again.  ``commits``: repo_url, sha, parents (a missing parent is ignored);
+    ``heads``: repo_url, sha.
+    """
+    placed = chains(commits)
+    links = commits.select("repo_url", "sha", F.explode("parents").alias("parent"))
+    to = placed.select("repo_url", F.col("sha").alias("parent"), F.col("chain").alias("to"), F.col("position").alias("at"))
     edges = materialized(
-        links.join(jumps, ["repo_url", "sha"])
-        .join(tops, ["repo_url", "parent"])
-        .where(F.col("top") != F.col("to"))
-        .select("repo_url", F.col("top").alias("from"), "to").distinct(),
-        "run-edges",
+        links.join(placed, ["repo_url", "sha"]).join(to, ["repo_url", "parent"])
+        .where(F.col("chain") != F.col("to"))
+        .groupBy("repo_url", "chain", "position", "to").agg(F.min("at").alias("at")),
+        "chain-edges",
+    )
+    marks = materialized(
+        heads.join(placed, ["repo_url", "sha"]).groupBy("repo_url", "chain").agg(F.min("position").alias("mark")), "marks"
     )
-    frontier = heads.join(jumps, ["repo_url", "sha"]).select("repo_url", "top").distinct()
-    reached = frontier
-    rounds = 0
-    while not frontier.isEmpty():
-        step = (
-            frontier.join(edges.withColumnRenamed("from", "top"), ["repo_url", "top"])
-            .select("repo_url", F.col("to").alias("top")).distinct()
-            .join(reached, ["repo_url", "top"], "left_anti")
+    fresh = marks
+    while True:
+        # Only marks that moved in the last round can move others.
+        from_marks = fresh.select("repo_url", "chain", "mark")
+        offered = (
+            edges.join(from_marks, ["repo_url", "chain"]).where(F.col("position") >= F.col("mark"))
+            .groupBy("repo_url", F.col("to").alias("chain")).agg(F.min("at").alias("offer"))
+        )
+        moved = materialized(
+            offered.join(marks, ["repo_url", "chain"], "left")
+            .where(F.col("mark").isNull() | (F.col("offer") < F.col("mark")))
+            .select("repo_url", "chain", F.col("offer").alias("mark")),
+            "moved-marks",
+        )
+        if moved.isEmpty():
+            break
+        merged = materialized(
+            marks.unionByName(moved).groupBy("repo_url", "chain").agg(F.min("mark").alias("mark")), "marks"
         )
-        frontier = materialized(step, "frontier")
-        reached = reached.unionByName(frontier)
-        rounds += 1
-        if rounds % cut_every == 0:
-            reached = materialized(reached, "reached")
-    on_head = jumps.join(reached, ["repo_url", "top"], "left_semi").select(
+        if fresh is not marks:
+            dropped(fresh)
+        dropped(marks)
+        marks, fresh = merged, moved
+    for table in (moved, edges, *([] if fresh is marks else [fresh])):
+        dropped(table)
+    on_head = placed.join(marks, ["repo_url", "chain"]).where(F.col("position") >= F.col("mark")).select(
         "repo_url", "sha", F.lit(True).alias("on_head")
     )
     return commits.drop("on_head").join(on_head, ["repo_url", "sha"], "left").fillna({"on_head": False})

@@ -60,6 +60,17 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a table that ``materialized`` wrote and that nothing reads any more (a round that the next one replaces)."""
+    spark, known = df.sparkSession, {path.split(":", 1)[-1].lstrip("/"): path for _, path in _made}
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = known.get(folder.split(":", 1)[-1].lstrip("/"))
+        if path is not None:
+            location, fs = file_system(spark, path)
+            fs.delete(location, True)
+            _made[:] = [(app, p) for app, p in _made if p != path]
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop path and file system of a location."""
     jvm = spark.sparkContext._jvm

@@ -22,6 +22,7 @@ from corpusmill.operators import (
     transcripts,
 )
 from corpusmill.params import BudgetParams, CandidateParams, TranscriptParams
+from corpusmill.sources import materialize
 
 
 def files_of(spark, rows):
@@ -131,13 +132,30 @@ def test_ancestry_matches_graph_walk(spark):
     got = ancestry.ancestors_of_heads(
         spark.createDataFrame(commits, "repo_url string, sha string, parents array<string>"),
         spark.createDataFrame(heads, "repo_url string, sha string"),
-        cut_every=2,
     )
     rows = got.collect()
     assert len(rows) == len(commits)
     assert {(r.repo_url, r.sha) for r in rows if r.on_head} == want
 
 
+def test_a_thousand_merges_take_few_rounds(spark, monkeypatch):
+    n, rounds = 1000, []
+    commits = [("r", "m0", []), ("r", "s0", ["m0"])]
+    for i in range(1, n):
+        commits += [("r", f"m{i}", [f"m{i - 1}", f"s{i - 1}"]), ("r", f"s{i}", [f"s{i - 1}", f"m{i - 1}"])]
+    commits += [("r", "x", ["m500"]), ("r", "y", ["x", "gone"])]
+    written, before = ancestry.materialized, len(materialize._made)
+    monkeypatch.setattr(ancestry, "materialized", lambda df, name: rounds.append(name) or written(df, name))
+    got = ancestry.ancestors_of_heads(
+        spark.createDataFrame(commits, "repo_url string, sha string, parents array<string>"),
+        spark.createDataFrame([("r", f"m{n - 1}")], "repo_url string, sha string"),
+    )
+    found = {r.sha: r.on_head for r in got.collect()}
+    assert found == {s: s[0] in "ms" and s != f"s{n - 1}" for _, s, _ in commits}
+    assert rounds.count("moved-marks") < 10 and rounds.count("jumps") < 14
+    assert len(materialize._made) == before + 2  # places and marks, which the result reads
+
+
 def saved_rows(spark, rows):
     return spark.createDataFrame(
         rows,
