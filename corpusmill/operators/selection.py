@@ -38,7 +38,7 @@ from corpusmill.sources.places import located, rows_at
 
 
 def checked_requests(requests: DataFrame, masks: DataFrame) -> DataFrame:
-    """Requests with lines of code and every reason that needs no history."""
+    """Requests with lines of code and every reason that needs no history; a time ``ts`` stays with them."""
     start = F.greatest(F.lit(1), F.col("start_line")) - 1
     total = F.length("mask")
     end = F.least(F.col("end_line"), total)
@@ -68,6 +68,7 @@ def checked_requests(requests: DataFrame, masks: DataFrame) -> DataFrame:
             F.when(ranged & (start >= end), "bad_range")
             .when(lang.ones_in(chunk) == 0, "zero_loc")
             .alias("flaw"),
+            *[c for c in ("ts",) if c in requests.columns],
         )
     )
 

@@ -1043,3 +1043,4 @@ SQL["audit_record"] = _with(
   coalesce(string_agg(c.path || ':' || hunks || ':' || additions || ':' || deletions, ';' ORDER BY c.path), '') AS changes
 FROM (SELECT DISTINCT folder FROM redacted) f LEFT JOIN changes c USING (folder) GROUP BY f.folder""",
 )
+SQL["live_budget_stream"] = f"SELECT repo_url, seq, reason, rank, running_total FROM ({SQL['budget_select']})"

@@ -31,6 +31,8 @@ from corpusmill.sources.deltas import DeltaTable
 from corpusmill.sources.readers import read_working_trees
 from corpusmill.sources.trees import working_trees, write_working_trees
 from corpusmill.streaming.intake import list_file_stream, new_repositories
+from corpusmill.streaming.live_budget import OUTPUT as LIVE_OUTCOME
+from corpusmill.streaming.live_budget import live_budget
 from corpusmill.streaming.manifest_feed import start_manifest_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,6 +178,32 @@ def budget_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def live_budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``budget_select`` on a stream whose files hold the requests in no order; a last request moves the watermark on."""
+    session = spark.newSession()  # the state store provider is a setting of this stream alone
+    session.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    source, out = new_folder(spark, "requests"), new_folder(spark, "live-budget")
+    timed = a.requests(session, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("seq") + 86400))
+    timed.repartition(4, F.xxhash64("seq")).write.parquet(f"{source}/b=0")
+    last = timed.agg(F.max("ts").alias("ts")).select(
+        F.lit("").alias("repo_url"), F.lit(-1).cast("bigint").alias("seq"), F.lit("").alias("path"), F.lit("").alias("layer"),
+        F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"),
+        (F.col("ts") + F.expr("interval 100000 days")).alias("ts"),
+    )
+    last.write.parquet(f"{source}/b=1")
+    stream = session.readStream.schema(timed.schema).option("maxFilesPerTrigger", 2).parquet(f"{source}/*")
+    checked = selection.checked_requests(stream.withWatermark("ts", "50000 days"), _masks(session, sf_dir))
+    query = (
+        live_budget(checked, BUDGET).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", new_folder(spark, "live-checkpoint")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(LIVE_OUTCOME).parquet(out)
+
+
 def running_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.running_shares(_outcome(spark, sf_dir), BUDGET)
 
@@ -582,7 +610,7 @@ QUERIES: dict[str, Query] = {
         repo_list, repo_urls, latest_branch, resume_repos, snapshot_diag, tree_files, working_tree_files, tree_listing,
         lang_profile, lang_distribution, lang_shares, file_lines, file_loc,
         commit_minhash, repo_identity,
-        line_ranges, budget_select, running_share, sample_texts,
+        line_ranges, budget_select, live_budget_stream, running_share, sample_texts,
         sample_manifest, main_language, layer_breakdown, repo_summary, manifest_flat,
         manifest_latest, manifest_upsert, manifest_remove, manifest_feed, manifest_heads, manifest_lines,
         error_log, intake_stream, index_file, own_layers, result_validation,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from corpusmill.streaming.intake import list_file_stream, new_repositories
 from corpusmill.streaming.live_budget import live_budget
 from corpusmill.streaming.manifest_feed import start_manifest_feed, upsert_batch
 
+START = datetime(2024, 1, 1)
 VERSIONS = "repo_url string, version bigint, total_loc bigint"
 
 
@@ -86,3 +88,52 @@ def test_live_budget_equals_batch(spark, tmp_path):
     batch = budget_select(spark.createDataFrame(requests, schemas.REQUESTS), masks, params=params)
     assert live == {tuple(r) for r in batch.select(*columns).collect()}
     assert len(live) == len(requests)
+
+
+def ordered_outcome(spark, tmp_path, name, batches, masks, params, idle=None):
+    """Outcome of timed requests that come in the given batches; a last request far ahead moves the watermark."""
+    kinds, source = schemas.REQUESTS + ", ts timestamp", str(tmp_path / name)
+    far = ("zzz", 10**6, "none.py", "api", None, None, START + timedelta(days=90))
+    for i, rows in enumerate([*batches, [far]]):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{source}/b={i:03d}")
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    stream = stream.withWatermark("ts", "2 hours")
+    query = (
+        live_budget(checked_requests(stream, masks), params, idle)
+        .writeStream.format("memory").queryName(name).outputMode("append")
+        .option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(180)
+    return sorted(tuple(r) for r in spark.table(name).collect())
+
+
+def test_shuffled_batches_give_the_ordered_outcome(spark, tmp_path):
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    rng = random.Random(5)
+    files = [(f"r{r}", f"f{i}.py", bytearray(b"x\n" * rng.randrange(0, 12)), 9) for r in range(3) for i in range(20)]
+    masks = materialized(line_masks(spark.createDataFrame(files, schemas.FILES)), "masks")
+    requests = [(f"r{r}", q, f"f{rng.randrange(22)}.py", "api", None, None) for r in range(3) for q in range(40)]
+    timed = [(*q, START + timedelta(minutes=q[1])) for q in requests]
+    rng.shuffle(timed)  # all within the delay of the watermark
+    params = BudgetParams(target_loc=40, cap_loc=50)
+    got = ordered_outcome(spark, tmp_path, "ordered", [timed[k::3] for k in range(3)], masks, params)
+    batch = budget_select(spark.createDataFrame(requests, schemas.REQUESTS), masks, params=params)
+    want = sorted(tuple(r) for r in batch.select("repo_url", "seq", "reason", "rank", "running_total").collect())
+    assert got == want
+
+
+def test_idle_repositories_are_forgotten(spark, tmp_path):
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    masks = materialized(line_masks(spark.createDataFrame([("r", "f.py", bytearray(b"x\n"), 2)], schemas.FILES)), "masks")
+    days = [("r", d, "f.py", "api", None, None, START + timedelta(days=d)) for d in (0, 1, 40)]
+    mark = [("z", d, "f.py", "api", None, None, START + timedelta(days=d, hours=12)) for d in (2, 20, 41)]
+    batches = [[days[0]], [days[1]], [mark[0]], [mark[1]], [days[2]], [mark[2]]]
+    params = BudgetParams(target_loc=40, cap_loc=50)
+    got = ordered_outcome(spark, tmp_path, "idle", batches, masks, params, idle="10 days")
+    assert [(q, reason) for r, q, reason, *_ in got if r == "r"] == [(0, None), (1, "duplicate"), (40, None)]
