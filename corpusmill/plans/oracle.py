@@ -1,14 +1,15 @@
 """The registered queries in SQL, over the same tables.
 
-Written independently of the operators: line by line unnesting, windows and a
-recursive fold instead of array expressions and bounded candidates.
+Other algorithms than the operators': line by line unnesting, windows, the whole
+table of common lengths and recursive folds instead of array expressions, bit rows and bounded
+candidates.  Rules and patterns are stated here anew; what is shared are fixed
+values (language tables, layers, placeholders, hash constants, message texts) and the parameters of the adapters.
 """
 
 from __future__ import annotations
 
 from corpusmill.functions import languages as lang
 from corpusmill.functions.minhash import CONSTANTS
-from corpusmill.operators.candidates import DENSE_FLOW, FLOW_MARKS, GENERATED_MARKS, PATH_RULES
 from corpusmill.operators.redaction import PLACEHOLDERS
 from corpusmill.operators.transcripts import _CLOSING, _CONVERSATION, _INTRO
 from corpusmill.plans import adapters as a
@@ -845,15 +846,32 @@ SQL["redaction_totals"] = _with(
 
 # --- files chosen by rule -----------------------------------------------------------
 
+DENSE_FLOW = "0.15"
+# Occurrences are counted by the pieces that a text falls into.
 _FLOW = " + ".join(
-    f"(length(content) - length(replace(content, {_text(mark)}, ''))) / {len(mark)}" for mark in FLOW_MARKS
+    f"(len(string_split(content, {_text(mark)})) - 1)"
+    for mark in ("while ", "while(", "for ", "for(", "if ", "if(", "except", "catch", "switch")
 )
-_SECRETS = "(" + " OR ".join(f"regexp_matches(content, '{pattern}')" for pattern, _, _ in _REDACT_STEPS[:4]) + ")"
-_GENERATED = " OR ".join(f"contains(lower(content), {_text(mark)})" for mark in GENERATED_MARKS)
-_RULE_CASES = " ".join(
-    f"WHEN regexp_matches(lower(t.path), {_text(pattern)}) THEN {_text(layer)}"
-    for layer, pattern in PATH_RULES
+_UNDER = "regexp_matches(lower(t.path), '(^|/)({})/')"
+_NAMED = "regexp_matches(lower(t.path), '{}$')"
+_PLACES = (
+    ("test", (_UNDER.format("test|tests|spec|__tests__"), _NAMED.format("(^|/)test_[^/]*"), _NAMED.format("[-._](spec|test)\\.[^/]*"))),
+    ("autogen", (
+        _UNDER.format("migrations|generated|gen"), _NAMED.format("\\.(min|pb)\\.[a-z]+"), _NAMED.format("_pb2\\.py"),
+        _NAMED.format("[-.]lock(\\.[a-z]+)?"))),
+    ("infra", (
+        _UNDER.format("terraform|scripts|infra|docker|deploy|ci|\\.github"), _NAMED.format("(^|/)(makefile|dockerfile)"),
+        _NAMED.format("\\.(sh|bash|bat|ps1|tf|hcl|cmake|gradle)"))),
+    ("data", (_UNDER.format("etl|repositories|queries|dao"), _NAMED.format("\\.sql"))),
+    ("api", (_UNDER.format("endpoint|endpoints|handler|handlers|controller|controllers|route|routes|api"),)),
+    ("boilerplate", (
+        _UNDER.format("constants|models|dto|config"), _NAMED.format("(^|/)(constants|settings|__init__)\\.[a-z]+"))),
+    ("util", (_UNDER.format("shared|common|helper|helpers|util|utils"),)),
+    ("algorithm", (_UNDER.format("parser|algorithm|algorithms|engine|core"),)),
 )
+_SECRETS = "(" + " OR ".join(f"regexp_matches(content, '{pattern}')" for pattern, _, _ in _REDACT_STEPS[:4]) + ")"
+_GENERATED = "regexp_matches(lower(content), '@generated|auto-?generated|do not edit')"
+_RULE_CASES = " ".join(f"WHEN {' OR '.join(tests)} THEN {_text(layer)}" for layer, tests in _PLACES)
 FEATURES = f"""features AS (
   SELECT t.repo_url, t.path, t.language, l.loc, l.total_lines, CAST(round({_FLOW}) AS BIGINT) AS flow_marks,
     {_GENERATED} AS is_generated, {_SECRETS} AS has_secret,
