@@ -1062,3 +1062,12 @@ SQL["audit_record"] = _with(
 FROM (SELECT DISTINCT folder FROM redacted) f LEFT JOIN changes c USING (folder) GROUP BY f.folder""",
 )
 SQL["live_budget_stream"] = f"SELECT repo_url, seq, reason, rank, running_total FROM ({SQL['budget_select']})"
+_MARKS = ", ".join(
+    f"({_text(mark)}, {_text(name)})"
+    for table in (lang.LANGUAGE_BY_SUFFIX, lang.NAME_ENDINGS, lang.EXACT_NAMES) for mark, name in table.items()
+)
+SQL["language_marks"] = f"""SELECT p.repo_url, upper(p.code_primary) AS given,
+  (SELECT x FROM (SELECT unnest({_list(lang.TRACKABLE_LANGUAGES)}) AS x) WHERE lower(x) = lower(p.code_primary)) AS language,
+  coalesce((SELECT string_agg(mark, ' ' ORDER BY mark) FROM (VALUES {_MARKS}) AS m(mark, name)
+    WHERE lower(name) = lower(p.code_primary)), '') AS marks
+FROM ({SQL['lang_profile']}) p"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import languages
 from corpusmill.functions.text import error_lines, short_error
 from corpusmill.operators import (
     ancestry,
@@ -95,6 +96,13 @@ def lang_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("repo_url", F.explode("shares").alias("language", "share"))
 
 
+def language_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Focus language of every repository, given in capitals, with its registered spelling and file marks."""
+    given = _profile(spark, sf_dir).select("repo_url", F.upper("code_primary").alias("given"))
+    spelled = given.withColumn("language", languages.spelling_of(F.col("given")))
+    return spelled.withColumn("marks", F.array_join(languages.marks_of(F.col("language")), " "))
+
+
 def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.file_lines(a.files(spark, sf_dir))
 
@@ -608,7 +616,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         repo_list, repo_urls, latest_branch, resume_repos, snapshot_diag, tree_files, working_tree_files, tree_listing,
-        lang_profile, lang_distribution, lang_shares, file_lines, file_loc,
+        lang_profile, lang_distribution, lang_shares, language_marks, file_lines, file_loc,
         commit_minhash, repo_identity,
         line_ranges, budget_select, live_budget_stream, running_share, sample_texts,
         sample_manifest, main_language, layer_breakdown, repo_summary, manifest_flat,

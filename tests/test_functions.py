@@ -140,3 +140,12 @@ def test_minhash_of_two_known_commits(spark):
     )
     df = spark.createDataFrame(commits, "repo_url string, sha string")
     assert commit_minhash(df).first().commit_minhash == want
+
+
+def test_spelling_and_marks_as_columns(spark):
+    rows = spark.createDataFrame([("typescript",), (" PHP ",), ("Klingon",), (None,), ("",)], "name string")
+    got = rows.select("name", languages.spelling_of(rows["name"]).alias("spelled")).withColumn(
+        "marks", languages.marks_of(F.col("spelled"))
+    ).collect()
+    assert [r.spelled for r in got] == ["TypeScript", "PHP", None, None, None]
+    assert [r.marks for r in got][0] == languages.file_marks_of("TypeScript") and got[2].marks == [] and got[3].marks == []
