@@ -37,7 +37,7 @@ class TokenParams:
     pad: int = 50256
     slots_per_shard: int = 65536
     key: int = 20240229
-    cached_words: int = 200_000
+    part_chars: int = 1 << 18
     broadcast_tasks: int = 200_000
     waves: int = 3
 
@@ -46,42 +46,33 @@ class TokenParams:
         return 2 * self.length
 
 
-class WordIds(dict):
-    """Ids (two bytes each) of a blank and the word after it; forgets everything when full."""
-
-    def __init__(self, encode, limit: int):
-        super().__init__()
-        self.encode, self.limit = encode, limit
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(" " + word), np.uint16).tobytes()
-        if len(word) <= 32:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = ids
-        return ids
+# Before such a blank the pre-tokenizer always cuts, whatever stands around it.
+CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 @lru_cache(2)
 def encoder(params: TokenParams):
     """Function from a text to the bytes of its ids; equal to encoding the whole text at once.
 
-    The pre-tokenizer always cuts between a character that is not white space
-    and a blank followed by one that is not, so such words are encoded once.
-    Texts with other white space next to blanks are encoded whole.
+    A long text is cut into parts of about ``part_chars`` characters where the
+    pre-tokenizer cuts anyway, so that only the ids of one part are Python objects at a time.
     """
     with open(params.vocabulary, "rb") as source:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in source)}
     encode = tiktoken.Encoding(
         "vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}
     ).encode_ordinary
-    known, odd = WordIds(encode, params.cached_words), re.compile(r"\s \S| \s|^ | $")
 
     def ids(text: str) -> bytes:
-        if odd.search(text):
+        if len(text) <= params.part_chars:
             return np.array(encode(text), np.uint16).tobytes()
-        first, *rest = text.split(" ")
-        return np.array(encode(first), np.uint16).tobytes() + b"".join(map(known.__getitem__, rest))
+        out, start = [], 0
+        while start < len(text):
+            cut = CUT.search(text, start + params.part_chars)
+            stop = cut.start() if cut else len(text)
+            out.append(np.array(encode(text[start:stop]), np.uint16).tobytes())
+            start = stop
+        return b"".join(out)
 
     return ids
 
@@ -134,47 +125,71 @@ def _slots(docs: DataFrame, params: TokenParams, key: str, text: str) -> tuple[D
     total = sums[0] or 0
     if sums[1] <= params.broadcast_tasks:
         starts = F.broadcast(starts)
-    index = rows.join(starts, F.col("task") == F.col("_task")).select(
-        "doc_id", "piece", (F.col("start") + F.col("place")).alias("index"), "tokens"
-    )
-
-    def slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = permuted(batch.column(2).to_numpy(), total, params.key)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array(slots), batch.column(3),
-                    pa.array((slots // params.slots_per_shard).astype(np.int32)),
-                ],
-                ["doc_id", "piece", "slot", "tokens", "shard"],
-            )
-
-    placed = index.mapInArrow(slot, "doc_id long, piece int, slot long, tokens binary, shard int")
-    return placed, max(1, -(-total // params.slots_per_shard))
-
-
-def _records(placed: DataFrame, first: int, stop: int, params: TokenParams) -> DataFrame:
-    """Whole shards, numbers ``first`` to ``stop - 1``, in slot order, each sequence padded to a record."""
-
-    def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad = np.full(params.length, params.pad, np.uint16).tobytes()
-        for batch in batches:
-            slots, tokens = batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            records = [t + pad[len(t) :] for t in tokens]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1), pa.array([len(t) // 2 for t in tokens], pa.int32()),
-                    batch.column(2), batch.column(4),
-                    pa.array(slots % params.slots_per_shard * params.stride),
-                    pa.array([zlib.crc32(r) for r in records], pa.int64()), pa.array(records, pa.binary()),
-                ],
-                ["doc_id", "piece", "n_tokens", "slot", "shard", "byte_offset", "record_crc32", "record"],
-            )
-
-    return placed.repartitionById(stop - first, F.col("shard") - F.lit(first)).sortWithinPartitions("slot").mapInArrow(
-        padded,
-        "doc_id long, piece int, n_tokens int, slot long, shard int, byte_offset long, record_crc32 long, record binary",
+    @F.arrow_udf("long")
+    def slot(index: pa.Array) -> pa.Array:
+        return pa.array(permuted(index.to_numpy(), total, params.key))
+
+    # Only the running number goes to Python here, the tokens stay where they are.  Declared
+    # non-deterministic, lest a filter on the shard computes the numbers a second time.
+    placed = rows.join(starts, F.col("task") == F.col("_task")).select(
+        "doc_id", "piece", slot.asNondeterministic()(F.col("start") + F.col("place")).alias("slot"), "tokens"
     )
+    shard = F.floor(F.col("slot") / F.lit(params.slots_per_shard)).cast("int")
+    return placed.withColumn("shard", shard), max(1, -(-total // params.slots_per_shard))
+
+
+RECORDS = (
+    "doc_id long, piece int, n_tokens int, slot long, shard int, byte_offset long, record_crc32 long, record binary"
+)
+
+
+def _in_order(placed: DataFrame, first: int, stop: int) -> DataFrame:
+    """Whole shards, numbers ``first`` to ``stop - 1``, one partition each, in slot order."""
+    return placed.repartitionById(stop - first, F.col("shard") - F.lit(first)).sortWithinPartitions("slot")
+
+
+def _padded(batches: Iterator[pa.RecordBatch], params: TokenParams) -> Iterator[pa.RecordBatch]:
+    """Each sequence padded to a record."""
+    pad = np.full(params.length, params.pad, np.uint16).tobytes()
+    for batch in batches:
+        slots, tokens = batch.column("slot").to_numpy(), batch.column("tokens").to_pylist()
+        records = [t + pad[len(t) :] for t in tokens]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), batch.column("piece"),
+                pa.array([len(t) // 2 for t in tokens], pa.int32()),
+                batch.column("slot"), batch.column("shard"),
+                pa.array(slots % params.slots_per_shard * params.stride),
+                pa.array([zlib.crc32(r) for r in records], pa.int64()), pa.array(records, pa.binary()),
+            ],
+            ["doc_id", "piece", "n_tokens", "slot", "shard", "byte_offset", "record_crc32", "record"],
+        )
+
+
+def _filed(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Append each batch's records to the file of their shard; the batch without records, with ``path``."""
+    shard, context, out, uri = None, None, None, None
+    for batch in batches:
+        shards, records = batch.column("shard").to_numpy(), batch.column("record")
+        edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        paths = []
+        for start, stop in zip(edges, edges[1:]):
+            if start == stop:
+                continue
+            if shards[start] != shard:
+                if context:
+                    context.__exit__(None, None, None)
+                shard = shards[start]
+                context = new_file(folder, f"shard-{shard:08d}", ".bin")
+                out, uri = context.__enter__()
+            out.write(b"".join(records[start:stop].to_pylist()))
+            paths += [uri] * (stop - start)
+        names = [c for c in batch.schema.names if c != "record"]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in names], pa.array(paths, pa.string())], [*names, "path"]
+        )
+    if context:
+        context.__exit__(None, None, None)
 
 
 def training_order(
@@ -195,7 +210,7 @@ def training_order(
     no rows.  Repeated rows get slots of their own; only ``key`` and ``text`` are read.
     """
     placed, shards = _slots(docs, params, key, text)
-    return _records(placed, 0, shards, params)
+    return _in_order(placed, 0, shards).mapInArrow(lambda batches: _padded(batches, params), RECORDS)
 
 
 def written_order(
@@ -216,7 +231,7 @@ def written_order(
         for wave in range(waves):
             first, stop = wave * shards // waves, (wave + 1) * shards // waves
             part = placed.where((F.col("shard") >= first) & (F.col("shard") < stop))
-            listed.append(write_shard_files(_records(part, first, stop, params), folder))
+            listed.append(_index(_in_order(part, first, stop), RECORDS, folder, lambda batches: _padded(batches, params)))
     finally:
         spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     return with_records(reduce(DataFrame.union, listed), params)
@@ -228,32 +243,18 @@ def write_shard_files(ordered: DataFrame, folder: str | None = None) -> DataFram
     Files are written front to back by the tasks that hold the shards; the
     index is written once and names the files of successful attempts, others are never read.
     """
-    spark = ordered.sparkSession
-    folder = folder or new_folder(spark, "shards")
-    names = [*[c for c in ordered.columns if c != "record"], "path"]
-    kinds = ", ".join(f"{c} {t}" for c, t in ordered.drop("record").dtypes) + ", path string"
+    folder = folder or new_folder(ordered.sparkSession, "shards")
+    return _index(ordered, ", ".join(f"{c} {t}" for c, t in ordered.dtypes), folder, lambda batches: batches)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, context, out, uri = None, None, None, None
-        for batch in batches:
-            paths = []
-            for its, record in zip(batch.column("shard").to_pylist(), batch.column("record")):
-                if its != shard:
-                    if context:
-                        context.__exit__(None, None, None)
-                    context = new_file(folder, f"shard-{its:08d}", ".bin")
-                    (out, uri), shard = context.__enter__(), its
-                out.write(record.as_py())
-                paths.append(uri)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names[:-1]], pa.array(paths, pa.string())], names
-            )
-        if context:
-            context.__exit__(None, None, None)
 
-    listed = new_folder(spark, "index")
-    ordered.mapInArrow(run, kinds).write.parquet(listed)
-    return spark.read.parquet(listed)
+def _index(ordered: DataFrame, kinds: str, folder: str, to_records) -> DataFrame:
+    """The written index of the files that hold ``to_records`` of each partition, whose columns are ``kinds``."""
+    listed = new_folder(ordered.sparkSession, "index")
+    fields = [kind for kind in kinds.split(", ") if not kind.startswith("record ")]
+    ordered.mapInArrow(lambda batches: _filed(to_records(batches), folder), ", ".join([*fields, "path string"])).write.parquet(
+        listed
+    )
+    return ordered.sparkSession.read.parquet(listed)
 
 
 def read_records(spark: SparkSession, index: DataFrame, params: TokenParams = TokenParams(), from_slot: int = 0) -> DataFrame:

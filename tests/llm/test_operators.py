@@ -110,6 +110,35 @@ def test_scores_do_not_depend_on_neighbours(docs, labels):
     assert all(math.isclose(one[r.doc_id, r.n_words], r.probability, rel_tol=1e-9) for r in many)
 
 
+def test_character_grams_are_of_characters():
+    import pyarrow as pa
+
+    from corpusmill.llm.common import text_bytes
+    from corpusmill.llm.quality_rules import _gram_buckets
+    from corpusmill.llm.text_stats import base_counts
+
+    texts = ["caf\u00e9 au lait", "", "\u65e5\u672c\u8a9e\u306e\u6587", "ab", "\U0001f600a\U0001f601b\U0001f602", None, "caf\u00e9 au lait", "xyz"]
+    data, offsets = text_bytes(pa.array(texts))
+    params, size = QualityParams(), 1 << QualityParams.bits
+    bucket, bounds = _gram_buckets(data, offsets, base_counts(data, offsets)["_words"], params)[2]
+    assert np.diff(bounds).tolist() == [len(t or "") for t in texts]
+
+    def plain(text):
+        out = []
+        for i in range(len(text)):
+            code = 0
+            for c in text[i : i + 4]:
+                code = (code * 0x01000193 ^ int.from_bytes(c.encode())) % 2**32
+            code ^= code >> 15
+            code = code * 0x85EBCA6B % 2**32
+            code ^= code >> 13
+            out.append((code if i + 4 <= len(text) else 0) % size + 2 * size)
+        return out
+
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert bucket[a:b].tolist() == plain(text or "")
+
+
 def test_quality_rules_without_labels(docs, empty, labels):
     none = labels.where("false")
     assert all(r.probability is None and r.kept == (not r.base_failed) for r in quality_rules(docs, none).collect())
@@ -149,17 +178,18 @@ def test_permutation():
     assert permuted(np.arange(1000), 1000, 5).tolist() != permuted(np.arange(1000), 1000, 6).tolist()
 
 
-def test_cached_encoding_equals_the_whole(rows):
+def test_encoding_in_parts_equals_the_whole(rows):
     from tiktoken import Encoding
 
-    params = TokenParams(cached_words=20)
+    params = TokenParams(part_chars=20)
     with open(params.vocabulary, "rb") as source:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in source)}
     from corpusmill.llm.token_output import PATTERN
 
     whole = Encoding("x", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     own = encoder(params)
-    for text in [r[1] or "" for r in rows] + [" a", "a ", "a  b", "a \n b", "a\n b", "it's a' s", "\ta", "a\u00a0 b", "x\u3000 y"]:
+    odd = [" a", "a ", "a  b", "a \n b", "a\n b", "it's a' s", "\ta", "a\u00a0 b", "x\u3000 y", "don 't", "\x1c a", "e\u0301 \u0301"]
+    for text in [r[1] or "" for r in rows] + odd + [o * 20 for o in odd] + ["".join(odd) * 9, "x" * 500]:
         assert np.frombuffer(own(text), np.uint16).tolist() == whole(text), text
 
 
