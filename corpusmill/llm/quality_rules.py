@@ -30,6 +30,18 @@ class QualityParams:
     keep_from: float = 0.3
 
 
+def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number per character (its UTF-8 bytes) and the row offsets counted in characters."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    points = data[starts].astype(np.uint32)
+    wide = np.flatnonzero(points >= 0xC0)
+    # A lead byte says how many bytes follow: 0xC0 one, 0xE0 two, 0xF0 three.
+    for j, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        wide = wide[data[starts[wide]] >= least]
+        points[wide] = points[wide] << np.uint32(8) | data[starts[wide] + j]
+    return points, np.searchsorted(starts, offsets)
+
+
 def _gram_buckets(data, offsets, words, params) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hash buckets of word 1-grams, word 2-grams and character n-grams, each with row offsets.
 
@@ -45,17 +57,18 @@ def _gram_buckets(data, offsets, words, params) -> list[tuple[np.ndarray, np.nda
     ends_row = first[1:][np.diff(first) > 0] - 1
     pair[ends_row] = 0
     out.append((((pair & np.uint64(size - 1)) + np.uint64(size)).astype(np.int64), first))
-    code = np.zeros(len(data), np.uint32)
+    points, bounds = _characters(data, offsets)
+    code = np.zeros(len(points), np.uint32)
     for j in range(params.char_order):
         code *= np.uint32(0x01000193)
-        code[: len(data) - j] ^= data[j:]
+        code[: max(len(points) - j, 0)] ^= points[j:]
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x85EBCA6B)
     code ^= code >> np.uint32(13)
     for j in range(1, params.char_order):
-        last = offsets[1:] - j
-        code[last[last >= offsets[:-1]]] = 0
-    out.append(((code & np.uint32(size - 1)).astype(np.int64) + 2 * size, offsets))
+        last = bounds[1:] - j
+        code[last[last >= bounds[:-1]]] = 0
+    out.append(((code & np.uint32(size - 1)).astype(np.int64) + 2 * size, bounds))
     return out
 
 
