@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from corpusmill.functions.languages import code_line_mask, is_code_language, language_of, ones_in
 from corpusmill.functions.paths import below_any, module_of
 from corpusmill.functions.text import decode_text, text_lines
+from corpusmill.operators.quotas import steered_requests
 from corpusmill.operators.redaction import SECRET_RULES
 from corpusmill.operators.skew import ranked
 from corpusmill.params import BudgetParams, CandidateParams, ScanParams
 from corpusmill.schemas import LOGIC_LAYERS
+from corpusmill.sources.materialize import materialized
 
 # Pieces of text that show control flow or generated code.
 FLOW_MARKS = ("if ", "if(", "for ", "for(", "while ", "while(", "switch", "catch", "except")
@@ -93,13 +95,13 @@ def tagged_layers(features: DataFrame, layer_fn=layer_of) -> DataFrame:
     return rows.withColumn("layer", by_rule)
 
 
-def candidate_requests(
+def numbered_candidates(
     tagged: DataFrame,
     primaries: DataFrame | None = None,
     budget: BudgetParams = BudgetParams(),
     params: CandidateParams = CandidateParams(),
 ) -> DataFrame:
-    """Save requests in order: modules take turns, logic and middle-sized files
+    """Save requests in order, with language and lines: modules take turns, logic and middle-sized files
     of the focus language first, one test file after five others.
 
     Generated files, secrets, low-value sizes and non-code are left out; very
@@ -121,6 +123,7 @@ def candidate_requests(
             "repo_url",
             "path",
             "layer",
+            "language",
             module_of(F.col("path")).alias("module"),
             (F.col("layer") == "test").alias("is_test"),
             F.when(long, 1).cast("int").alias("start_line"),
@@ -143,5 +146,18 @@ def candidate_requests(
         F.col("nth") + F.floor((F.col("nth") - 1) / 5)
     )
     return rows.select(
-        "repo_url", seq.cast("bigint").alias("seq"), "path", "layer", "start_line", "end_line"
+        "repo_url", seq.cast("bigint").alias("seq"), "path", "layer", "language", "loc", "start_line", "end_line"
     )
+
+
+def candidate_requests(
+    tagged: DataFrame,
+    primaries: DataFrame | None = None,
+    budget: BudgetParams = BudgetParams(),
+    params: CandidateParams = CandidateParams(),
+) -> DataFrame:
+    """``numbered_candidates`` as requests of ``budget_select``; with ``steer_shares`` those of ``steered_requests`` only."""
+    rows = numbered_candidates(tagged, primaries, budget, params)
+    if params.steer_shares:
+        rows = steered_requests(materialized(rows, "candidates"), budget, params)
+    return rows.select("repo_url", "seq", "path", "layer", "start_line", "end_line")

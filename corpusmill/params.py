@@ -31,6 +31,8 @@ class BudgetParams:
     cap_loc: int = 6500
     logic_share_min: float = 0.6
     low_value_share_max: float = 0.2
+    test_share_min: float = 0.1
+    test_share_max: float = 0.2
     primary_share_min: float = 0.20
     max_turns: int = 50
     # Request groups of one repository are spread over this many slices before
@@ -46,6 +48,8 @@ class CandidateParams:
     preferred_min_loc: int = 100
     preferred_max_loc: int = 500
     partial_above_loc: int = 800
+    # Choose files so that the shares of lines of ``BudgetParams`` hold, not by order alone.
+    steer_shares: bool = False
 
 
 @dataclass(frozen=True)

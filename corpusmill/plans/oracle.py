@@ -890,7 +890,7 @@ SQL["layer_tags"] = _with(
 
 _P = a.CANDIDATES
 CANDIDATES = f"""fit AS (
-  SELECT f.repo_url, f.path, f.layer, f.layer = 'test' AS is_test,
+  SELECT f.repo_url, f.path, f.layer, f.language, f.layer = 'test' AS is_test,
     CASE WHEN contains(f.path, '/') THEN split_part(f.path, '/', 1) ELSE '' END AS module,
     f.loc > {_P.partial_above_loc} AS is_long,
     CASE WHEN f.loc > {_P.partial_above_loc} THEN (SELECT count(*) FROM marked m
@@ -912,13 +912,94 @@ numbered AS (
 wanted AS (
   SELECT repo_url, CAST(CASE WHEN is_test THEN nth * 6 ELSE nth + (nth - 1) // 5 END AS BIGINT) AS seq, path,
     layer, CAST(CASE WHEN is_long THEN 1 END AS INTEGER) AS start_line,
-    CAST(CASE WHEN is_long THEN {_P.preferred_max_loc} END AS INTEGER) AS end_line, loc
+    CAST(CASE WHEN is_long THEN {_P.preferred_max_loc} END AS INTEGER) AS end_line, loc, language
   FROM numbered)"""
 SQL["candidate_order"] = _with(
     *PROFILE_CTES, LINES, FEATURES, CANDIDATES,
     select="SELECT repo_url, seq, path, layer, start_line, end_line FROM wanted",
 )
 
+_BUDGET = a.BUDGET
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _picked(n: str, goals: str, room: str) -> str:
+    """CTEs ``n``_*: the files that the goals of each repository and kind choose.
+
+    The level of the water is the highest of (goal less the shallower vessels) / (widths of the others).
+    """
+    return f"""{n}_left AS (
+  SELECT w.*, goal, goal - coalesce(sum(lines) OVER (o {_BEFORE}), 0) AS remaining,
+    sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS width
+  FROM weighed w JOIN {goals} USING (repo_url, kind)
+  WINDOW o AS (PARTITION BY repo_url, kind ORDER BY lines / weight, language)),
+{n}_level AS (
+  SELECT repo_url, kind, arg_max({{'a': remaining, 'b': width}}, remaining / width) AS lev FROM {n}_left GROUP BY ALL),
+{n}_base AS (
+  SELECT *, least(lines, lev.a * weight // lev.b) AS base,
+    CASE WHEN lines * lev.b <= lev.a * weight THEN -1 ELSE lev.a * weight % lev.b END AS part
+  FROM {n}_left JOIN {n}_level USING (repo_url, kind)),
+{n}_quota AS (
+  SELECT repo_url, kind, language, base + CASE WHEN part >= 0 AND
+    row_number() OVER (PARTITION BY repo_url, kind ORDER BY part DESC, language)
+      <= goal - sum(base) OVER (PARTITION BY repo_url, kind) THEN 1 ELSE 0 END AS quota FROM {n}_base),
+{n}_first AS (
+  SELECT * EXCLUDE (quota, ahead) FROM (
+    SELECT s.*, quota, coalesce(sum(loc) OVER (PARTITION BY repo_url, kind, language ORDER BY seq {_BEFORE}), 0) AS ahead
+    FROM sorted s JOIN {n}_quota USING (repo_url, kind, language) WHERE loc <= quota)
+  WHERE ahead + loc <= quota),
+{n}_gap AS (
+  SELECT g.repo_url, g.kind, any_value(goal) AS goal, coalesce(sum(loc), 0) AS taken
+  FROM {goals} g LEFT JOIN {n}_first f ON f.repo_url = g.repo_url AND f.kind = g.kind GROUP BY ALL),
+{n}_second AS (
+  SELECT * EXCLUDE (wanting, room, ahead) FROM (
+    SELECT s.*, goal - taken AS wanting, {room} - taken AS room,
+      coalesce(sum(loc) OVER (PARTITION BY repo_url, kind ORDER BY seq {_BEFORE}), 0) AS ahead
+    FROM sorted s ANTI JOIN {n}_first USING (repo_url, seq) JOIN {n}_gap USING (repo_url, kind)
+    WHERE goal > taken AND loc <= {room} - taken)
+  WHERE ahead < wanting AND ahead + loc <= room),
+{n}_files AS (SELECT * FROM {n}_first UNION ALL SELECT * FROM {n}_second)"""
+
+
+# Tests 10 to 20 % of the lines (15 % where code abounds), low value at most 20 %: a quarter of the ordinary code.
+STEERED = f"""sorted AS (
+  SELECT *, CASE WHEN layer = 'test' THEN 'test' WHEN layer IN ('boilerplate', 'infra', 'autogen') THEN 'low'
+    ELSE 'main' END AS kind FROM wanted WHERE loc > 0),
+strata AS (SELECT repo_url, kind, language, CAST(sum(loc) AS BIGINT) AS lines FROM sorted GROUP BY ALL),
+weighed AS (SELECT *, sum(lines) OVER (PARTITION BY repo_url, language) AS weight FROM strata),
+offers AS (
+  SELECT repo_url, coalesce(sum(lines) FILTER (kind = 'main'), 0) AS main,
+    coalesce(sum(lines) FILTER (kind = 'test'), 0) AS tests, coalesce(sum(lines) FILTER (kind = 'low'), 0) AS low
+  FROM strata GROUP BY ALL),
+main_goals AS (
+  SELECT repo_url, 'main' AS kind, least(main, {_BUDGET.target_loc} - least(tests, {_BUDGET.target_loc * 15 // 100})) AS goal
+  FROM offers),
+{_picked('main', 'main_goals', str(_C))},
+sums AS (
+  SELECT o.*, coalesce((SELECT sum(loc) FROM main_files m WHERE m.repo_url = o.repo_url), 0) AS done FROM offers o),
+test_lines AS (
+  SELECT *, CASE WHEN done = 0 THEN least(tests, {_BUDGET.target_loc}) ELSE greatest(0, least(tests,
+    greatest({_BUDGET.target_loc} - done, done * 3 // 17), done // 4, {_C} - done)) END AS t FROM sums),
+side_goals AS (
+  SELECT repo_url, 'test' AS kind, t AS goal FROM test_lines WHERE t > 0
+  UNION ALL
+  SELECT repo_url, 'low', g FROM (SELECT repo_url, CASE WHEN done = 0 THEN least(low, {_BUDGET.target_loc} - t)
+    ELSE least(low, {_BUDGET.target_loc} - done - t, done // 4) END AS g FROM test_lines) WHERE g > 0),
+{_picked('side', 'side_goals', 'goal')},
+steered AS (SELECT * FROM main_files UNION ALL SELECT * FROM side_files)"""
+SQL["steered_order"] = _with(
+    *PROFILE_CTES, LINES, FEATURES, CANDIDATES, STEERED,
+    select="SELECT repo_url, seq, path, layer, language, CAST(loc AS BIGINT) AS loc, start_line, end_line FROM steered",
+)
+SQL["steered_corpus"] = _with(
+    *PROFILE_CTES, LINES, FEATURES, CANDIDATES, STEERED,
+    select="""SELECT repo_url, coalesce(any_value(code_primary), '') AS language, CAST(sum(loc) AS BIGINT) AS total_loc,
+  count(*) AS file_count, CAST(coalesce(sum(loc) FILTER (kind = 'test'), 0) AS BIGINT) AS test_loc,
+  CAST(coalesce(sum(loc) FILTER (kind = 'low'), 0) AS BIGINT) AS low_value_loc,
+  string_agg(path, ';' ORDER BY seq) AS paths
+FROM steered LEFT JOIN focus USING (repo_url) GROUP BY repo_url""",
+)
+
 SAMPLED_CTES = (
     *PROFILE_CTES, LINES, FEATURES, CANDIDATES,
     f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY repo_url ORDER BY seq) AS rn FROM wanted),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from corpusmill.operators import (
     manifest,
     packaging,
     profile,
+    quotas,
     redaction,
     repos,
     runlog,
@@ -26,6 +28,7 @@ from corpusmill.operators import (
 from corpusmill.plans import adapters as a
 from corpusmill.plans.adapters import BUDGET
 from corpusmill.params import ScanParams
+from corpusmill.schemas import LOW_VALUE_LAYERS
 from corpusmill.sources.materialize import materialized, new_folder
 from corpusmill.sources import readers, writers
 from corpusmill.sources.deltas import DeltaTable
@@ -509,6 +512,33 @@ def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def steered_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files chosen by quotas of lines per language and kind."""
+    features = materialized(candidates.file_features(a.files(spark, sf_dir)), "features")
+    rows = candidates.numbered_candidates(
+        candidates.tagged_layers(features), _primaries(spark, sf_dir), BUDGET, a.CANDIDATES
+    )
+    return quotas.steered_requests(materialized(rows, "candidates"), BUDGET, a.CANDIDATES)
+
+
+def steered_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to manifest with steered shares of lines."""
+    from corpusmill.params import Settings
+    from corpusmill.plans.sampling import sample_repositories
+
+    settings = Settings(budget=BUDGET, candidates=replace(a.CANDIDATES, steer_shares=True))
+    records = sample_repositories(a.files(spark, sf_dir), settings=settings).manifest
+
+    def lines(*layers: str) -> Column:
+        chosen = F.filter("files", lambda f: f["layer"].isin(*layers))
+        return F.aggregate(chosen, F.lit(0).cast("bigint"), lambda total, f: total + f["loc_taken"])
+
+    return records.select(
+        "repo_url", "language", "total_loc", "file_count", lines("test").alias("test_loc"),
+        lines(*LOW_VALUE_LAYERS).alias("low_value_loc"), F.array_join("files.path", ";").alias("paths"),
+    )
+
+
 def sampled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From files to manifest without supplied requests."""
     from corpusmill.params import Settings
@@ -626,7 +656,7 @@ QUERIES: dict[str, Query] = {
         sample_index, index_problems, bundle_listing,
         transcript_compact, transcript_render, turn_validate, error_classes,
         usage_costs, redaction_totals, progress_flags, run_statistics, run_totals,
-        layer_tags, candidate_order, sampled_corpus, delivered_corpus, published_delivery, audit_record,
+        layer_tags, candidate_order, steered_order, steered_corpus, sampled_corpus, delivered_corpus, published_delivery, audit_record,
         history_of_heads, redaction_resume, deliverable_split, sample_display, identity_gaps, error_previews,
     )
 }
