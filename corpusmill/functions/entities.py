@@ -21,6 +21,8 @@ _PAIR, _SCOPE, _MASK = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
 PROBES = 8
 #: Names are looked up by so many of their first units.
 LOOKUP = 3
+#: What a task remembers at most: some 60 MB of words, 20 MB of names.
+HELD_WORDS, HELD_NAMES = 1 << 18, 1 << 14
 
 
 def parts(word: str) -> list[tuple[int, int]]:
@@ -58,7 +60,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: str) -> bytes:
         found = b"".join(unit_hash(word[a:b].lower()).to_bytes(8, "little") for a, b in parts(word))
-        if len(self) >= 1 << 20:
+        if len(self) >= HELD_WORDS:
             self.clear()
         self[word] = found
         return found
@@ -107,7 +109,7 @@ class Shapes(dict):
     def __missing__(self, name: str) -> tuple[tuple[str, ...], tuple[str, ...], str, str]:
         found = units_of(name)
         gaps = tuple(name[x[2] : y[1]] for x, y in zip(found, found[1:], strict=False))
-        if len(self) >= 1 << 18:
+        if len(self) >= HELD_NAMES:
             self.clear()
         self[name] = out = (tuple(u for u, _, _ in found), gaps, name[: found[0][1]], name[found[-1][2] :])
         return out

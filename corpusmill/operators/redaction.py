@@ -6,6 +6,7 @@ second pass changes nothing.
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import reduce
 
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from corpusmill.functions import batches as arrow
 from corpusmill.functions import entities
 from corpusmill.sources.materialize import materialized
 
@@ -169,14 +171,15 @@ def name_filter(entries: DataFrame) -> np.ndarray:
 
 def with_name_keys(texts: DataFrame, column: str, words: np.ndarray, scoped: bool) -> DataFrame:
     """``texts`` with ``name_keys``: the keys of units and neighbours in ``column`` that the filter may hold."""
-    cloudpickle.register_pickle_by_value(entities)
+    for module in (entities, arrow):
+        cloudpickle.register_pickle_by_value(module)
     shared = texts.sparkSession.sparkContext.broadcast(words)
     names = [*texts.columns, "name_keys"]
     text_at, folder_at = texts.columns.index(column), texts.columns.index("folder") if scoped else None
 
     def run(batches):
         held, known = entities.WordHashes(), shared.value
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(arrow.pieces, batches)):
             packed = [b"".join(map(held.__getitem__, entities.WORD.findall(t or ""))) for t in batch.column(text_at).to_pylist()]
             hashes = np.frombuffer(b"".join(packed), np.dtype("<u8"))
             rows = np.repeat(np.arange(batch.num_rows), [len(p) // 8 for p in packed])
@@ -199,13 +202,14 @@ def with_name_keys(texts: DataFrame, column: str, words: np.ndarray, scoped: boo
 
 def with_names_redacted(texts: DataFrame, column: str) -> DataFrame:
     """``column`` with the ``names`` (array of name and put) of its row replaced; drops ``names``."""
-    cloudpickle.register_pickle_by_value(entities)
+    for module in (entities, arrow):
+        cloudpickle.register_pickle_by_value(module)
     kept = [(c, i) for i, c in enumerate(texts.columns) if c != "names"]
     text_at, names_at = texts.columns.index(column), texts.columns.index("names")
 
     def run(batches):
         shapes = entities.Shapes()
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(arrow.pieces, batches)):
             rows = zip(batch.column(text_at).to_pylist(), batch.column(names_at).to_pylist(), strict=True)
             out = [
                 t if t is None else entities.replaced(t, [(n["name"], n["put"]) for n in ns], FIXED, shapes) for t, ns in rows
