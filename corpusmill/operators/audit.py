@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import alignment
+from corpusmill.functions import batches as arrow
 from corpusmill.functions.text import newline_lines
 from corpusmill.operators.skew import ranked
 
@@ -65,10 +68,11 @@ def line_changes(pairs: DataFrame) -> DataFrame:
 
 
 def _change_counts(gap: int):
-    cloudpickle.register_pickle_by_value(alignment)
+    for module in (alignment, arrow):
+        cloudpickle.register_pickle_by_value(module)
 
     def run(batches):
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(arrow.pieces, batches)):
             counts = [
                 alignment.change_counts(old, new, gap)
                 for old, new in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
@@ -83,11 +87,12 @@ def _change_counts(gap: int):
 
 
 def _line_pairs():
-    cloudpickle.register_pickle_by_value(alignment)
+    for module in (alignment, arrow):
+        cloudpickle.register_pickle_by_value(module)
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches):
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(arrow.pieces, batches)):
             for row, (old, new) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 found = list(alignment.line_pairs(old, new))
                 at = pa.array([row] * len(found), pa.int64())
