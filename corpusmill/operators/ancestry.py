@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,38 @@ def chains(commits: DataFrame) -> DataFrame:
             return jumps
 
 
+def _with_shortcuts(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """``edges`` with links over 2, 4, 8, ... chains; deletes ``edges``.
+
+    Whatever place of a chain is reached, its last one is, so a link from there
+    holds for any mark.  Followed from chain to chain, such links are doubled as
+    the places in a chain are: log2 of the number of chains rounds, over one row per chain.
+    """
+    last = placed.groupBy("repo_url", "chain").agg(F.max("position").alias("position"))
+    levels = [materialized(
+        edges.join(last, ["repo_url", "chain", "position"])
+        .groupBy("repo_url", "chain", "position").agg(F.min(F.struct("to", "at")).alias("exit"))
+        .select("repo_url", "chain", "position", "exit.to", "exit.at"),
+        "chain-exits",
+    )]
+    # No path is longer than there are chains with an exit.
+    longest = levels[0].count()
+    while 1 << len(levels) <= longest:
+        on = levels[-1].select("repo_url", F.col("chain").alias("to"), F.col("to").alias("next"), F.col("at").alias("enters"))
+        levels.append(materialized(
+            levels[-1].join(on, ["repo_url", "to"]).select(
+                "repo_url", "chain", "position", F.col("next").alias("to"), F.col("enters").alias("at")
+            ),
+            "chain-exits",
+        ))
+        if levels[-1].isEmpty():
+            break
+    out = materialized(reduce(DataFrame.unionByName, levels[1:], edges), "chain-edges")
+    for table in (edges, *levels):
+        dropped(table)
+    return out
+
+
 def ancestors_of_heads(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """Adds ``on_head``: reachable from the head of the repository.
 
@@ -48,7 +82,9 @@ def ancestors_of_heads(commits: DataFrame, heads: DataFrame) -> DataFrame:
     chain holds the state: the first place that is reached.  Links from one chain to another
     are joined with the marks that lie before them; a round is one join and one
     minimum per chain, and a history of two lines that merge into each other any
-    number of times is done in a few rounds.  Rounds are written to the shared
+    number of times is done in a few rounds.  Links that leave the ends of chains are also followed
+    in doubled steps, so a history that is cut into many chains one after the other, by branches
+    that took its commits, needs the logarithm of their number.  Rounds are written to the shared
     folder and deleted again.  ``commits``: repo_url, sha, parents (a missing parent is ignored);
     ``heads``: repo_url, sha.
     """
@@ -61,6 +97,7 @@ def ancestors_of_heads(commits: DataFrame, heads: DataFrame) -> DataFrame:
         .groupBy("repo_url", "chain", "position", "to").agg(F.min("at").alias("at")),
         "chain-edges",
     )
+    edges = _with_shortcuts(edges, placed)
     marks = materialized(
         heads.join(placed, ["repo_url", "sha"]).groupBy("repo_url", "chain").agg(F.min("position").alias("mark")), "marks"
     )
