@@ -45,7 +45,7 @@ def history_ends(commits: DataFrame) -> DataFrame:
     """
     walked = commits.where("on_head")
     tip = leading_rows(
-        walked.select("repo_url", "pos", "sha"), ["repo_url"], -F.col("pos"), [F.col("sha")], salt_on=["sha"]
+        walked.select("repo_url", "pos", "sha"), ["repo_url"], -F.col("pos"), [F.col("sha")], salt_on=["sha"], sized=True
     ).select("repo_url", F.col("sha").alias("head_commit_sha"))
     roots = (
         walked.where(F.size("parents") == 0).groupBy(F.col("repo_url").alias("_repo"))

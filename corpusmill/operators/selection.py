@@ -283,16 +283,22 @@ def _chunked(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Slots for the names of saved files: what is broadcast to find their content has at most so many rows.
+SLOTS = 1 << 21
+
+
 def sample_texts(saved: DataFrame, files: DataFrame) -> DataFrame:
     """Verbatim text of each saved file or line range, from files of any origin.
 
-    The join moves the content of all files unless the saved side is small
-    enough for Spark to broadcast it; ``stored_sample_texts`` moves none.
+    Files whose name falls on the slot of no saved name are left out where they are read, so the
+    join moves the content of saved files, and of the few others on their slots; it decides by name.
+    ``stored_sample_texts`` moves no content.
     """
-    content = files.select(
-        "repo_url", normal_path(F.col("path")).alias("norm_path"), "content"
-    )
-    return _chunked(saved.join(content, ["repo_url", "norm_path"]))
+    slot = F.pmod(F.xxhash64("repo_url", "norm_path"), F.lit(SLOTS)).alias("_slot")
+    content = files.select("repo_url", normal_path(F.col("path")).alias("norm_path"), "content").select("*", slot)
+    taken = F.broadcast(saved.select(slot).distinct())
+    near = content.join(taken, "_slot", "left_semi").drop("_slot")
+    return _chunked(saved.join(near, ["repo_url", "norm_path"]))
 
 
 def stored_sample_texts(saved: DataFrame, path: str) -> DataFrame:

@@ -75,19 +75,22 @@ def first_rows(
 
 
 def leading_rows(
-    df: DataFrame, keys: Sequence[str], lead: Column, ties: Sequence[Column], salt_on: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], lead: Column, ties: Sequence[Column], salt_on: Sequence[str] = (), sized: bool = False
 ) -> DataFrame:
     """The row of each group with the greatest ``lead``, the first by ``ties`` among equals.
 
     ``lead`` has a fixed width, so its maximum per group is a hash aggregate
     that combines before the shuffle and sorts nothing; whole rows are touched
     only where they equal it.  With few groups Spark broadcasts the maxima; with many, combining would
-    not have shrunk the rows anyway.  Rows without a lead count only where their group has no others; null keys
+    not have shrunk the rows anyway; before it has run an aggregate seems as large as its input, so ``sized``
+    writes the maxima first, which tells few from many.  Rows without a lead count only where their group has no others; null keys
     are a group.
     """
     marked = df.withColumn("_lead", lead)
     tops = marked.groupBy(*keys).agg(F.max("_lead").alias("_top"))
     tops = tops.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_top")
+    if sized:
+        tops = materialized(tops, "tops")
     match = F.col("_lead").eqNullSafe(F.col("_top"))
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_of_{k}"))

@@ -179,7 +179,8 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     oldest = rows.groupBy("repo_url").agg(F.max("pos").alias("oldest"))
     no_parent = F.col("imported") | (F.col("pos") == F.col("oldest"))
-    return rows.join(oldest, "repo_url").select(
+    # One row per repository, of which _order_repo names 200 at most: the commits need not be shuffled to meet it.
+    return rows.join(F.broadcast(oldest), "repo_url").select(
         "repo_url",
         "sha",
         F.when(no_parent, F.array().cast("array<string>")).otherwise(F.array("parent")).alias("parents"),

@@ -128,6 +128,7 @@ def deliver(
     known = identity.repository_identity(commits) if commits is not None else None
     if known is None:
         known = files.sparkSession.createDataFrame([], IDENTITY)
-    known = known.withColumn("folder", folder_name(F.col("repo_url")))
+    # The index and the published identity both read it: the histories are gone through once.
+    known = materialized(known.withColumn("folder", folder_name(F.col("repo_url"))), "identity")
     index = packaging.sample_index(manifest, known, settings.meta.tool_version)
     return Delivery(done.texts, done.report, manifest, index, done.changes, known)
