@@ -185,7 +185,8 @@ def plan_mix(
     ).mapInArrow(
         choose, "shard long, slot long, source_no int, block long, pass int"
     )
-    return Mix(sources, rows, fragments, slots)
+    # Spark takes them for as small as the counts that they grow from: no join may broadcast them.
+    return Mix(sources, rows, fragments, slots.hint("merge"))
 
 
 def taken_words(mix: Mix) -> DataFrame:
